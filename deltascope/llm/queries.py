@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenfile, topk
+from . import jaccard, packing, tokenfile, topk
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_topk_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(topk.quantize(table(spark, sf_dir, "embeddings")))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
