@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, tokenfile, topk
+from . import jaccard, mixing, packing, pii, tokenfile, topk
 from .common import table
 
 
@@ -32,6 +33,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_blocks(tokenfile.write_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+#: The surrogates' key; a deployment passes its own.
+PII_KEY = "deltascope"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"), "n_entities")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
