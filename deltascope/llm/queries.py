@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, packing, pii, quality, tokenfile, topk
+from . import chat, html_main, jaccard, langid, mixing, packing, pii, quality, tokenfile, topk
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"), "n_entities")
 
 
+def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.train(docs))
@@ -53,11 +57,16 @@ def op9_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 ORACLE = {
+    "op10_perspective_rotation": chat.ORACLE,
     "op1_topk_kdtree": """
 WITH p AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
