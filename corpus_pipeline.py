@@ -1,11 +1,63 @@
-"""Corpus pipeline: language ID, n-gram Jaccard join, PII, mixing to target weights, best-fit packing."""
+"""Corpus pipeline over ``documents``: language ID, n-gram Jaccard join, PII, mixing to target weights, best-fit packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns one row a packed piece.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from deltascope.llm import jaccard, langid, mixing, packing, pii
+from deltascope.llm.common import materialize, maybe_broadcast, table
+
+#: Near-duplicates of the pipeline: five words, a similarity of 0.8 or more.
+WORDS, PERCENT = 5, 80
+PII_KEY = "deltascope"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language was found; those without letters go. A null lang takes the predicted one."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of linked documents."""
+    found = jaccard.jaccard_components(docs, WORDS, PERCENT)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by surrogates; n_chars follows the text."""
+    out = pii.anonymize(docs, PII_KEY).drop("n_entities")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mixture takes it."""
+    plan = mixing.mix(docs)
+    other = materialize(plan.where("copies <> 1").select("doc_id", "copies").distinct())
+    joined = docs.join(maybe_broadcast(other.withColumnRenamed("doc_id", "_d"), other.count()), docs["doc_id"].eqNullSafe(F.col("_d")), "left")
+    copies = F.coalesce("copies", F.lit(1))
+    return joined.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias("_k")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens, placed in as few sequences as found."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("mixing to target weights", mixture), ("best-fit packing", packed)]
+
+#: SQL can express neither Viterbi labels nor the entropy-balanced copies nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

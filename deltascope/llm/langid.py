@@ -200,3 +200,24 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "lang_pred": [x[0] for x in got], "score": [x[1] for x in got], "spans": [[{"first": a, "end": e, "lang": s} for a, e, s in x[2]] for x in got]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, spans array<struct<first: int, end: int, lang: string>>")
+
+
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0) -> DataFrame:
+    """Rows of ``docs`` whose text has a language (not ``und``) at ``least_score`` or more, with all their columns.
+
+    A null ``lang`` takes the predicted language; other languages stay as they are. No rows give no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        labeller = Labeller(shared.value)
+        for b in batches:
+            got = labeller.label(b.column("text").to_pylist())
+            lang = pc.coalesce(b.column("lang"), pa.array([x[0] for x in got], b.schema.field("lang").type))
+            b = b.set_column(b.schema.get_field_index("lang"), b.schema.field("lang"), lang)
+            yield b.filter(pa.array([x[0] != UND and x[1] >= least_score for x in got]))
+
+    return docs.mapInArrow(run, docs.schema)
