@@ -1,0 +1 @@
+"""Column functions: scores, text measures."""

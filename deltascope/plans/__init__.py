@@ -1,5 +1,5 @@
 """Query modules; each has QUERIES: name -> (builder, SQL or None)."""
 
-from . import scoring
+from . import relational, scoring
 
-MODULES = [scoring]
+MODULES = [scoring, relational]
