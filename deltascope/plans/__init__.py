@@ -1,5 +1,5 @@
 """Query modules; each has QUERIES: name -> (builder, SQL or None)."""
 
-from . import relational, scoring
+from . import relational, scoring, temporal
 
-MODULES = [scoring, relational]
+MODULES = [scoring, relational, temporal]
