@@ -1,5 +1,5 @@
 """Query modules; each has QUERIES: name -> (builder, SQL or None)."""
 
-from . import relational, scoring, temporal, text
+from . import relational, scoring, streams, temporal, text
 
-MODULES = [scoring, relational, temporal, text]
+MODULES = [scoring, relational, temporal, text, streams]

@@ -105,13 +105,13 @@ def weight_recalibration(spark, sf):
 
 
 @query("""WITH x AS (SELECT f.accession, sum(words) AS w, lag(sum(words)) OVER (PARTITION BY cik, form ORDER BY filed, f.accession) AS o, sum(disc) AS d, sum(tax) AS t FROM filings f JOIN lines l ON l.accession = f.accession GROUP BY f.accession, cik, form, filed)
-SELECT accession, round(greatest(0.0, least(1.0, 0.5 * (abs(w - o) / o::DOUBLE) + 0.3 * (1 - least(w, o) / greatest(w, o)::DOUBLE) + 0.2 * abs((d - t) / w::DOUBLE))), 4) AS materiality FROM x WHERE o IS NOT NULL""")
+SELECT accession, round(greatest(0.0, least(1.0, 0.5 * (abs(w - o) / o::DOUBLE) + 0.3 * (1 - least(w, o) / greatest(w, o)::DOUBLE) + 0.2 * abs((d - t) / w::DOUBLE))), 6) AS materiality FROM x WHERE o IS NOT NULL""")
 def item_materiality_change(spark, sf):
     """Materiality of a filing against the one before it."""
     own = lines(spark, sf).groupBy("accession").agg(F.sum("words").alias("w"), F.sum("disc").alias("d"), F.sum("tax").alias("t")).join(filings(spark, sf), "accession")
     own = own.withColumn("o", F.lag("w").over(W.partitionBy("cik", "form").orderBy("filed", "accession"))).where("o is not null")
     m = scores.item_materiality(F.col("w"), F.col("o"), F.least("w", "o") / F.greatest("w", "o"), (F.col("d") - F.col("t")) / F.col("w"))
-    return own.select("accession", F.round(m, 4).alias("materiality"))
+    return own.select("accession", F.round(m, 6).alias("materiality"))
 
 
 @query("SELECT accession, round(CASE WHEN articles < 2 THEN 50.0 ELSE least(least(1000 * abs((materiality - burial) / 1000), 100.0) + least(greatest(10 * (articles / 3.0::DOUBLE - 1), 0.0), 30.0), 100.0) END, 4) AS impact FROM alerts")
