@@ -33,9 +33,9 @@ def _bitmap(own: np.ndarray) -> bytes:
     return np.packbits(ones.astype(bool)).tobytes()
 
 
-def _fold(bits: bytes, size: int) -> np.ndarray:
+def _fold(bits: np.ndarray, size: int) -> np.ndarray:
     # the lowest index bits choose the place in the narrower bitmap, so halves of the wider one fall together
-    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+    return bits if bits.size == size else np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 class Join:
@@ -158,6 +158,7 @@ class Join:
 
         def pairs_of(docs, n, pos, comp, pivot, dist, bits) -> list[tuple]:
             order = np.argsort(n, kind="stable")
+            bits = [np.frombuffer(x, np.uint64) for x in bits]
             docs, n, pos, comp, pivot, dist = (x[order] for x in (docs, n, pos, comp, pivot, dist))
             rest = self.part(n) - pos  # shingles of P from here on
             out, best = [], {}
@@ -179,21 +180,23 @@ class Join:
                     ok &= ~((pivot[a:b, None] == pivot[None, c:d]) & far)
                     if p == q:
                         ok &= np.tri(b - a, k=-1, dtype=bool).T
-                    for i, j in np.argwhere(ok):
-                        i, j = i + a, j + c
-                        x, y = bits[order[i]], bits[order[j]]
-                        size = min(len(x), len(y))
-                        apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-                        # with d elements apart, union = (n + m + d) / 2 and links have 100 d <= (100 - num) union
-                        if 200 * apart > (100 - num) * (n[i] + n[j] + apart):
-                            continue
-                        pair = (min(docs[i], docs[j]), max(docs[i], docs[j]))
-                        if every:
-                            out.append(pair)
-                        else:
-                            key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                            if key not in best or apart < best[key][0]:
-                                best[key] = (apart, pair)
+                    if not ok.any():
+                        continue
+                    width = min(bits[order[a]].size, bits[order[c]].size, *(bits[order[x]].size for x in (b - 1, d - 1)))
+                    x, y = (np.stack([_fold(bits[order[i]], width) for i in range(*ends)]) for ends in ((a, b), (c, d)))
+                    apart = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                    # with d elements apart, union = (n + m + d) / 2 and links have 100 d <= (100 - num) union
+                    ok &= 200 * apart <= (100 - num) * (small + large + apart)
+                    i, j = np.nonzero(ok)
+                    first, second = docs[a + i], docs[c + j]
+                    pairs = list(zip(np.minimum(first, second).tolist(), np.maximum(first, second).tolist()))
+                    if every:
+                        out += pairs
+                        continue
+                    one, two = comp[a + i], comp[c + j]
+                    for pair, low, high, far_apart in zip(pairs, np.minimum(one, two).tolist(), np.maximum(one, two).tolist(), apart[i, j].tolist()):
+                        if (low, high) not in best or far_apart < best[low, high][0]:
+                            best[low, high] = (far_apart, pair)
             return out + [x[1] for x in best.values()]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,7 +256,7 @@ class Join:
         sets = self.sets(texts.join(maybe_broadcast(used, used.count()), "doc", "left_semi"))
         checked = self.verify(stars, sets)
         links = checked.where(f"100 * both >= {self.num} * total").select("a", "b")
-        comps = materialize(connected_components(links))
+        comps = connected_components(links)
         near = checked.groupBy(F.col("b").alias("doc")).agg(F.min_by(F.struct(F.col("a").alias("pivot"), (1 - F.col("both") / F.col("total")).alias("dist")), F.struct(1 - F.col("both") / F.col("total"), "a")).alias("s")).select("doc", "s.pivot", "s.dist")
         pivots = checked.select(F.col("a").alias("doc")).distinct().select("doc", F.col("doc").alias("pivot"), F.lit(0.0).alias("dist"))
         near = near.join(pivots.select("doc"), "doc", "left_anti").unionByName(pivots)
@@ -272,7 +275,7 @@ class Join:
             fresh = more.where(f"100 * both >= {self.num} * total").select("a", "b")
             if not fresh.isEmpty():
                 links = links.unionByName(fresh)
-                comps = materialize(connected_components(links))
+                comps = connected_components(links)
         return comps
 
 
