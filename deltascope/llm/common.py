@@ -30,9 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared scratch folder and read it back: lineage is cut, executors may be lost."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet into the shared scratch folder and read it back: lineage is cut, executors may be lost.
+
+    ``rows``, an upper bound of the row count, sizes the number of tasks and files (100,000 rows each at most).
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // 100_000)
     path = f"{scratch_dir(spark)}/deltascope-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Self-loops, repeated and reversed edges are allowed; nulls are ignored; no edges give no rows.
     """
     pairs = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    before = None
+    n, before = pairs.count(), None  # no later round has more edges
     for _ in range(most_rounds):
         both = pairs.select("a", "b").union(pairs.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         joined = large.join(least, large["b"] == least["u"])
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        pairs = materialize(small)
+        pairs = materialize(small, n)
         now = pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if now == before:
             break

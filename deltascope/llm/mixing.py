@@ -56,19 +56,20 @@ def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: f
     for _ in range(most_rounds):
         h = hist.select(F.col("source").alias("_s"), "size", "docs")
         rate = _rate(F.col("size"), F.col("scale"), F.col("dual"), cap)
-        words = F.col("size") * F.col("docs")
         # the slope of a clipped rate is zero
-        slope = F.when(rate < cap, words * rate * F.col("size") / F.col("scale")).otherwise(0.0)
-        keys = [c for c in state.columns]
-        got = h.join(maybe_broadcast(state, n), h["_s"].eqNullSafe(state["source"])).groupBy(*keys).agg(F.sum(words * rate).alias("f"), F.sum(slope).alias("g"))
-        off = F.col("f") - F.col("target")
-        low, high = F.when(off < 0, F.col("dual")).otherwise(F.col("low")), F.when(off >= 0, F.col("dual")).otherwise(F.col("high"))
-        step = F.col("dual") - off / F.col("g")
-        narrow = F.when(F.abs(low) > 2000, high - 2 - 2 * F.abs(high)).when(F.abs(high) > 2000, low + 2 + 2 * F.abs(low)).otherwise((low + high) / 2)
-        good = (F.col("g") > 0) & (step > low) & (step < high) & (F.abs(step - F.col("dual")) < 8)
-        settled = F.col("full") | (F.abs(off) <= tolerance * F.col("target")) | (high - low < 1e-12)
-        got = got.select("source", "source_size", "target", "scale", "full", F.when(settled, F.col("dual")).otherwise(F.when(good, step).otherwise(narrow)).alias("dual"), low.alias("low"), high.alias("high"), settled.alias("settled"))
-        got = materialize(got)
+        slope = F.when(F.col("rate") < cap, F.col("words") * F.col("size") / F.col("scale")).otherwise(0.0)
+        keys = list(state.columns)
+        got = h.join(maybe_broadcast(state, n), h["_s"].eqNullSafe(state["source"])).withColumn("rate", rate).withColumn("words", F.col("size") * F.col("docs") * F.col("rate")).groupBy(*keys).agg(F.sum("words").alias("f"), F.sum(slope).alias("g"))
+        # one column at a time, so that no expression is repeated inside the next
+        got = (got.withColumn("off", F.col("f") - F.col("target"))
+               .withColumn("low", F.when(F.col("off") < 0, F.col("dual")).otherwise(F.col("low")))
+               .withColumn("high", F.when(F.col("off") >= 0, F.col("dual")).otherwise(F.col("high")))
+               .withColumn("step", F.col("dual") - F.col("off") / F.col("g"))
+               .withColumn("narrow", F.when(F.abs("low") > 2000, F.col("high") - 2 - 2 * F.abs("high")).when(F.abs("high") > 2000, F.col("low") + 2 + 2 * F.abs("low")).otherwise((F.col("low") + F.col("high")) / 2))
+               .withColumn("good", F.expr("g > 0 and step > low and step < high and abs(step - dual) < 8"))
+               .withColumn("settled", F.col("full") | (F.abs("off") <= tolerance * F.col("target")) | (F.col("high") - F.col("low") < 1e-12)))
+        got = got.select("source", "source_size", "target", "scale", "full", F.when(F.col("settled"), F.col("dual")).when(F.col("good"), F.col("step")).otherwise(F.col("narrow")).alias("dual"), "low", "high", "settled")
+        got = materialize(got, n)
         state = got.drop("settled")
         if got.where("not settled").isEmpty():
             break
@@ -86,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, b
     """
     sized = materialize(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")))
     hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    targets = materialize(source_targets(hist.select("source", (F.col("size") * F.col("docs")).alias("size")), weights, cap))
+    targets = materialize(source_targets(hist.select("source", (F.col("size") * F.col("docs")).alias("size")), weights, cap))  # one row a source
     state = solve_dual(hist.where("size > 0"), targets, cap)
     n = targets.count()
     st = state.select(F.col("source").alias("_s"), "dual", "scale", "full")
@@ -121,7 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, b
         better = F.abs(F.abs(F.col("_rest")) - F.col("size"))
         fits = (F.col("size") > 0) & (better < F.abs(F.col("_rest"))) & F.when(sign > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
         best = open_.where(fits).groupBy(F.col("_s")).agg(F.min_by(F.struct("doc_id", sign.alias("sign")), F.struct(better, F.col("doc_id"))).alias("p")).select("_s", F.col("p.doc_id").alias("_d"), F.col("p.sign").alias("_sign"))
-        best = materialize(best)
+        best = materialize(best, n)
         if best.isEmpty():
             break
         taken = materialize(taken.join(maybe_broadcast(best, n), taken["source"].eqNullSafe(best["_s"]) & taken["doc_id"].eqNullSafe(best["_d"]), "left")
