@@ -128,7 +128,7 @@ SELECT sector, CAST(sum(cents) AS BIGINT) AS cents, round(sum(cents) * 100.0::DO
 def sector_weights(spark, sf):
     """Total cost and weight of a portfolio by sector."""
     own = companies(spark, sf).withColumn("cents", F.round(F.greatest("balance", F.lit(0.0)) * 100).cast("long")).groupBy("sector").agg(F.sum("cents").alias("cents"))
-    return own.withColumn("weight", F.round(F.col("cents") * F.lit(100.0) / F.sum("cents").over(W.partitionBy()), 4))
+    return own.withColumn("weight", F.round(F.col("cents") * F.lit(100.0) / own.agg(F.sum("cents")).scalar(), 4))
 
 
 @query("""WITH p AS (SELECT cik, CAST(round(greatest(balance, 0) * 100) AS BIGINT) AS cents FROM companies WHERE cik <= 500), t AS (SELECT CAST(sum(cents) AS DOUBLE) AS total FROM p)
@@ -136,7 +136,7 @@ SELECT a.accession, a.cik, round(a.materiality * p.cents / t.total, 6) AS weight
 def portfolio_weighted_alerts(spark, sf):
     """Alerts on held positions, weighted by exposure."""
     own = companies(spark, sf).where("cik <= 500").select("cik", F.round(F.greatest("balance", F.lit(0.0)) * 100).cast("long").alias("cents"))
-    own = own.withColumn("total", F.sum("cents").over(W.partitionBy()).cast("double"))
+    own = own.withColumn("total", own.agg(F.sum("cents")).scalar().cast("double"))
     return alerts(spark, sf).where("materiality >= 60").join(own, "cik").select("accession", "cik", F.round(F.col("materiality") * F.col("cents") / F.col("total"), 6).alias("weighted"))
 
 
@@ -347,7 +347,7 @@ def replace_child_rows(spark, sf):
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM events) - 7", with_roles=False)
 def retention_prune(spark, sf):
     own = read(spark, sf, "events").withColumn("day", F.to_date("ts"))
-    return changes.retain(own.withColumn("_now", F.max("day").over(W.partitionBy())), "day", F.col("_now"), 7).select("event_id")
+    return changes.retain(own, "day", own.agg(F.max("day")).scalar(), 7).select("event_id")
 
 
 @query("SELECT cik, accession, form, filed FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY filed DESC, accession DESC) AS k FROM filings) WHERE k = 1")

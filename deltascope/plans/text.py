@@ -197,7 +197,8 @@ def feed_importance(spark, sf):
 s AS (SELECT event_id, round(0.4 * least(auth * pow(2.0, -age / 6.0) * boost, 1.0) + 0.6 * ping, 6) AS score FROM a) SELECT event_id, score FROM s WHERE score >= 0.10 ORDER BY score DESC, event_id LIMIT 100""", with_roles=False)
 def relevance_rank(spark, sf):
     """Authority, recency and boost of an article blended with its ping score; the top hundred."""
-    own = read(spark, sf, "events").withColumn("now", F.max("ts").over(W.partitionBy()))
+    own = read(spark, sf, "events")
+    own = own.withColumn("now", own.agg(F.max("ts")).scalar())
     e = F.col("event_type")
     auth = F.when(e == "purchase", 1.0).when(e == "signup", 0.9).when(e == "click", 0.6).otherwise(0.4)
     boost = F.when(F.col("value") >= 90, 1.5).otherwise(1.0)
