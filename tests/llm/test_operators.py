@@ -293,3 +293,9 @@ def test_chat_rotation(spark):
     assert r.text[a:b] == "hi<|end|>\n" and r.n_masked == b - a
     assert got[1, "bob", 0]["mask"].count("-") == 2 and got[1, "bob", 1].n_masked == 0
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_pii_without_broadcast(spark):
+    df = docs_of(spark, ["tel +1 (988) 555-2485", "clean", None, "tel +1 (988) 555-2485 again"])
+    one, two = ([(r.doc_id, r.text, r.n_entities) for r in pii.anonymize(df, "k", most_broadcast=n).orderBy("doc_id").collect()] for n in (0, 100))
+    assert one == two and one[0][1] != "tel +1 (988) 555-2485" and one[1][1] == "clean"
