@@ -228,3 +228,47 @@ def hedge_counts(spark, sf):
     """Soft and firm words of a text."""
     low = F.lower("text")
     return read(spark, sf, "documents").select("doc_id", F.regexp_count(low, F.lit(r"\b(?:for|from)\b")).cast("long").alias("soft"), F.regexp_count(low, F.lit(r"\b(?:was|this)\b")).cast("long").alias("hard")).where("soft + hard > 0")
+
+
+PLAIN = PARAS.replace("list_distinct(regexp_extract_all(regexp_replace(lower(p), '[0-9]+', '#', 'g'), '[a-z#]+')) AS t", "regexp_extract_all(lower(p), '[a-z]+') AS t")
+
+
+@query(f"""WITH {VERSIONS}, {PLAIN}, q AS (SELECT doc_id, side, t, row_number() OVER (PARTITION BY doc_id, side ORDER BY k) - 1 AS pos FROM paras), sz AS (SELECT doc_id, count(*) AS n FROM q GROUP BY 1),
+tm AS (SELECT doc_id, side, pos, len(t) AS l, unnest(t) AS term FROM q), tc AS (SELECT doc_id, side, pos, l, term, count(*) AS c FROM tm GROUP BY ALL), d AS (SELECT doc_id, term, count(*) AS df FROM tc GROUP BY 1, 2),
+w AS (SELECT tc.doc_id, side, pos, tc.term, c / l::DOUBLE * (ln((n + 1) / (df + 1)::DOUBLE) + 1) AS w FROM tc JOIN d ON d.doc_id = tc.doc_id AND d.term = tc.term JOIN sz ON sz.doc_id = tc.doc_id), nm AS (SELECT doc_id, side, pos, sqrt(sum(w * w)) AS nm FROM w GROUP BY 1, 2, 3),
+p AS (SELECT a.doc_id, a.pos AS new_at, b.pos AS old_at, sum(a.w * b.w) AS dot FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.term = b.term AND a.side = 'n' AND b.side = 'o' GROUP BY 1, 2, 3)
+SELECT p.doc_id, p.new_at, p.old_at, round(dot / (x.nm * y.nm), 4) AS cosine FROM p JOIN nm x ON x.doc_id = p.doc_id AND x.side = 'n' AND x.pos = p.new_at JOIN nm y ON y.doc_id = p.doc_id AND y.side = 'o' AND y.pos = p.old_at WHERE dot / (x.nm * y.nm) >= 0.5""", with_roles=False)
+def tfidf_cosine_pairs(spark, sf):
+    """Paragraph pairs of two versions with a TF-IDF cosine of at least one half."""
+    own = versions(spark, sf)
+    side = lambda name, mark: own.select(F.col("doc_id").alias("key"), F.lit(mark).alias("side"), F.posexplode(T.paragraphs(F.col(name)))).select("key", "side", F.col("pos").cast("long").alias("at"), T.tokens(F.col("col")).alias("toks"))
+    out = align.tfidf_pairs(side("new_text", "n").unionByName(side("old_text", "o")))
+    return out.select(F.col("key").alias("doc_id"), "new_at", "old_at", F.round("cosine", 4).alias("cosine"))
+
+
+def _conversation_versions(spark, sf):
+    """Each turn beside the turn before it of the same role."""
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("new"), F.lag("text").over(w).alias("old")).where("old is not null")
+
+
+@query(None)
+def char_similarity(spark, sf):
+    """Character similarity of successive turns; equal fingerprints are not compared."""
+    own = _conversation_versions(spark, sf)
+    same = T.fingerprint(F.col("old")) == T.fingerprint(F.col("new"))
+    return own.select("conv_id", "turn", F.when(same, 1.0).otherwise(F.round(align.text_ratio()("old", "new"), 6)).alias("similarity"))
+
+
+@query(None)
+def word_diff_spans(spark, sf):
+    """Word diff of successive turns as tagged spans."""
+    return _conversation_versions(spark, sf).select("conv_id", "turn", F.explode(align.word_spans()("old", "new")).alias("s")).select("conv_id", "turn", "s.tag", "s.text")
+
+
+@query(None)
+def sentence_novelty(spark, sf):
+    """Sentences of a turn unlike every one of the turn before."""
+    run = align.novelty()
+    own = _conversation_versions(spark, sf).select("conv_id", "turn", T.sentences(F.col("old")).alias("old"), T.sentences(F.col("new")).alias("new"))
+    return own.select("conv_id", "turn", F.explode(run("old", "new")).alias("sentence"))
