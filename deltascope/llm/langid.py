@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -96,16 +97,21 @@ def train(docs: DataFrame, most_rows: int = 4000, penalty: float = 6.0) -> Model
         share = share | ((F.col("lang") == lang) & (F.pmod(F.col("_h"), F.lit(1 << 20)) < int(min(1.0, most_rows / n) * (1 << 20))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        uses: dict[tuple[str, str], int] = {}
+        words: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
-                own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for w in _WORD.findall(text.lower()):
-                    np.add.at(own, features(w), 1)
-                    key = (lang, script_of(w))
-                    uses[key] = uses.get(key, 0) + 1
-        yield pd.DataFrame({"lang": list(sums), "counts": [x.astype(np.int32).tobytes() for x in sums.values()], "scripts": ["\n".join(f"{s}\t{n}" for (k, s), n in uses.items() if k == lang) for lang in sums]})
+                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+        rows = []
+        for lang, own in words.items():
+            sums, uses, items = np.zeros(BUCKETS), Counter(), list(own.items())
+            for k in range(0, len(items), 20_000):
+                found = [features(w) for w, _ in items[k : k + 20_000]]
+                times = np.repeat([n for _, n in items[k : k + 20_000]], [len(x) for x in found])
+                sums += np.bincount(np.concatenate(found), times, BUCKETS)
+            for w, n in items:
+                uses[script_of(w)] += n
+            rows.append((lang, sums.astype(np.int32).tobytes(), "\n".join(f"{x}\t{n}" for x, n in uses.items())))
+        yield pd.DataFrame(rows, columns=["lang", "counts", "scripts"])
 
     sample = labelled.where(share).select("lang", "text")
     totals: dict[str, np.ndarray] = {}
