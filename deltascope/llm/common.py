@@ -58,21 +58,24 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFram
 class Encoder:
     """Exact ids of a public vocabulary through a cache of space-delimited chunks.
 
-    Both public pre-tokenizers never join characters over a single white space, so a text's ids are the ids of its
-    chunks one after another. ``lead`` keeps the space in front of a chunk (byte-level BPE); texts whose white space
-    is not plain single separators go through the library whole. The cache is emptied when it holds ``most`` chunks.
+    Both public pre-tokenizers split at single white space, so a text's ids are the ids of its chunks one after another.
+    ``lead`` keeps the space in front of a chunk and the line feeds (byte-level BPE); texts whose white space is not
+    plain single separators go through the library whole. New chunks are encoded together, told apart by a separator of
+    one known id. A full cache (``most`` chunks) stays as it is until four times as many chunks were not found in it.
     """
 
     _kept: dict = {}
-    _odd_lead = re.compile(r"\s\s|^\s|\s\Z|[\x1c-\x1f\x85]")
+    _odd_lead = re.compile(r"\s\s|^\s|\s\Z|[\x00\x1c-\x1f\x85]|[^\S \n]")
     _odd_drop = re.compile(r"[\x1c-\x1f\x85]")
 
-    def __init__(self, path: str, lead: bool, most: int = 300_000):
+    def __init__(self, path: str, lead: bool, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.lead, self.most, self.cache = lead, most, {}
+        self.lead, self.most, self.cache, self.missed = lead, most, {}, 0
+        self.mark = "\n" if lead else "~"
+        (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
     @classmethod
     def get(cls, path: str, lead: bool) -> "Encoder":
@@ -80,29 +83,68 @@ class Encoder:
             cls._kept[path, lead] = cls(path, lead)
         return cls._kept[path, lead]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").astype("<u2").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one whole text as little-endian uint16 (both vocabularies have fewer than 65,536 ids)."""
-        if not text:
-            return np.zeros(0, "<u2")
-        cache = self.cache
-        if self.lead:
-            if self._odd_lead.search(text):
-                return np.frombuffer(self._ids([text])[0], "<u2")
-            first, *rest = text.split(" ")
-            head = self._ids([first])[0]
-        else:
-            if self._odd_drop.search(text):
-                return np.frombuffer(self._ids([text])[0], "<u2")
-            head, rest = b"", text.split()
-        try:
-            return np.frombuffer(head + b"".join([cache[w] for w in rest]), "<u2")
-        except KeyError:
-            new = list({w for w in rest if w not in cache})
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(rest))
-            cache.update(zip(new, self._ids([" " + w for w in new] if self.lead else new)))
-            return np.frombuffer(head + b"".join([cache[w] for w in rest]), "<u2")
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        out = {"\n": np.asarray([self.mark_id], "<u2").tobytes()} if self.lead else {}
+        plain = [c for c in chunks if c != "\n"] if self.lead else [c for c in chunks if "~" not in c]
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            if self.lead:
+                ids = self._whole("\n".join([c[1:] if c[0] == "\x00" else " " + c for c in part]))
+            else:
+                ids = self._whole(" ~ ".join(part))
+            cut = np.flatnonzero(ids == self.mark_id)
+            if len(cut) != len(part) - 1:
+                out.update((c, self._whole((c[1:] if c[0] == "\x00" else " " + c) if self.lead else c).tobytes()) for c in part)
+                continue
+            raw, ends = ids.tobytes(), np.append(cut, len(ids)).tolist()
+            at = 0
+            for c, e in zip(part, ends):
+                out[c] = raw[2 * at : 2 * e]
+                at = e + 1
+        if not self.lead:
+            out.update((c, self._whole(c).tobytes()) for c in chunks if "~" in c)
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text as little-endian uint16 (both vocabularies have fewer than 65,536 ids)."""
+        out: list = [np.zeros(0, "<u2")] * len(texts)
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if (self._odd_lead if self.lead else self._odd_drop).search(text):
+                out[i] = self._whole(text)
+                continue
+            held.append((i, ("\x00" + text.replace("\n", " \n \x00")).split(" ") if self.lead else text.split()))
+            size += len(text)
+            if size > 2_000_000:
+                self._join(held, out)
+                held, size = [], 0
+        self._join(held, out)
+        return out
+
+    def _join(self, held: list, out: list) -> None:
+        seen: set = set()
+        for _, chunks in held:
+            seen.update(chunks)
+        new = seen.difference(self.cache)
+        own = self._together(list(new)) if new else {}
+        if len(self.cache) + len(own) > self.most:
+            self.missed += len(own)
+            if self.missed > 4 * self.most:
+                self.cache.clear()
+                self.missed = 0
+        kept = self.cache
+        # chunks of this lot only: a small table, so that the many look-ups below stay near the processor
+        local = {c: kept[c] for c in seen.difference(own) if c in kept}
+        if len(kept) + len(own) <= self.most:
+            kept.update(own)
+        local.update(own)
+        if len(local) < len(seen):
+            local.update(self._together([c for c in seen if c not in local]))
+        get = local.__getitem__
+        for i, chunks in held:
+            out[i] = np.frombuffer(b"".join(map(get, chunks)), "<u2")

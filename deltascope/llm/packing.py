@@ -31,8 +31,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
         enc, end = Encoder.get(vocabulary, lead=True), np.array([end_id], "<u4")
         for b in batches:
             rows = []
-            for d, t in zip(b["doc_id"], b["text"]):
-                ids = np.concatenate([enc.encode(t or "").astype("<u4"), end])
+            for d, own in zip(b["doc_id"], enc.encode_many(list(b["text"]))):
+                ids = np.concatenate([own.astype("<u4"), end])
                 for k, (s, n) in enumerate(cut_document(len(ids), capacity)):
                     part = ids[s : s + n]
                     rows.append((d, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))

@@ -107,8 +107,8 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: i
             return pd.DataFrame({"part": [part], "seq": [seq], "n_ids": [n], "doc_ids": [[None if pd.isna(x) else int(x) for x in names]], "lengths": [[len(x) for x in held]], "ids": [dac_encode(np.concatenate(held))]})
 
         for b in batches:
-            for d, t in zip(b["doc_id"], b["text"]):
-                held.append(np.concatenate([enc.encode(t or "").astype("<u4"), end]))
+            for d, own in zip(b["doc_id"], enc.encode_many(list(b["text"]))):
+                held.append(np.concatenate([own.astype("<u4"), end]))
                 names.append(d)
                 n += len(held[-1])
                 if n >= block_ids:
