@@ -42,12 +42,12 @@ def stream_throttled_alerts(spark, sf):
     return _finish(spark, sent, "append", "user_id long, ts timestamp").groupBy("user_id").agg(F.count("*").alias("sent"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(CAST(round(value * 100) AS BIGINT)) / 100, 4) AS mean FROM events GROUP BY 1, 2", with_roles=False)
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6) AS mean FROM events GROUP BY 1, 2", with_roles=False)
 def stream_tumbling_counts(spark, sf):
     """Extension: one-day windows with a watermark."""
     cents = events_stream(spark, sf).withColumn("value", F.round(F.col("value") * 100).cast("long"))
     out = monitor.tumbling(cents, "ts", "1 day", ["event_type"])
-    return _finish(spark, out, "complete", "start timestamp, event_type string, n long, mean double").withColumn("mean", F.round(F.col("mean") / 100, 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return _finish(spark, out, "complete", "start timestamp, event_type string, n long, mean double").withColumn("mean", F.round(F.col("mean") / 100, 6)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT event_id, user_id, event_type FROM events) GROUP BY 1, 2", with_roles=False)

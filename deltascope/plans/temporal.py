@@ -199,10 +199,10 @@ def sharpe_ratio(spark, sf):
     return own.groupBy("ticker").agg(F.count("*").alias("n"), F.round(F.avg("ret") / F.when(sd != 0, sd) * F.sqrt(F.lit(252 / 5.0)), 6).alias("sharpe"))
 
 
-@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(CAST(round(value * 100) AS BIGINT)) / 100, 4) AS mean FROM events GROUP BY 1, 2", with_roles=False)
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(avg(CAST(round(value * 100) AS BIGINT)) / 100, 6) AS mean FROM events GROUP BY 1, 2", with_roles=False)
 def events_tumbling_window(spark, sf):
     """Extension: one-day tumbling windows."""
-    own = read(spark, sf, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.round(F.col("value") * 100).cast("long")) / 100, 4).alias("mean"))
+    own = read(spark, sf, "events").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.round(F.col("value") * 100).cast("long")) / 100, 6).alias("mean"))
     return own.select("event_type", F.col("window.start").alias("day"), "n", "mean")
 
 
