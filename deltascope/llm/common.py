@@ -65,7 +65,8 @@ class Encoder:
     """
 
     _kept: dict = {}
-    _odd_lead = re.compile(r"\s\s|^\s|\s\Z|[\x00\x1c-\x1f\x85]|[^\S \n]")
+    #: White space other than space and line feed, and the mark of a chunk without a space in front.
+    _odd_lead = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _odd_drop = re.compile(r"[\x1c-\x1f\x85]")
 
     def __init__(self, path: str, lead: bool, most: int = 500_000):
@@ -83,6 +84,22 @@ class Encoder:
             cls._kept[path, lead] = cls(path, lead)
         return cls._kept[path, lead]
 
+    def _odd(self, text: str) -> bool:
+        if not self.lead:
+            return self._odd_drop.search(text) is not None
+        return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or self._odd_lead.search(text) is not None
+
+    def _new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of new chunks. A full stop or comma after a letter is a token run of its own, so such a chunk is put
+        together from the ids of its word and of the sign."""
+        split = {c: c[:-1] for c in chunks if c[-1] in ".," and len(c) > 1 and c[-2].isalpha()}
+        mark = "\x00" if self.lead else ""
+        bases = {b for b in split.values() if b not in self.cache}
+        out = self._together([c for c in {*chunks, *bases, mark + ".", mark + ","} if c not in split])
+        for c, b in split.items():
+            out[c] = (out[b] if b in out else self.cache[b]) + out[mark + c[-1]]
+        return out
+
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
@@ -115,7 +132,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if (self._odd_lead if self.lead else self._odd_drop).search(text):
+            if self._odd(text):
                 out[i] = self._whole(text)
                 continue
             held.append((i, ("\x00" + text.replace("\n", " \n \x00")).split(" ") if self.lead else text.split()))
@@ -131,7 +148,7 @@ class Encoder:
         for _, chunks in held:
             seen.update(chunks)
         new = seen.difference(self.cache)
-        own = self._together(list(new)) if new else {}
+        own = self._new(list(new)) if new else {}
         if len(self.cache) + len(own) > self.most:
             self.missed += len(own)
             if self.missed > 4 * self.most:
@@ -144,7 +161,7 @@ class Encoder:
             kept.update(own)
         local.update(own)
         if len(local) < len(seen):
-            local.update(self._together([c for c in seen if c not in local]))
+            local.update(self._new([c for c in seen if c not in local]))
         get = local.__getitem__
         for i, chunks in held:
             out[i] = np.frombuffer(b"".join(map(get, chunks)), "<u2")
