@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import word_hashes
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -41,14 +43,14 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
-    """Piece ids of white-space separated words, cached; the cache is emptied when it holds ``most`` words."""
+    """A public piece vocabulary."""
 
     _kept: dict = {}
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.model, self.cache, self.most = sentencepiece.SentencePieceProcessor(model_file=path), {}, most
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
 
     @classmethod
@@ -57,41 +59,35 @@ class Pieces:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
-        except KeyError:
-            new = list({w for w in words if w not in cache})
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(words))
-            cache.update((w, np.asarray(x, "<u4").tobytes()) for w, x in zip(new, self.model.encode(new, num_threads=1)))
-            return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
-
-
-def repeated_words(words: list) -> int:
-    """Words that lie in a 3-word window found twice or more."""
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+
+
+def repeated_words(words: np.ndarray) -> int:
+    """Words (as hashes) that lie in a 3-word window found twice or more."""
     if len(words) < 3:
         return 0
-    seen: dict = {}
-    at = np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64)
-    _, pair = np.unique(at[:-1] * len(seen) + at[1:], return_inverse=True)
-    _, own, count = np.unique(pair[:-1] * len(seen) + at[2:], return_inverse=True, return_counts=True)
-    twice = count[own] >= 2
-    mark = np.zeros(len(at), bool)
+    a, b, c = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+    windows = (words[:-2] * a) ^ (words[1:-1] * b) ^ (words[2:] * c)
+    order = np.argsort(windows, kind="stable")
+    same = windows[order][1:] == windows[order][:-1]
+    if not same.any():
+        return 0
+    twice = np.zeros(len(windows), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    mark = np.zeros(len(words), bool)
     for k in range(3):
         mark[k : k + len(twice)] |= twice
     return int(mark.sum())
 
 
-def fertility(words: list[str], pieces: Pieces) -> tuple[float, float, float, float]:
+def fertility(ids: np.ndarray, chars: int, words: int, is_byte: np.ndarray) -> tuple[float, float, float, float]:
     """Characters per token, tokens per word, byte-fallback share, entropy of the tokens in bits."""
-    ids = pieces.ids(words)
-    if not len(ids):
+    if not len(ids) or not words:
         return 0.0, 0.0, 0.0, 0.0
     count = np.unique(ids, return_counts=True)[1] / len(ids)
-    return sum(map(len, words)) / len(ids), len(ids) / len(words), float(pieces.is_byte[ids].mean()), float(-(count * np.log2(count)).sum())
+    return chars / len(ids), len(ids) / words, float(is_byte[ids].mean()), float(-(count * np.log2(count)).sum())
 
 
 def band_of(lang: str | None, text: str, bands: dict[str, Band] = BANDS) -> str:
@@ -115,11 +111,9 @@ def judge(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces.get(vocabulary)
         for b in batches:
-            rows = []
-            for d, t, lang in zip(b["doc_id"], b["text"], b["lang"]):
-                t = t or ""
-                words = [w.decode("utf-8", "surrogatepass") for w in t.encode("utf-8", "surrogatepass").split()]
-                n, again = len(words), repeated_words(words)
+            rows, texts = [], [t or "" for t in b["text"]]
+            for d, t, lang, words, ids in zip(b["doc_id"], texts, b["lang"], word_hashes(texts), pieces.ids(texts)):
+                n, again, chars = len(words), repeated_words(words), len(t) - sum(map(t.count, SPACES))
                 earlier, dup = set(), 0
                 for line in t.split("\n"):
                     if line in earlier:
@@ -128,10 +122,10 @@ def judge(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS) -> D
                         earlier.add(line)
                 failed = n < 50 or 100 * again > 50 * n
                 name = band_of(lang, t, bands)
-                per_token, per_word, share, bits = fertility(words, pieces)
+                per_token, per_word, share, bits = fertility(ids, chars, n, pieces.is_byte)
                 band = bands[name]
                 fits = band.chars_per_token[0] <= per_token <= band.chars_per_token[1] and band.tokens_per_word[0] <= per_word <= band.tokens_per_word[1] and share <= band.byte_share and bits >= band.entropy_bits
-                rows.append((d, n, len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), dup, again, failed, bool(fits and not failed), name, per_token, per_word, share, bits))
+                rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), dup, again, failed, bool(fits and not failed), name, per_token, per_word, share, bits))
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "chars_per_token", "tokens_per_word", "byte_share", "entropy_bits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out

@@ -8,6 +8,7 @@ _BASE = 0x9E3779B97F4A7C15
 _MULS = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 _VALUES = np.random.default_rng(20240517).integers(1, 2**64, 256, dtype=np.uint64)
 _VALUES[65:91] = _VALUES[97:123]  # A-Z read as a-z
+_CASED = np.random.default_rng(20240518).integers(1, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _powers: list[np.ndarray] = []
@@ -25,18 +26,21 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _chunk(raw: list[bytes], k: int) -> list[np.ndarray]:
+def _words(raw: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words one after another, and where each text's words begin and end."""
     text = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     power, inverse = _powers_of(len(text))
     space = _SPACE[text]
     edge = np.diff(space.astype(np.int8), prepend=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if space[0]:
-        ends = ends[ends > 0]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[text] * power[: len(text)])])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[text] * power[: len(text)])])
     words = _mix((sums[ends] - sums[starts]) * inverse[starts])
     lengths = np.array([len(x) + 1 for x in raw])
-    cut = np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+    return words, np.searchsorted(starts, np.concatenate([[0], np.cumsum(lengths)]))
+
+
+def _chunk(raw: list[bytes], k: int) -> list[np.ndarray]:
+    words, cut = _words(raw, _VALUES)
 
     def fold(parts: list[np.ndarray]) -> np.ndarray:
         h = np.zeros(len(parts[0]), np.uint64)
@@ -56,14 +60,28 @@ def _chunk(raw: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], k: int, chunk_bytes: int = 1 << 20) -> list[np.ndarray]:
-    """The distinct ``k``-word shingles of each whole text; fewer words make one shingle; no word, none. Null: none."""
+def _cased(raw: list[bytes]) -> list[np.ndarray]:
+    words, cut = _words(raw, _CASED)
+    return [words[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+def _in_chunks(texts: list[str | None], run, chunk_bytes: int) -> list[np.ndarray]:
     out, held, size = [], [], 0
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
         if held and size + len(raw) > chunk_bytes:
-            out += _chunk(held, k)
+            out += run(held)
             held, size = [], 0
         held.append(raw)
         size += len(raw) + 1
-    return out + (_chunk(held, k) if held else [])
+    return out + (run(held) if held else [])
+
+
+def word_hashes(texts: list[str | None], chunk_bytes: int = 1 << 20) -> list[np.ndarray]:
+    """64-bit hashes of each text's words in order, capitals told apart. Null: none."""
+    return _in_chunks(texts, _cased, chunk_bytes)
+
+
+def shingle_sets(texts: list[str | None], k: int, chunk_bytes: int = 1 << 20) -> list[np.ndarray]:
+    """The distinct ``k``-word shingles of each whole text; fewer words make one shingle; no word, none. Null: none."""
+    return _in_chunks(texts, lambda raw: _chunk(raw, k), chunk_bytes)
