@@ -28,6 +28,8 @@ SCRIPTS = {
 }
 _WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
+#: The bounded sample of labelled documents is counted by so many tasks.
+TASKS = 8
 UND = "und"
 
 
@@ -87,7 +89,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(docs: DataFrame, most_rows: int = 4000, penalty: float = 6.0) -> Model:
     """Naive Bayes over word features from at most ``most_rows`` labelled documents of each language (those whose
     hashed id is smallest), none with crc32(doc_id) mod 4 = 2. Null and empty texts, null ids and languages teach
-    nothing. The features are counted on the executors; one row of BUCKETS counts for each language and task comes back.
+    nothing. The features are counted by TASKS tasks; each sends back one row of BUCKETS counts a language.
     """
     labelled = docs.where("text is not null and lang is not null and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2").select("lang", "text", F.xxhash64("doc_id").alias("_h"))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
@@ -113,10 +115,10 @@ def train(docs: DataFrame, most_rows: int = 4000, penalty: float = 6.0) -> Model
             rows.append((lang, sums.astype(np.int32).tobytes(), "\n".join(f"{x}\t{n}" for x, n in uses.items())))
         yield pd.DataFrame(rows, columns=["lang", "counts", "scripts"])
 
-    sample = labelled.where(share).select("lang", "text")
+    sample = labelled.where(share).select("lang", "text").repartition(TASKS)
     totals: dict[str, np.ndarray] = {}
     scripts: dict[str, dict[str, int]] = {}
-    for r in sample.mapInPandas(count, "lang string, counts binary, scripts string").toLocalIterator():
+    for r in sample.mapInPandas(count, "lang string, counts binary, scripts string").collect():  # TASKS rows a language
         totals[r["lang"]] = totals.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int32)
         for line in r["scripts"].splitlines():
             s, n = line.split("\t")
