@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,18 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 1000):
+    """Inside, Python workers get at most ``rows`` rows at a time, so that long texts and sets stay small in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_count(col):
     """Number of maximal runs of non-space characters (contract white space); null counts 0."""
     parts = F.split(F.coalesce(col, F.lit("")), SPACE)
@@ -76,6 +89,9 @@ class Encoder:
         self.tok.encode_special_tokens = True
         self.lead, self.most, self.cache, self.missed = lead, most, {}, 0
         self.mark = "\n" if lead else "~"
+        # a chunk of letters is one token run: its first token alone holds the space, its last alone the end of the word
+        size = self.tok.get_vocab_size()
+        self.edge = np.array([(t.startswith("\u0120") if lead else t.endswith("</w>")) for t in (self.tok.id_to_token(i) or "" for i in range(size))])
         (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
     @classmethod
@@ -104,6 +120,22 @@ class Encoder:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 
     def _together(self, chunks: list[str]) -> dict[str, bytes]:
+        letters = [c for c in chunks if c.isalpha()]
+        if len(letters) > 1:
+            out = {}
+            for k in range(0, len(letters), 4000):
+                part = letters[k : k + 4000]
+                ids = self._whole((" " if self.lead else "") + " ".join(part))
+                cut = np.flatnonzero(self.edge[ids])
+                ends = np.append(cut[1:], len(ids)) if self.lead else cut + 1
+                if len(cut) != len(part) or (cut[0] != 0 if self.lead else ends[-1] != len(ids)):
+                    out.update((c, self._whole(" " + c if self.lead else c).tobytes()) for c in part)
+                    continue
+                raw, at = ids.tobytes(), 0
+                for c, e in zip(part, ends.tolist()):
+                    out[c] = raw[2 * at : 2 * e]
+                    at = e
+            return out | self._together([c for c in chunks if not c.isalpha()])
         out = {"\n": np.asarray([self.mark_id], "<u2").tobytes()} if self.lead else {}
         plain = [c for c in chunks if c != "\n"] if self.lead else [c for c in chunks if "~" not in c]
         for k in range(0, len(plain), 2000):
