@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import arrow_batches, materialize, maybe_broadcast
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -39,7 +39,7 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 class Join:
-    def __init__(self, words: int = 4, num: int = 85, slack: int = 15, list_rows: int = 20_000, bucket_tokens: int = 1_500_000):
+    def __init__(self, words: int = 4, num: int = 85, slack: int = 15, list_rows: int = 20_000, bucket_tokens: int = 600_000):
         """Link when 100 * intersection >= ``num`` * union. ``slack``: percent of a set's size that P holds beyond the
         plain prefix; ``list_rows``: longer lists are compared in pairs of blocks, none is cut short."""
         self.words, self.num, self.slack, self.list_rows, self.bucket_tokens = words, num, min(slack, num), list_rows, bucket_tokens
@@ -87,7 +87,7 @@ class Join:
                     docs.append(d)
                     sizes.append(len(own))
                     total += len(held[-1])
-                    if total > 1_000_000:
+                    if total > 500_000:
                         yield flush()
                         held, docs, sizes, total = [], [], [], 0
             if docs:
@@ -231,6 +231,10 @@ class Join:
         Null, empty and wordless texts have no shingles and stand alone. Rows without doc_id stand alone with a null
         component. Rows that repeat a doc_id are one vertex. Extra columns are ignored; no rows give no rows.
         """
+        with arrow_batches(docs.sparkSession):
+            return self._run(docs)
+
+    def _run(self, docs: DataFrame) -> DataFrame:
         base = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
         keyed = materialize(base.select("doc", F.length("text").alias("len"), F.unhex(F.md5("text")).alias("key")))
         groups = keyed.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, materialize
+from .common import Encoder, arrow_batches, materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -155,4 +155,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     Null and empty texts hold the end id alone. Repeated rows are packed once each. Extra columns are ignored.
     An empty table gives an empty result. Texts of any length are cut, never truncated.
     """
-    return assign(materialize(tokenize_pieces(docs, vocabulary, end_id, capacity)), capacity)
+    with arrow_batches(docs.sparkSession, 2000):
+        pieces = materialize(tokenize_pieces(docs, vocabulary, end_id, capacity))
+    return assign(pieces, capacity)
