@@ -57,13 +57,16 @@ class Model:
     scripts: dict[str, np.ndarray]
     penalty: float = 6.0
 
-    def word(self, word: str) -> np.ndarray:
-        """Score of a word in each language, relative to the best, over the candidates its script leaves."""
-        own = self.scores[:, features(word)].mean(1) * min(len(word) + 1, 8)
-        allowed = self.scripts.get(script_of(word))
-        if allowed is not None and allowed.any():
-            own = np.where(allowed, own, own.max() - 50.0)
-        return (own - own.max()).astype(np.float32)
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of words in each language, relative to the best, over the candidates that their scripts leave."""
+        found = [features(w) for w in words]
+        counts = np.array([len(x) for x in found])
+        sums = np.add.reduceat(self.scores[:, np.concatenate(found)], np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=1)
+        own = (sums / counts * np.minimum([len(w) + 1 for w in words], 8)).T
+        every = np.ones(len(self.langs), bool)
+        allowed = np.array([x if x.any() else every for x in (self.scripts.get(script_of(w), every) for w in words)])
+        own = np.where(allowed, own, own.max(1, keepdims=True) - 50.0)
+        return (own - own.max(1, keepdims=True)).astype(np.float32)
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -147,7 +150,7 @@ class Labeller:
                 self.table, new = self.table[:0], list(dict.fromkeys(words))
             at = len(cache)
             cache.update(zip(new, range(at, at + len(new))))
-            self.table = self._grown(at, np.array([self.model.word(w) for w in new]))
+            self.table = self._grown(at, self.model.words(new))
         return np.array([cache[w] for w in words], np.int64)
 
     def _grown(self, at: int, rows: np.ndarray) -> np.ndarray:
