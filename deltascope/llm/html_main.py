@@ -28,6 +28,9 @@ _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WATCHED = ("class", "id", "role", "hidden", "style", "aria-hidden")
 
+#: How much denser an article or main element beside the content counts.
+NAMED_BONUS = 2
+
 
 class Node:
     __slots__ = ("tag", "parent", "items", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total")
@@ -122,11 +125,15 @@ def _noise(node: Node, inside: bool) -> bool:
     return bool(words & NOISE_WORDS) or ("header" in words and not inside)
 
 
+def _named(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.attrs.get("role") == "main"
+
+
 def prune(root: Node) -> None:
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main") or node.attrs.get("role") == "main"
+        inside = inside or _named(node)
         node.items = [x for x in node.items if isinstance(x, str) or not _noise(x, inside)]
         todo += [(x, inside) for x in node.items if isinstance(x, Node)]
 
@@ -192,7 +199,8 @@ def extract(page: str | None) -> str:
     """Main text of one whole page.
 
     The subtree with the largest density sum is the content; the least density on its path to the body is the
-    threshold that other subtrees beside that path must reach. An article or main element on the path is taken whole.
+    threshold that other subtrees beside that path must reach. An article or main element on the path is taken whole;
+    one beside it, such as the next post of a thread, reaches the threshold with half of the density.
     """
     if not page:
         return ""
@@ -208,19 +216,16 @@ def extract(page: str | None) -> str:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    named = [x for x in path if x.tag in ("article", "main") or x.attrs.get("role") == "main"]
-    if named:
-        return "\n\n".join(blocks([named[-1]]))
     floor = min(x.density for x in path)
     chosen, todo = [], [body]
     while todo:  # in page order
         node = todo.pop()
-        if node is best:
+        if node is best or (node in path and _named(node)):
             chosen.append(node)
         elif node in path:
             chosen += [x for x in node.items if isinstance(x, str) and node.total == 0]
             todo += [x for x in reversed(node.items) if isinstance(x, Node)]
-        elif node.chars and node.density >= floor and 2 * node.link_chars < node.chars:
+        elif node.chars and node.density * (NAMED_BONUS if _named(node) else 1) >= floor and 2 * node.link_chars < node.chars:
             chosen.append(node)
     return "\n\n".join(blocks(chosen))
 

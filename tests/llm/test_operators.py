@@ -247,6 +247,15 @@ def test_html_main_text(page):
     assert html_main.extract(page) == WANT
 
 
+def test_html_several_articles():
+    posts = ["".join(f"<p>{prose(10 * i + j, 90)}</p>" for j in range(3)) for i in range(3)]
+    want = [prose(10 * i + j, 90) for i in range(3) for j in range(3)]
+    for wrap in ("{}", "<main>{}</main>", "<div class=feed>{}</div>"):
+        page = "<body><nav><a href=x>m</a></nav>" + wrap.format("".join(f"<article>{x}</article>" for x in posts)) + "<div><a href=y>more of this</a></div></body>"
+        assert html_main.extract(page).split("\n\n")[:9] == want
+    assert "teaser" not in html_main.extract(f"<body><article>{posts[0]}</article><article><a href=x>teaser of another page</a></article></body>")
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (2, None, "", "z"), (3, "u", "<nav>a</nav>", "z"), (4, "u", "<p>x" * 3000, "z"), (4, "u", "plain text", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, r.text[:10]) for r in html_main.main_text(df).collect())
