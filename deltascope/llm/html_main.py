@@ -21,6 +21,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Never part of the main text.
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas video audio map menu dialog".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -30,14 +31,18 @@ _WATCHED = ("class", "id", "role", "hidden", "style", "aria-hidden")
 
 #: How much denser an article or main element beside the content counts.
 NAMED_BONUS = 2
+#: What the density of a subtree named like page furniture counts; inside the content it is kept as dense text with at
+#: least this share of the threshold, this many characters outside links, and less than a third of its text in links.
+DOUBT, DENSE_SHARE, DENSE_CHARS = 0.25, 0.5, 80
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "attrs", "chars", "tags", "link_chars", "link_tags", "density", "total", "doubtful")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: dict):
         self.tag, self.parent, self.attrs = tag, parent, attrs
         self.items: list = []  # child nodes and strings in page order
+        self.doubtful = False  # named like page furniture
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -111,7 +116,7 @@ def parse(page: str) -> Node:
 
 
 def _noise(node: Node, inside: bool) -> bool:
-    """Whether a subtree is page furniture. ``inside``: below an article or main element."""
+    """Whether a subtree is page furniture by its tag, role or state. ``inside``: below an article or main element."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED or (tag == "header" and not inside):
         return True
@@ -119,9 +124,14 @@ def _noise(node: Node, inside: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
-    if attrs.get("role") in NOISE_ROLES:
-        return True
-    words = set(_SPLIT.split(attrs.get("class", "") + " " + attrs.get("id", "")))
+    return attrs.get("role") in NOISE_ROLES
+
+
+def _doubtful(node: Node, inside: bool) -> bool:
+    """Whether class or id name a subtree like page furniture; its density decides. Headings go with their section."""
+    if not node.attrs or node.tag in ("html", "body", "article", "main") or (inside and node.tag in HEADINGS):
+        return False
+    words = set(_SPLIT.split(node.attrs.get("class", "") + " " + node.attrs.get("id", "")))
     return bool(words & NOISE_WORDS) or ("header" in words and not inside)
 
 
@@ -135,7 +145,10 @@ def prune(root: Node) -> None:
         node, inside = todo.pop()
         inside = inside or _named(node)
         node.items = [x for x in node.items if isinstance(x, str) or not _noise(x, inside)]
-        todo += [(x, inside) for x in node.items if isinstance(x, Node)]
+        for x in node.items:
+            if isinstance(x, Node):
+                x.doubtful = _doubtful(x, inside)
+                todo.append((x, inside))
 
 
 def measure(root: Node) -> list[Node]:
@@ -161,10 +174,19 @@ def measure(root: Node) -> list[Node]:
         base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
         node.density = max(0.0, c / t * (math.log(max(1.0, c / lc * t / lt)) / math.log(base) if base > 1.0000001 else math.log(max(1.0, c / lc * t / lt)) + 1.0))
     for node in order:
-        node.total = sum(x.density for x in node.items if isinstance(x, Node))
+        node.total = sum(x.density * (DOUBT if x.doubtful else 1) for x in node.items if isinstance(x, Node))
     return order
 
 
+def drop_doubtful(order: list[Node], path: list[Node], floor: float) -> None:
+    """Take out the subtrees named like page furniture that neither hold the content nor are dense text themselves."""
+    for node in order:
+        if node.doubtful and node not in path:
+            dense = node.density >= DENSE_SHARE * floor and node.chars - node.link_chars >= DENSE_CHARS and 3 * node.link_chars < node.chars
+            if not dense:
+                node.parent.items = [x for x in node.parent.items if x is not node]
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks below ``nodes``: references decoded, white space made one space, empty ones left out."""
     out: list[str] = []
@@ -199,7 +221,8 @@ def extract(page: str | None) -> str:
     """Main text of one whole page.
 
     The subtree with the largest density sum is the content; the least density on its path to the body is the
-    threshold that other subtrees beside that path must reach. An article or main element on the path is taken whole;
+    threshold that other subtrees beside that path must reach. Class and id words of page furniture lower a subtree's
+    weight, but dense text inside the content stays whatever its name. An article or main element on the path is taken whole;
     one beside it, such as the next post of a thread, reaches the threshold with half of the density.
     """
     if not page:
@@ -217,6 +240,7 @@ def extract(page: str | None) -> str:
     while path[-1] is not body:
         path.append(path[-1].parent)
     floor = min(x.density for x in path)
+    drop_doubtful(order, path, floor)
     chosen, todo = [], [body]
     while todo:  # in page order
         node = todo.pop()
@@ -225,7 +249,7 @@ def extract(page: str | None) -> str:
         elif node in path:
             chosen += [x for x in node.items if isinstance(x, str) and node.total == 0]
             todo += [x for x in reversed(node.items) if isinstance(x, Node)]
-        elif node.chars and node.density * (NAMED_BONUS if _named(node) else 1) >= floor and 2 * node.link_chars < node.chars:
+        elif node.chars and node.density * (NAMED_BONUS if _named(node) else 1) * (DOUBT if node.doubtful else 1) >= floor and 2 * node.link_chars < node.chars:
             chosen.append(node)
     return "\n\n".join(blocks(chosen))
 

@@ -256,6 +256,17 @@ def test_html_several_articles():
     assert "teaser" not in html_main.extract(f"<body><article>{posts[0]}</article><article><a href=x>teaser of another page</a></article></body>")
 
 
+def test_html_dense_text_named_like_furniture():
+    text = [prose(i, 90) for i in range(8)]
+    part = lambda tag, name, i: f'<{tag} {name}><h2 id="related-work">Part {i}</h2><p>{text[i]}</p><p>{text[i + 1]}</p></{tag}>'
+    page = "<article>" + part("section", "id=methods", 0) + part("section", "id=discussion", 2) + part("div", 'class="social-history"', 4) + '<div class="share">Share <a href=x>this</a> or <a href=y>that</a></div><div class=comments><p>great</p></div></article>'
+    want = [x for i in (0, 2, 4) for x in (f"Part {i}", text[i], text[i + 1])]
+    ads = '<div class="ad">Buy one now and get one free until the end of this week.</div>'
+    assert html_main.extract(f"<body>{ads}{page}</body>").split("\n\n") == want
+    body = "".join(f"<p>{x}</p>" for x in text)
+    assert html_main.extract(f'<body>{ads}<div class="post-widget">{body}</div><div class="sidebar"><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div></body>').split("\n\n") == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (2, None, "", "z"), (3, "u", "<nav>a</nav>", "z"), (4, "u", "<p>x" * 3000, "z"), (4, "u", "plain text", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, r.text[:10]) for r in html_main.main_text(df).collect())
