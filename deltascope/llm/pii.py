@@ -8,6 +8,8 @@ for names, the gender of the title; country codes, top-level domains and issuer
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|госпо
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "cloud_key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])",
-    "secret": r"(?<=(?i:password|passwd|secret|token|api[_-]key|apikey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)[^\s\"']{6,}",
+    "secret": r"(?<=(?i:password|passwd|secret|token|api[_-]key|apikey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{6,}",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])|(?<![\d.+-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
     "ip": rf"(?<![\d.])(?!127\.|0\.0\.0\.0)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
@@ -69,11 +71,17 @@ def _stream(key: Column, kind: Column, norm: Column, attempt: Column, i: Column)
     return F.conv(F.substring(F.sha2(F.concat_ws("\u0001", key, kind, norm, attempt.cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("long")
 
 
-ALPHABETS = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\d", "0123456789"), ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"), ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{Ll}", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"), (r"\p{Lu}", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"))
+ALPHABETS: tuple[tuple[str, str], ...] = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\d", "0123456789"), ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"), ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{Ll}", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"), (r"\p{Lu}", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
+             (r"\p{IsHan}", "人大小山水火木金土日月天地中上下左右東西南北春秋冬夏花草林石田力子女目耳手足心口"), (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"), (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+             (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호"), (r"(?=\p{IsArabic})\p{L}", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"(?=\p{IsHebrew})\p{L}", "אבגדהוזחטיכלמנסעפצקרשת"),
+             (r"(?=\p{IsThai})\p{L}", "กขคฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ"), (r"(?=\p{IsDevanagari})\p{L}", "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह"),
+             ("[٠-٩]", "٠١٢٣٤٥٦٧٨٩"), ("[۰-۹]", "۰۱۲۳۴۵۶۷۸۹"), ("[०-९]", "०१२३४५६७८९"), (r"\p{L}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789"))
+#: What lengthens an entity whose own length has no free surrogate left; drawn like the entity's own characters.
+FILLERS = {"email": "a" * 16, "secret": "a" * 16, "cloud_key": "A" * 16, "iban": "0" * 12, "card": "0" * 12, "ssn": "0" * 12, "phone": "0" * 12}
 
 
 def _same_class(c: Column, n: Column, hexes: Column) -> Column:
-    """A character of the class and script of ``c``; separators and other scripts' unclassed signs stay."""
+    """A character of the class of ``c``, and of its script where it is a known one; separators and signs stay."""
     out = F.when(hexes & c.rlike("[a-f]"), F.substring(F.lit("abcdef"), (n % 6 + 1).cast("int"), F.lit(1)))
     for p, letters in ALPHABETS:
         out = out.when(c.rlike(p), F.substring(F.lit(letters), (n % len(letters) + 1).cast("int"), F.lit(1)))
@@ -86,29 +94,43 @@ def _luhn_rest(digits: Column) -> Column:
         (acc["s"] + F.when(acc["i"] % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0))).alias("s"), (acc["i"] + 1).alias("i")))["s"] % 10
 
 
-def _draw(key: str, kind: Column, norm: Column, kept: Column, attempt: Column) -> Column:
-    """The candidate surrogate of a normalised entity. ``kept``: leading characters that stay."""
+def _lengthened(kind: Column, norm: Column) -> Column:
+    out = norm
+    for name, filler in FILLERS.items():
+        out = F.when(kind == name, F.concat(F.regexp_extract(norm, "^[^@]*", 0), F.lit(filler), F.regexp_extract(norm, "@.*$", 0)) if name == "email" else F.concat(norm, F.lit(filler))).otherwise(out)
+    return out
+
+
+def _draw(key: str, kind: Column, norm: Column, kept: Column, attempt: Column, longer: bool = False) -> Column:
+    """The candidate surrogate of a normalised entity. ``kept``: leading characters that stay. ``longer``: one of more
+    characters than the entity has, out of 10^12 values or more; addresses become unique local ones (IPv6)."""
     k = F.lit(key)
+    luhn = _luhn_rest(_chars(norm)) == 0
+    own, norm = norm, _lengthened(kind, norm) if longer else norm
     tld = F.length(F.regexp_extract(norm, r"\.[^.@]*$", 0))
     hexes = (kind == "secret") & norm.rlike("^[0-9a-f]+$")
     chars = _chars(norm)
-    drawn = F.transform(chars, lambda c, i: F.when((i < kept) | ((kind == "email") & (i >= F.length(norm) - tld)), c).otherwise(_same_class(c, _stream(k, kind, norm, attempt, i), hexes)))
+    drawn = F.transform(chars, lambda c, i: F.when((i < kept) | ((kind == "email") & (i >= F.length(norm) - tld)), c).otherwise(_same_class(c, _stream(k, kind, own, attempt, i), hexes)))
     # the check digit goes last; it makes the sum of the whole a multiple of ten again
     base = F.concat(F.slice(drawn, 1, F.greatest(F.size(drawn) - 1, F.lit(0))), F.array(F.lit("0")))
-    card = F.when(_luhn_rest(chars) == 0, F.concat(F.array_join(F.slice(base, 1, F.greatest(F.size(base) - 1, F.lit(0))), ""), ((10 - _luhn_rest(base)) % 10).cast("string"))).otherwise(F.array_join(drawn, ""))
+    card = F.when(luhn, F.concat(F.array_join(F.slice(base, 1, F.greatest(F.size(base) - 1, F.lit(0))), ""), ((10 - _luhn_rest(base)) % 10).cast("string"))).otherwise(F.array_join(drawn, ""))
     byte = lambda i, n, low=0: (_stream(k, kind, norm, attempt, F.lit(i)) % n + low).cast("string")
     ip = (F.when(norm.startswith("10."), F.concat_ws(".", F.lit("10"), byte(1, 256), byte(2, 256), byte(3, 256)))
           .when(norm.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), byte(2, 256), byte(3, 256)))
           .otherwise(F.concat_ws(".", byte(0, 112, 11), byte(1, 256), byte(2, 256), byte(3, 256))))
-    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", _name(k, norm, attempt)).otherwise(F.array_join(drawn, ""))
+    if longer:
+        digits = F.concat(F.lit("fd"), F.substring(F.sha2(F.concat_ws("\u0001", k, kind, norm, attempt.cast("string")), 256), 1, 30))
+        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digits, i * 4 + 1, F.lit(4))), ":")
+    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", _name(k, norm, attempt, longer)).otherwise(F.array_join(drawn, ""))
 
 
-def _name(k: Column, norm: Column, attempt: Column) -> Column:
+def _name(k: Column, norm: Column, attempt: Column, longer: bool = False) -> Column:
     """Title as it was, then a given name of its gender and script where there was one, and a drawn family name; the
-    family name depends on the family name alone, so that short and full forms still refer to one person."""
+    family name depends on the family name alone, so that short and full forms still refer to one person. ``longer``: it depends on the whole name, since the given
+    names of one family have run out."""
     title, rest = F.regexp_extract(norm, rf"^(?:{MALE}|{FEMALE})\.? ", 0), F.regexp_replace(norm, rf"^(?:{MALE}|{FEMALE})\.? ", "")
     gender, script = F.when(title.rlike(f"^{FEMALE}"), "f").otherwise("m"), F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    family = F.regexp_extract(rest, r"([^ ]+)$", 1)
+    family = rest if longer else F.regexp_extract(rest, r"([^ ]+)$", 1)
     given = F.lit("")
     last = F.lit("")
     for (s, g), names in GIVEN.items():
@@ -121,20 +143,21 @@ def _name(k: Column, norm: Column, attempt: Column) -> Column:
 
 
 def _refill(m: Column, core: Column) -> Column:
-    """``core``'s letters and digits in the places and the letter case of those of ``m``."""
+    """``core``'s letters and digits in the places and the letter case of those of ``m``; what a longer one has more follows."""
     cores = F.filter(_chars(core), lambda c: c.rlike(r"[\p{L}\p{N}]"))
     out = F.aggregate(_chars(m), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), lambda acc, c: F.when(
         c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(acc["t"], F.when(c.rlike(r"\p{Lu}"), F.upper(F.get(cores, acc["i"] - 1))).otherwise(F.get(cores, acc["i"] - 1))).alias("t"), (acc["i"] + 1).alias("i")))
         .otherwise(F.struct(F.concat(acc["t"], c).alias("t"), acc["i"].alias("i"))))
-    return out["t"]
+    return F.concat(out["t"], F.array_join(F.slice(cores, out["i"], F.size(cores)), ""))
 
 
 def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFrame:
     """(kind, norm, surrogate) for the distinct entities (kind, norm, kept). Each round draws for those that are still
-    open; a candidate holds if it is no real entity, no earlier surrogate, and the smallest entity that drew it."""
-    done, open_ = None, entities.withColumn("attempt", F.lit(0))
-    for attempt in range(most_rounds):
-        drawn = materialize(open_.select("kind", "norm", "kept", _draw(key, F.col("kind"), F.col("norm"), F.col("kept"), F.lit(attempt)).alias("surrogate")))
+    open; a candidate holds if it is no real entity, no earlier surrogate, and the smallest entity that drew it. After
+    ``most_rounds`` the candidates are longer than the entity, where free ones never run out."""
+    done, open_ = None, entities
+    for attempt in itertools.count():
+        drawn = materialize(open_.select("kind", "norm", "kept", _draw(key, F.col("kind"), F.col("norm"), F.col("kept"), F.lit(attempt), attempt >= most_rounds).alias("surrogate")))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"))
         clear = first.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -145,7 +168,6 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFram
         open_ = drawn.drop("surrogate").join(done.select("kind", "norm"), ["kind", "norm"], "left_anti")
         if open_.isEmpty():
             return done
-    raise RuntimeError("no distinct surrogates left for some entities")
 
 
 def anonymize(docs: DataFrame, key: str, text: str = "text", row_key: str = "doc_id", most_broadcast: int = 100_000) -> DataFrame:
@@ -167,7 +189,8 @@ def anonymize(docs: DataFrame, key: str, text: str = "text", row_key: str = "doc
             .when(F.col("kind") == "cloud_key", 4).when(F.col("kind") == "iban", 2).when(F.col("kind") == "card", 1).otherwise(0))
     matches = materialize(matches.withColumn("kept", kept))
     chosen = surrogates(matches.groupBy("kind", "norm").agg(F.max("kept").alias("kept")), key)
-    whole = F.col("kind").isin("ip", "name")
+    # a longer e-mail address is no refill: its host would move
+    whole = F.col("kind").isin("ip", "name") | ((F.col("kind") == "email") & (F.length("surrogate") > F.length("norm")))
     table = matches.join(chosen, ["kind", "norm"]).select("_m", F.when(whole, F.col("surrogate")).otherwise(_refill(F.col("_m"), F.col("surrogate"))).alias("_s"))
     # one row a document that holds entities; the map is no larger than its own text
     rows = materialize(hits.join(table, "_m").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("_m", "_s"))).alias("_map")))

@@ -233,6 +233,27 @@ def test_pii_distinct(spark):
     assert len(set(out)) == 400 and not set(out) & set(texts)
 
 
+def test_pii_without_free_surrogates(spark):
+    masks = ["password: ********", "token = ------", "secret: ______"]
+    scripts = ["token: 山水火木金土", "token: مرحبابكم", "token: สวัสดีครับ", "mail 山水@火木.com now"]
+    mails = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]  # all there are
+    got = [(r.text, r.n_entities) for r in pii.anonymize(docs_of(spark, masks + scripts + ["-@-.com"] + mails), "k").orderBy("doc_id").collect()]
+    assert got[:3] == [(x, 0) for x in masks]
+    assert all(n == 1 and t != x and len(t) == len(x) for (t, n), x in zip(got[3:7], scripts))
+    out = [t for t, n in got[7:] if n == 1]
+    assert len(set(out)) == len(mails) + 1 and not set(out) & set(mails) and all(x.endswith(".com") and x.count("@") == 1 for x in out)
+
+
+def test_pii_longer_surrogates_keep_their_kind(spark):
+    texts = ["card 4111 1111 1111 1111 x", "tel +1 (988) 555-2485", "ip 192.168.7.9", "Mr. John Smith", "token: b7db7aa4a5fcc783", "ssn 123-45-6789"]
+    ents = spark.createDataFrame([("card", "4111111111111111", 1), ("phone", "19885552485", 1), ("ip", "192.168.7.9", 0), ("name", "Mr. John Smith", 0), ("secret", "b7db7aa4a5fcc783", 0), ("ssn", "123456789", 0)], "kind string, norm string, kept int")
+    got = {r.kind: r.surrogate for r in pii.surrogates(ents, "k", most_rounds=0).collect()}
+    luhn = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(x) for x in reversed(got["card"])))
+    assert luhn % 10 == 0 and got["card"][0] == "4" and len(got["card"]) == 28 and got["phone"][0] == "1" and len(got["ssn"]) == 21
+    assert got["ip"].startswith("fd") and got["ip"].count(":") == 7 and len(got["ip"]) == 39 and got["name"].startswith("Mr. ") and set(got["secret"]) <= set("0123456789abcdef")
+    assert pii.anonymize(docs_of(spark, texts), "k").where("n_entities = 1").count() == len(texts)
+
+
 # -- HTML -------------------------------------------------------------------------------------------------------------
 BODY = "<h1>A &amp; B</h1><p><b>One  two<br><p>Three&nbsp;four <a href=x>five</a>.</p><ul><li>six<li>seven</ul>"
 WANT = "A & B\n\nOne two\n\nThree four five.\n\nsix\n\nseven"
