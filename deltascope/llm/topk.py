@@ -130,7 +130,9 @@ def top_k(points: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 81
             for blob in b["hits"]:
                 yield pickle.loads(blob)
 
-    home = queries.withColumn("shard", F.pmod("block", F.lit(shards)).cast("int"))
+    # Rarer lengths leave shards empty: a block's home is one of the trees that its own length has.
+    held = trees.select("n", "shard", (F.row_number().over(Window.partitionBy("n").orderBy("shard")) - 1).alias("at"))
+    home = queries.join(held.groupBy("n").agg(F.count("*").alias("own")), "n").withColumn("at", F.expr("pmod(block, own)").cast("int")).join(held, ["n", "at"])
     seeded = materialize(home.join(trees, ["n", "shard"]).select("n", "block", "shard", "tree", "queries").mapInPandas(first, "n int, block int, home int, queries binary, hits binary"))
     # Every block of the stated query set meets every shard once; a cell holds one tree and one block.
     cells = (seeded.select("n", "home", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home")

@@ -43,6 +43,14 @@ def test_topk_brute_force(spark):
         assert sorted(own) == [(i + 1, j, -s) for i, (s, j) in enumerate(want)]
 
 
+def test_topk_rare_length_keeps_its_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(600)] + [(1000 + 100 * i + j, [float(x) for x in rng.normal(size=3 + i)]) for i in range(4) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.Counter(r.query_id for r in topk.top_k(topk.quantize(df), shard_rows=32, block_rows=2).collect())
+    assert got == {**{100 * i: 10 for i in range(6)}, **{1000 + 100 * i: 1 for i in range(4)}}
+
+
 def test_topk_empty_and_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in topk.top_k(topk.quantize(df)).collect()] == [(0, 1, 1)]
