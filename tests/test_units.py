@@ -126,3 +126,9 @@ def test_entry_and_registration(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_ratio_of_whole_texts(spark):
+    same = "".join(chr(0x4E00 + i % 20_000) for i in range(50_000))
+    df = spark.createDataFrame([(same + "x" * 500, same + "y" * 500), (same, same)], "old string, new string")
+    assert [r[0] for r in df.select(align.text_ratio()("old", "new")).collect()] == [100_000 / 101_000, 1.0]
