@@ -213,22 +213,28 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, spans array<struct<first: int, end: int, lang: string>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least_score: float = 0.0, clear_score: float | None = None) -> DataFrame:
     """Rows of ``docs`` whose text has a language (not ``und``) at ``least_score`` or more, with all their columns.
 
-    A null ``lang`` takes the predicted language; other languages stay as they are. No rows give no rows.
+    A null ``lang`` takes the predicted language, and so does one that a score of ``clear_score`` or more contradicts;
+    other languages stay as they are. If nothing was learned, all texts with letters are kept. No rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         labeller = Labeller(shared.value)
         for b in batches:
-            got = labeller.label(b.column("text").to_pylist())
-            lang = pc.coalesce(b.column("lang"), pa.array([x[0] for x in got], b.schema.field("lang").type))
-            b = b.set_column(b.schema.get_field_index("lang"), b.schema.field("lang"), lang)
-            yield b.filter(pa.array([x[0] != UND and x[1] >= least_score for x in got]))
+            texts = b.column("text").to_pylist()
+            got = labeller.label(texts)
+            own = b.column("lang").to_pylist()
+            lang = [x[0] if v is None or (clear_score is not None and x[0] != UND and x[1] >= clear_score) else v for v, x in zip(own, got)]
+            b = b.set_column(b.schema.get_field_index("lang"), b.schema.field("lang"), pa.array(lang, b.schema.field("lang").type))
+            if shared.value.langs:
+                kept = [x[0] != UND and x[1] >= least_score for x in got]
+            else:
+                kept = [t is not None and any(map(str.isalpha, t)) for t in texts]
+            yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -318,6 +318,17 @@ def test_language(spark):
     assert langid.identify(df.limit(0), langid.train(df.limit(0))).count() == 0
 
 
+def test_language_stage(spark):
+    import corpus_pipeline
+
+    en, de = "the cat and the dog were in the house of that man", "der hund und die katze sind nicht in dem haus"
+    rows = [(i, t * 3, lang, "s", 1, "x", "y") for i, (t, lang) in enumerate([(en, "en"), (de, "de")] * 30)] + [(200, de * 3, "en", "s", 1, "x", "y"), (201, "4734663219866878", "de", "s", 1, "x", "y")]
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert set(kept) == set(range(60)) | {200} and kept[200] == "de"
+    unknown = docs_of(spark, [en, de, "123 !!", None, ""], lang=None)
+    assert {r.doc_id for r in corpus_pipeline.language(spark, unknown, "").collect()} == {0, 1}
+
+
 def test_viterbi_brute_force():
     import itertools
 
