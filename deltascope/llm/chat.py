@@ -14,7 +14,7 @@ def rotate(turns: DataFrame, part_turns: int = 512) -> DataFrame:
 
     ``turns``: conv_id, turn, role, text. Returns conv_id, perspective, part, n_turns, text, mask, n_masked. ``mask``
     lists the character ranges ``start-end`` of the trained messages. Roles named system take no part; their messages
-    open in every rendering. A null role speaks as ``unknown``; null texts are empty; rows without conv_id are left
+    stay at their turn, so parts after theirs lack them. A null role speaks as ``unknown``; null texts are empty; rows without conv_id are left
     out; ties and repeated rows are all kept, in order of turn (null last), role and text. A part holds the turn
     numbers of one stretch of ``part_turns``, so no dialogue is gathered whole. A dialogue of system messages alone
     and an empty table give no rows; extra columns are ignored.
