@@ -1,5 +1,5 @@
 """Query modules; each has QUERIES: name -> (builder, SQL or None)."""
 
-from . import relational, reports, scoring, streams, temporal, text
+from . import relational, reports, scoring, segments, streams, temporal, text
 
-MODULES = [scoring, relational, temporal, text, streams, reports]
+MODULES = [scoring, relational, temporal, text, streams, reports, segments]

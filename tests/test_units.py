@@ -69,17 +69,37 @@ def test_greedy_and_opcodes():
 FILLER = "The company sells widgets in many markets and expects demand to go on for some more years to come. " * 3
 
 
-def test_sections_of_annual_form():
+def cut(spark, text, form):
+    df = spark.createDataFrame([(1, form, text)], "doc long, form string, text string")
+    got = {r.key: r for r in segment.target_sections(df).collect()}
+    return {k: got[k] for k in segment.ORDER if k in got}
+
+
+def test_sections_of_annual_form(spark):
     text = f"Item 1A. Risk Factors\nItem 7. MD&A\nItem 8. Financial Statements\nPART I\nItem 1A. Risk Factors\nRISK {FILLER}\nPART II\nItem 7. Discussion\nMDNA {FILLER}\nItem 8. Financial Statements\nSee item 15 for these statements, which are part of this report here.\nItem 15. Exhibits\nFS {FILLER}"
-    got = segment.sections(text, "10-K/A")
-    assert [x["key"] for x in got] == ["risk_factors", "mdna", "financial_statements"]
-    assert got[0]["text"].startswith("RISK") and got[2]["item"].startswith("Item 15")
-    assert segment.sections(text, "8-K") == [] and segment.sections(None, "10-K") == []
+    got = cut(spark, text, "10-K/A")
+    assert list(got) == ["risk_factors", "mdna", "financial_statements"]
+    assert got["risk_factors"].text.startswith("RISK") and got["financial_statements"]["item"] == "Item 15 (referenced from Item 8)" and got["mdna"].text.strip() == f"MDNA {FILLER}".strip()
+    assert cut(spark, text, "8-K") == {} and cut(spark, None, "10-K") == {}
+
+
+def test_sections_of_quarterly_form_take_part_from_title(spark):
+    text = f"PART II\nItem 1. Financial Statements\nFS {FILLER}\nItem 2. Management's Discussion and Analysis\nM {FILLER}\nItem 3. Market risk\nThere have been no material changes to our market risk since the 10-K.\nItem 1A. Risk Factors\nR {FILLER}"
+    got = cut(spark, text, "10-Q")
+    assert [x["item"] for x in got.values()] == ["Part II, Item 1A", "Part I, Item 2", "Part I, Item 3", "Part I, Item 1"]
+
+
+def test_running_heads_do_not_cut_sections(spark):
+    pages = "".join(f"page text {i} {FILLER}\n37\nPART II\nItem 7\n" for i in range(4))
+    got = cut(spark, f"PART II\nItem 7. Discussion\n{pages}the end\nItem 7A. Market Risk\nMARKET {FILLER}", "10-K")
+    text = got["mdna"].text
+    assert text.startswith("page text 0") and text.endswith("the end") and "PART II" not in text and "37" not in text and got["market_risk"].text.startswith("MARKET")
 
 
-def test_sections_of_quarterly_form_take_part_from_title():
-    text = f"Item 1. Financial Statements\nFS {FILLER}\nItem 2. Management's Discussion and Analysis\nM {FILLER}\nItem 1A. Risk Factors\nR {FILLER}"
-    assert [x["item"] for x in segment.sections(text, "10-Q")] == ["Part II, Item 1A", "Part I, Item 2", "Part I, Item 1"]
+def test_item_sections_without_headings(spark):
+    df = spark.createDataFrame([(1, "10-K", "first line\nsecond"), (2, "10-K", ""), (3, "8-K", "Item 5.02 Departure\nx"), (4, "10-K", None)], "doc long, form string, text string")
+    assert [(r.doc, r.key, r.title, r.text) for r in segment.item_sections(df).orderBy("doc").collect()] == [(1, "0", "first line", "first line\nsecond"), (3, "0", "Item 5.02 Departure", "Item 5.02 Departure\nx")]
+    assert segment.item_sections(df, clip=5).orderBy("doc").first().text == "first"
 
 
 def test_html_readers():
