@@ -23,8 +23,8 @@ def paragraphs(x: Column, least_words: int = 15) -> Column:
     return F.filter(lines, lambda p: F.size(words(p)) >= least_words)
 
 
-def merged_paragraphs(x: Column, least_words: int = 15) -> Column:
-    """Paragraphs split at blank lines; short ones run into the next until they have ``least_words`` words."""
+def merged_paragraphs(x: Column, least_words: int = 15, between: str = r"\n\s*\n") -> Column:
+    """Paragraphs split at blank lines (or at ``between``); short ones run into the next until they have ``least_words`` words."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, p):
@@ -32,7 +32,7 @@ def merged_paragraphs(x: Column, least_words: int = 15) -> Column:
         full = F.size(words(text)) >= least_words
         return F.struct(F.when(full, F.array_append(acc["done"], text)).otherwise(acc["done"]).alias("done"), F.when(full, "").otherwise(text).alias("open"))
 
-    return F.aggregate(F.split(x, r"\n\s*\n"), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+    return F.aggregate(F.split(x, between), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
 
 
 def sentences(x: Column, longer_than: int = 20) -> Column:

@@ -46,7 +46,12 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_at:
     return l.join(r, [*by, "_b"]).where((F.col(right_at) >= low) & (F.col(right_at) < high)).drop("_b")
 
 
-def throttle(times: Column, gap: float) -> Column:
-    """Of a sorted array of numbers, those kept when nothing is sent within ``gap`` of the last one sent."""
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
+def throttle(times: Column, gap: float, count: bool = False) -> Column:
+    """Of a sorted array of numbers, those kept when nothing is sent within ``gap`` of the last one sent; ``count``: how many.
+    The fold keeps the last time sent (and the number) alone, so a step costs the same however long the array is."""
+    nothing = F.lit(None).cast("double")
+    if count:
+        start = F.struct(nothing.alias("last"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct(t.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc))["n"]
+    start = F.struct(nothing.alias("last"), F.array().cast("array<double>").alias("kept"))
     return F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc))["kept"]

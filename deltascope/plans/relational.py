@@ -45,13 +45,13 @@ def alerts_page(spark, sf):
 
 
 @query("""
-SELECT c.cik, count(DISTINCT f.accession) AS n_filings, max(f.filed) AS last_filed, max(a.gap) AS max_gap, max(a.ranking) AS max_rank, count(DISTINCT a.accession) AS n_alerts
-FROM companies c LEFT JOIN filings f ON f.cik = c.cik AND f.fetched LEFT JOIN alerts a ON a.cik = c.cik GROUP BY c.cik""")
+SELECT c.cik, count(DISTINCT f.accession) AS n_filings, max(f.filed) AS last_filed, max(a.gap) AS max_gap, max(a.ranking) AS max_rank, count(DISTINCT a.accession) AS n_alerts, round(max(g.mean) / 100, 3) AS mean_gap
+FROM companies c LEFT JOIN filings f ON f.cik = c.cik AND f.fetched LEFT JOIN alerts a ON a.cik = c.cik LEFT JOIN (SELECT cik, avg(CAST(round(gap * 100) AS BIGINT)) AS mean FROM alerts GROUP BY cik) g ON g.cik = c.cik GROUP BY c.cik""")
 def watchlist_rollup(spark, sf):
     """Companies with fetched filings and alerts; each side is aggregated before it is joined."""
     f = filings(spark, sf).where("fetched").groupBy("cik").agg(F.count("accession").alias("nf"), F.max("filed").alias("last_filed"))
-    a = alerts(spark, sf).groupBy("cik").agg(F.max("gap").alias("max_gap"), F.max("ranking").alias("max_rank"), F.count("*").alias("na"))
-    return companies(spark, sf).select("cik").join(f, "cik", "left").join(a, "cik", "left").select("cik", F.coalesce("nf", F.lit(0)).alias("n_filings"), "last_filed", "max_gap", "max_rank", F.coalesce("na", F.lit(0)).alias("n_alerts"))
+    a = alerts(spark, sf).groupBy("cik").agg(F.max("gap").alias("max_gap"), F.max("ranking").alias("max_rank"), F.count("*").alias("na"), F.round(F.avg(F.round(F.col("gap") * 100).cast("long")) / 100, 3).alias("mean_gap"))
+    return companies(spark, sf).select("cik").join(f, "cik", "left").join(a, "cik", "left").select("cik", F.coalesce("nf", F.lit(0)).alias("n_filings"), "last_filed", "max_gap", "max_rank", F.coalesce("na", F.lit(0)).alias("n_alerts"), "mean_gap")
 
 
 @query("SELECT cik, count(*) AS n_alerts, count(CASE WHEN ranking >= 3 THEN 1 END) AS n_high, max(gap) AS max_gap, min(filed) AS first_filed FROM alerts GROUP BY cik HAVING count(*) > 0")
@@ -71,10 +71,12 @@ def sector_stats(spark, sf):
 
 @query(f"WITH s AS ({STATS}), p AS (SELECT cik, sector, max(m) AS m FROM s GROUP BY cik, sector) SELECT cik, sector, m, round((rank() OVER (PARTITION BY sector ORDER BY m) - 1) * 100.0 / count(*) OVER (PARTITION BY sector), 1) AS pct FROM p")
 def sector_percentile(spark, sf):
-    """Share of the sector's companies strictly below each one."""
+    """Share of the sector's companies strictly below each one; running counts over the distinct values, not the companies."""
     own = alerts(spark, sf).groupBy("cik").agg(F.max("materiality").alias("m")).join(companies(spark, sf).select("cik", "sector"), "cik")
-    below = F.rank().over(W.partitionBy("sector").orderBy("m")) - 1
-    return own.select("cik", "sector", "m", F.round(below * 100.0 / F.count("*").over(W.partitionBy("sector")), 1).alias("pct"))
+    values = own.groupBy("sector", "m").agg(F.count("*").alias("c"))
+    w = W.partitionBy("sector")
+    ranks = values.select("sector", "m", (F.sum("c").over(w.orderBy("m")) - F.col("c")).alias("below"), F.sum("c").over(w).alias("n"))
+    return own.join(ranks, ["sector", "m"]).select("cik", "sector", "m", F.round(F.col("below") * 100.0 / F.col("n"), 1).alias("pct"))
 
 
 @query(f"""WITH s AS ({STATS}), p AS (SELECT cik, sector, max(m) AS m FROM s GROUP BY cik, sector),
@@ -82,10 +84,9 @@ z AS (SELECT *, avg(m) OVER (PARTITION BY sector) AS mu, stddev_samp(m) OVER (PA
 SELECT cik, sector, CASE WHEN sd IS NULL OR sd = 0 THEN 'NORMAL' WHEN (m - mu) / sd >= 1.5 THEN 'HIGH' WHEN (m - mu) / sd <= -1.5 THEN 'LOW' ELSE 'NORMAL' END AS flag FROM z""")
 def sector_outliers(spark, sf):
     own = alerts(spark, sf).groupBy("cik").agg(F.max("materiality").alias("m")).join(companies(spark, sf).select("cik", "sector"), "cik")
-    w = W.partitionBy("sector")
-    sd = F.stddev_samp("m").over(w)
-    z = F.when(sd > 0, (F.col("m") - F.avg("m").over(w)) / sd).otherwise(0.0)
-    return own.withColumn("z", z).select("cik", "sector", F.when(F.col("z") >= 1.5, "HIGH").when(F.col("z") <= -1.5, "LOW").otherwise("NORMAL").alias("flag"))
+    stats = own.groupBy("sector").agg(F.avg("m").alias("mu"), F.stddev_samp("m").alias("sd"))  # a row a sector
+    z = F.when(F.col("sd") > 0, (F.col("m") - F.col("mu")) / F.col("sd")).otherwise(0.0)
+    return own.join(stats, "sector").withColumn("z", z).select("cik", "sector", F.when(F.col("z") >= 1.5, "HIGH").when(F.col("z") <= -1.5, "LOW").otherwise("NORMAL").alias("flag"))
 
 
 @query(f"WITH s AS ({STATS}), p AS (SELECT cik, max(g) AS g FROM s WHERE sector = 'ASIA' GROUP BY cik) SELECT c.cik, coalesce(p.g, 0) AS metric FROM companies c LEFT JOIN p ON p.cik = c.cik WHERE c.sector = 'ASIA' ORDER BY metric DESC, c.cik LIMIT 10")
@@ -101,9 +102,10 @@ SELECT h.sector, mean, high, low, n, risky, tickers, CASE WHEN mean >= 0.85 THEN
 def heatmap(spark, sf):
     """Sector risk: means, extremes, count of risky members and the ten riskiest."""
     own = alerts(spark, sf).groupBy("cik").agg((F.max("materiality") / 100).alias("score")).join(companies(spark, sf).select("cik", "sector"), "cik")
-    ranked = own.withColumn("k", F.row_number().over(W.partitionBy("sector").orderBy(F.desc("score"), "cik")))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= 10, F.struct("k", "cik")))), lambda x: x["cik"].cast("string")), ", ")
-    out = ranked.groupBy("sector").agg(F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("high"), F.min("score").alias("low"), F.count("*").alias("n"), F.count_if(F.col("score") >= 0.7).alias("risky"), top.alias("tickers"))
+    # the filter alone on the rank lets each task keep its own ten
+    best = own.withColumn("k", F.row_number().over(W.partitionBy("sector").orderBy(F.desc("score"), "cik"))).where("k <= 10")
+    top = best.groupBy("sector").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "cik"))), lambda x: x["cik"].cast("string")), ", ").alias("tickers"))
+    out = own.groupBy("sector").agg(F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("high"), F.min("score").alias("low"), F.count("*").alias("n"), F.count_if(F.col("score") >= 0.7).alias("risky")).join(top, "sector")
     return out.withColumn("level", F.when(F.col("mean") >= 0.85, "CRITICAL").when(F.col("mean") >= 0.65, "HIGH").when(F.col("mean") >= 0.4, "MEDIUM").otherwise("LOW"))
 
 
@@ -131,11 +133,11 @@ def sector_weights(spark, sf):
     return own.withColumn("weight", F.round(F.col("cents") * F.lit(100.0) / own.agg(F.sum("cents")).scalar(), 4))
 
 
-@query("""WITH p AS (SELECT cik, CAST(round(greatest(balance, 0) * 100) AS BIGINT) AS cents FROM companies WHERE cik <= 500), t AS (SELECT CAST(sum(cents) AS DOUBLE) AS total FROM p)
+@query("""WITH p AS (SELECT cik, CAST(round(greatest(balance, 0) * 100) AS BIGINT) AS cents FROM companies WHERE balance > 0), t AS (SELECT CAST(sum(cents) AS DOUBLE) AS total FROM p)
 SELECT a.accession, a.cik, round(a.materiality * p.cents / t.total, 6) AS weighted FROM alerts a JOIN p ON a.cik = p.cik CROSS JOIN t WHERE a.materiality >= 60""")
 def portfolio_weighted_alerts(spark, sf):
     """Alerts on held positions, weighted by exposure."""
-    own = companies(spark, sf).where("cik <= 500").select("cik", F.round(F.greatest("balance", F.lit(0.0)) * 100).cast("long").alias("cents"))
+    own = companies(spark, sf).where("balance > 0").select("cik", F.round(F.greatest("balance", F.lit(0.0)) * 100).cast("long").alias("cents"))
     own = own.withColumn("total", own.agg(F.sum("cents")).scalar().cast("double"))
     return alerts(spark, sf).where("materiality >= 60").join(own, "cik").select("accession", "cik", F.round(F.col("materiality") * F.col("cents") / F.col("total"), 6).alias("weighted"))
 
@@ -231,7 +233,11 @@ def history_newest(spark, sf):
 
 @query("SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS position FROM customer", with_roles=False)
 def waitlist_position(spark, sf):
-    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.row_number().over(W.partitionBy("c_mktsegment").orderBy("c_custkey")).alias("position"))
+    """Places in each list: ranks within ranges of a thousand keys, on top of the sizes of the ranges before."""
+    own = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("list"), F.expr("c_custkey div 1000").alias("lot"))
+    w = W.partitionBy("list")
+    before = own.groupBy("list", "lot").agg(F.count("*").alias("c")).select("list", "lot", (F.sum("c").over(w.orderBy("lot")) - F.col("c")).alias("before"))
+    return own.withColumn("k", F.row_number().over(W.partitionBy("list", "lot").orderBy("id"))).join(before, ["list", "lot"]).select("id", (F.col("before") + F.col("k")).alias("position"))
 
 
 @query("SELECT f.accession, d.seq, c.name FROM filings f JOIN lines d ON d.accession = f.accession AND d.flag = 'R' JOIN companies c ON c.cik = f.cik WHERE f.form = '10-K'")
@@ -308,34 +314,38 @@ def haystack_all_words(spark, sf):
     return read(spark, sf, "pages").where(F.forall(F.split(F.lit("en blog"), " +"), lambda w: F.lower("url").contains(w))).select("page_id")
 
 
-@query("""WITH n AS (SELECT cik, name FROM companies WHERE cik % 3 = 0), o AS (SELECT cik, CASE WHEN cik % 2 = 0 THEN '' ELSE nation END AS name FROM companies WHERE cik % 4 <> 1)
-SELECT coalesce(n.cik, o.cik) AS cik, CASE WHEN n.cik IS NOT NULL THEN n.name ELSE o.name END AS name FROM o FULL JOIN n ON o.cik = n.cik""")
+#: The old side of the changes: every company. The new side: every supplier, whose keys partly meet those of the companies.
+OLD = "o AS (SELECT cik, CASE WHEN balance < 0 THEN '' ELSE nation END AS name FROM companies)"
+NEW = "n AS (SELECT s_suppkey * 20 AS cik, CASE WHEN s_acctbal < 0 THEN '' ELSE s_name END AS name FROM supplier)"
+
+
+def _sides(spark, sf):
+    old = companies(spark, sf).select("cik", F.when(F.col("balance") < 0, "").otherwise(F.col("nation")).alias("name"))
+    new = read(spark, sf, "supplier").select((F.col("s_suppkey") * 20).alias("cik"), F.when(F.col("s_acctbal") < 0, "").otherwise(F.col("s_name")).alias("name"))
+    return old, new
+
+
+@query(f"WITH {OLD}, {NEW} SELECT coalesce(n.cik, o.cik) AS cik, CASE WHEN n.cik IS NOT NULL THEN n.name ELSE o.name END AS name FROM o FULL JOIN n ON o.cik = n.cik")
 def upsert_latest_wins(spark, sf):
     """New rows written over old ones by key."""
-    own = companies(spark, sf)
-    old = own.where("cik % 4 <> 1").select("cik", F.when(F.col("cik") % 2 == 0, "").otherwise(F.col("nation")).alias("name"))
-    return changes.upsert(old, own.where("cik % 3 = 0").select("cik", "name"), ["cik"])
+    return changes.upsert(*_sides(spark, sf), ["cik"])
 
 
-@query("""WITH n AS (SELECT cik, CASE WHEN cik % 2 = 0 THEN '' ELSE name END AS name FROM companies WHERE cik % 3 = 0), o AS (SELECT cik, nation AS name FROM companies WHERE cik % 4 <> 1)
-SELECT coalesce(n.cik, o.cik) AS cik, CASE WHEN n.cik IS NOT NULL AND n.name <> '' THEN n.name ELSE o.name END AS name FROM o FULL JOIN n ON o.cik = n.cik""")
+@query(f"WITH {OLD}, {NEW} SELECT coalesce(n.cik, o.cik) AS cik, CASE WHEN n.cik IS NOT NULL AND n.name <> '' THEN n.name ELSE o.name END AS name FROM o FULL JOIN n ON o.cik = n.cik")
 def upsert_keep_if_empty(spark, sf):
     """An empty new name does not replace the old one."""
-    own = companies(spark, sf)
-    new = own.where("cik % 3 = 0").select("cik", F.when(F.col("cik") % 2 == 0, "").otherwise(F.col("name")).alias("name"))
-    return changes.upsert(own.where("cik % 4 <> 1").select("cik", F.col("nation").alias("name")), new, ["cik"], keep_if_empty=["name"])
+    return changes.upsert(*_sides(spark, sf), ["cik"], keep_if_empty=["name"])
 
 
-@query("SELECT cik, nation AS v FROM companies WHERE cik % 4 <> 1 UNION ALL SELECT cik, name FROM companies WHERE cik % 3 = 0 AND cik % 4 = 1")
+@query(f"WITH {OLD}, {NEW} SELECT cik, name FROM o UNION ALL SELECT cik, name FROM n WHERE cik NOT IN (SELECT cik FROM o)")
 def insert_or_ignore_keys(spark, sf):
-    own = companies(spark, sf)
-    return changes.insert_or_ignore(own.where("cik % 4 <> 1").select("cik", F.col("nation").alias("v")), own.where("cik % 3 = 0").select("cik", F.col("name").alias("v")), ["cik"])
+    return changes.insert_or_ignore(*_sides(spark, sf), ["cik"])
 
 
-@query("SELECT cik, nation, CAST(NULL AS VARCHAR) AS name FROM companies WHERE cik % 4 <> 1 AND cik % 3 <> 0 UNION ALL SELECT cik, CAST(NULL AS VARCHAR), name FROM companies WHERE cik % 3 = 0")
+@query(f"WITH {OLD}, {NEW} SELECT cik, name, 'old' AS origin FROM o WHERE cik NOT IN (SELECT cik FROM n) UNION ALL SELECT cik, name, CAST(NULL AS VARCHAR) FROM n")
 def insert_or_replace_rows(spark, sf):
-    own = companies(spark, sf)
-    return changes.insert_or_replace(own.where("cik % 4 <> 1").select("cik", "nation", F.lit(None).cast("string").alias("name")), own.where("cik % 3 = 0").select("cik", "name"), ["cik"])
+    old, new = _sides(spark, sf)
+    return changes.insert_or_replace(old.withColumn("origin", F.lit("old")), new, ["cik"])
 
 
 @query("SELECT accession, seq, flag FROM lines WHERE accession NOT IN (SELECT accession FROM lines WHERE accession % 5 = 0 AND seq = 1) UNION ALL SELECT accession, seq, 'X' FROM lines WHERE accession % 5 = 0 AND seq = 1")

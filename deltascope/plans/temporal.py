@@ -70,11 +70,16 @@ def precursor_interval_join(spark, sf):
 x AS (SELECT e.accession, a.event_id, a.day BETWEEN e.d - 1 AND e.d + 3 AS inside FROM e JOIN a ON a.ticker = e.ticker), w AS (SELECT *, bool_or(inside) OVER (PARTITION BY accession) AS any_inside FROM x)
 SELECT accession, count(*) AS n FROM w WHERE inside OR NOT any_inside GROUP BY accession""")
 def window_filter_with_fallback(spark, sf):
-    """Articles near a filing, or all of the company's if none is near; counted before they are joined."""
+    """Articles near a filing, or all of the company's if none is near: two as-of lookups in running counts by day."""
     e = filings(spark, sf).where("form = '10-Q'").select("accession", (F.col("cik") % 50).alias("ticker"), F.expr("date_add(date'2024-01-01', cast(accession % 40 as int))").alias("d"))
     a = read(spark, sf, "events").where("event_type = 'click'").groupBy((F.col("user_id") % 50).alias("ticker"), F.to_date("ts").alias("day")).agg(F.count("*").alias("c"))
-    x = e.join(a, "ticker").groupBy("accession").agg(F.sum(F.when(F.col("day").between(F.date_sub("d", 1), F.date_add("d", 3)), F.col("c"))).alias("near"), F.sum("c").alias("every"))
-    return x.select("accession", F.coalesce("near", "every").alias("n"))
+    a = a.select("ticker", "day", F.sum("c").over(W.partitionBy("ticker").orderBy("day")).alias("upto"))
+    every = a.groupBy("ticker").agg(F.max("upto").alias("every"))
+    e = e.withColumn("d", F.date_add("d", 3))
+    e = temporal.asof_backward(e, a.select("ticker", F.col("day").alias("d"), F.col("upto").alias("last")), ["ticker"], "d", ["last"]).withColumn("d", F.date_sub("d", 5))
+    e = temporal.asof_backward(e, a.select("ticker", F.col("day").alias("d"), F.col("upto").alias("first")), ["ticker"], "d", ["first"])
+    near = F.coalesce("last", F.lit(0)) - F.coalesce("first", F.lit(0))
+    return e.join(every, "ticker").select("accession", F.when(near > 0, near).otherwise(F.col("every")).alias("n"))
 
 
 @query(f"""WITH {PRICES}, s AS (SELECT ticker, day, close, lead(close, 1) OVER w AS c1, lead(close, 3) OVER w AS c3, lead(close, 5) OVER w AS c5 FROM prices WINDOW w AS (PARTITION BY ticker ORDER BY day)),
@@ -174,9 +179,15 @@ def event_car_market_model(spark, sf):
 @query("""WITH r AS (SELECT form, row_number() OVER (PARTITION BY form ORDER BY materiality, accession) AS a, row_number() OVER (PARTITION BY form ORDER BY burial, accession) AS b FROM alerts)
 SELECT form, count(*) AS n, round(1 - 6.0 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1.0)), 6) AS ic FROM r GROUP BY form""")
 def spearman_ic(spark, sf):
-    """Rank correlation with ties by position."""
-    w = W.partitionBy("form")
-    r = alerts(spark, sf).select("form", F.row_number().over(w.orderBy("materiality", "accession")).cast("double").alias("a"), F.row_number().over(w.orderBy("burial", "accession")).cast("double").alias("b"))
+    """Rank correlation with ties by position. Ranks are counted in two levels: values to a hundredth, then rows of one value."""
+    own = alerts(spark, sf).select("form", "accession", "materiality", "burial")
+
+    def ranked(rows, value, name):
+        w = W.partitionBy("form")
+        before = rows.groupBy("form", value).agg(F.count("*").alias("c")).select("form", value, (F.sum("c").over(w.orderBy(value)) - F.col("c")).alias("before"))
+        return rows.withColumn("k", F.row_number().over(W.partitionBy("form", value).orderBy("accession"))).join(before, ["form", value]).withColumn(name, (F.col("before") + F.col("k")).cast("double")).drop("k", "before")
+
+    r = ranked(ranked(own, "materiality", "a"), "burial", "b")
     n = F.count("*")
     return r.groupBy("form").agg(n.alias("n"), F.round(1 - 6.0 * F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))) / (n * (n.cast("double") * n - 1)), 6).alias("ic"))
 
@@ -220,4 +231,4 @@ SELECT user_id, count(t) AS sent FROM k WHERE t IS NOT NULL GROUP BY user_id""",
 def throttled_alerts(spark, sf):
     """Alerts that a six-hour throttle from the last one sent lets through; a fold over each entity's sorted times."""
     own = read(spark, sf, "events").where("event_type = 'view'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)).alias("t"))
-    return own.select("user_id", F.size(temporal.throttle(F.col("t"), 21600.0)).cast("long").alias("sent"))
+    return own.select("user_id", temporal.throttle(F.col("t"), 21600.0, count=True).alias("sent"))

@@ -30,9 +30,16 @@ PARAS = """paras AS (SELECT doc_id, side, k, p, list_distinct(regexp_extract_all
 
 
 def versions(spark, sf):
-    """(doc_id, new_text, old_text) of documents that have a prior version."""
-    w = W.partitionBy("lang", F.element_at(F.split("text", "\n"), 1)).orderBy("doc_id")
-    return read(spark, sf, "documents").select("doc_id", F.col("text").alias("new_text"), F.lag("text").over(w).alias("old_text")).where("old_text is not null")
+    """(doc_id, new_text, old_text) of documents that have a prior version.
+
+    Ids alone go through windows: within ranges of a thousand ids first, then over the last id of each range, so that a
+    common first line is not ordered in one task. The texts join the pairs of ids afterwards."""
+    docs = read(spark, sf, "documents").where("text is not null")
+    own = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("l"), F.xxhash64(F.element_at(F.split("text", "\n"), 1)).alias("h"), F.expr("doc_id div 1000").alias("lot"))
+    before = own.groupBy("l", "h", "lot").agg(F.max("doc_id").alias("top")).select("l", "h", "lot", F.lag("top").over(W.partitionBy("l", "h").orderBy("lot")).alias("earlier"))
+    own = own.withColumn("near", F.lag("doc_id").over(W.partitionBy("l", "h", "lot").orderBy("doc_id"))).join(before, ["l", "h", "lot"])
+    pairs = own.select("doc_id", F.coalesce("near", "earlier").alias("prior")).where("prior is not null")
+    return docs.select("doc_id", F.col("text").alias("new_text")).join(pairs, "doc_id").join(docs.select(F.col("doc_id").alias("prior"), F.col("text").alias("old_text")), "prior").select("doc_id", "new_text", "old_text")
 
 
 @query(f"""WITH {VERSIONS}, {PARAS},
