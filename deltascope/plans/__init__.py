@@ -1,5 +1,5 @@
 """Query modules; each has QUERIES: name -> (builder, SQL or None)."""
 
-from . import monitoring, relational, reports, scoring, segments, streams, temporal, text
+from . import landing, monitoring, relational, reports, scoring, segments, streams, temporal, text
 
-MODULES = [scoring, relational, temporal, text, streams, reports, segments, monitoring]
+MODULES = [scoring, relational, temporal, text, streams, reports, segments, monitoring, landing]

@@ -25,14 +25,15 @@ def events_stream(spark, sf):
 
 
 def _finish(spark, stream, mode, schema):
-    """Run to the end of what is there and read the sink back."""
+    """Run to the end of what is there and read the sink back. Each batch has a folder of its own, written over if the batch
+    is run again after a failure, so that no row comes twice."""
     out = scratch(spark, "stream-out")
 
-    def sink(batch, _):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def sink(batch, i):
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")
 
     monitor.run(stream, sink, scratch(spark, "stream-state"), once=True, mode=mode).awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    return spark.read.schema(schema).parquet(out).select(*[c.strip().split(" ")[0] for c in schema.split(",")])
 
 
 @query(TEMPORAL["throttled_alerts"][1], with_roles=False)
@@ -58,6 +59,16 @@ def stream_deduplicated(spark, sf):
     return _finish(spark, fresh, "append", "event_id long, user_id long, event_type string").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT f.user_id, count(*) AS n, round(sum(CAST(round(greatest(f.value, n.value) * 100) AS BIGINT)) / 100, 2) AS gap FROM events f JOIN events n ON n.user_id = f.user_id AND n.event_type = 'click' AND n.ts BETWEEN f.ts - INTERVAL 1 HOUR AND f.ts + INTERVAL 1 HOUR
+WHERE f.event_type = 'view' GROUP BY f.user_id""", with_roles=False)
+def stream_combined_alerts(spark, sf):
+    """Two streams joined within an hour: filings and news of a key become one alert with the wider gap."""
+    own = events_stream(spark, sf).select("user_id", "ts", "event_type", F.col("value").alias("gap"))
+    both = monitor.combine(own.where("event_type = 'view'"), own.where("event_type = 'click'"), "user_id")
+    out = _finish(spark, both, "append", "user_id long, ts timestamp, gap double")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("gap") * 100).cast("long")) / 100, 2).alias("gap"))
+
+
 @query("SELECT accession, form, gap FROM alerts WHERE ranking >= 3")
 def alerts_csv_roundtrip(spark, sf):
     """Alerts written as CSV and read back."""

@@ -66,14 +66,40 @@ def universe(rows: DataFrame) -> DataFrame:
     return first.orderBy("place", "ticker").select("cik", "name", "ticker", "exchange")
 
 
+def all_submissions(feed: DataFrame, pages: DataFrame, recent: str = "filings.recent", page: str = "page") -> DataFrame:
+    """Rows of a feed and of its continuation pages (cik and the parallel arrays in column ``page``), once each."""
+    rows = submissions(feed, recent).unionByName(submissions(pages, page))
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("cik", "accession", "document").orderBy("filed"))).where("_k = 1").drop("_k")
+
+
+def facts(feed: DataFrame) -> DataFrame:
+    """(cik, taxonomy, concept, unit, ended, form, val) of company facts, nested as facts > taxonomy > concept > units > unit."""
+    concepts = feed.select("cik", F.explode("facts").alias("taxonomy", "c")).select("cik", "taxonomy", F.explode("c").alias("concept", "u"))
+    values = concepts.select("cik", "taxonomy", "concept", F.explode("u.units").alias("unit", "v")).select("cik", "taxonomy", "concept", "unit", F.explode("v").alias("x"))
+    return values.select("cik", "taxonomy", "concept", "unit", F.try_to_date("x.end").alias("ended"), "x.form", "x.val")
+
+
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Atom entries: id, company, cik, form, accession, updated."""
+    """Atom entries: id, company, cik, form, accession, updated. Titles read ``form - company (cik)`` or ``company (cik) [form]``."""
     own = spark.read.format("xml").option("rowTag", "entry").schema("id string, title string, updated string, summary string").load(path)
-    title = r"^\s*(\S+) - (.*?) \((\d{10})\)"
-    return own.select(F.md5("id").alias("id"), F.regexp_extract("title", title, 1).alias("form"), F.regexp_extract("title", title, 2).alias("company"), F.regexp_extract("title", title, 3).cast("long").alias("cik"),
+    first, second = r"^\s*(\S+) - (.*?) \((\d{10})\)", r"^\s*(.*?) \((\d{10})\) \[([^\]]+)\]"
+    either = lambda a, b: F.coalesce(F.nullif(F.regexp_extract("title", first, a), F.lit("")), F.regexp_extract("title", second, b))
+    return own.select(F.md5("id").alias("id"), either(1, 3).alias("form"), either(2, 1).alias("company"), either(3, 2).cast("long").alias("cik"),
                       F.regexp_extract("id", r"(\d{10}-\d{2}-\d{6})", 1).alias("accession"), F.try_to_timestamp("updated").alias("updated"))
 
 
+def atom_items(spark: SparkSession, path: str) -> DataFrame:
+    """News in Atom, in the columns of ``news_items``."""
+    own = spark.read.format("xml").option("rowTag", "entry").schema("title string, link struct<_href: string>, updated string, summary string").load(path)
+    link = F.col("link._href")
+    return own.select(F.substring(F.sha2(link, 256), 1, 16).alias("id"), "title", link.alias("link"), F.try_to_timestamp("updated").alias("published"), F.trim(F.regexp_replace("summary", "<[^>]*>", " ")).alias("summary"))
+
+
+def newest_of_each(items: DataFrame, feed: str, limit: int) -> DataFrame:
+    """The newest ``limit`` items of each feed."""
+    return items.withColumn("_k", F.row_number().over(Window.partitionBy(feed).orderBy(F.desc("published"), "link"))).where(F.col("_k") <= limit).drop("_k")
+
+
 def news_items(spark: SparkSession, path: str) -> DataFrame:
     """RSS items: id of the address, title, link, published, summary without markup."""
     own = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string, description string").load(path)

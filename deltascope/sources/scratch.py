@@ -13,6 +13,8 @@ _own: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="deltascope-"))
         place = _own[0]

@@ -22,7 +22,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, clip:
     for c in columns or df.columns:
         x = cell(df, c)
         out.append((F.substring(x, 1, clip[c]) if clip and c in clip else x).alias(c))
-    df.select(*out).write.mode(mode).csv(path, header=True)
+    df.select(*out).write.mode(mode).csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -41,6 +41,6 @@ def ascii_json(record: Column) -> Column:
 
 
 def store_documents(fetched: DataFrame, stored: DataFrame) -> DataFrame:
-    """Of fetched (accession, content), those whose content is new, once each, with its SHA-256."""
-    own = fetched.withColumn("sha256", F.sha2("content", 256))
-    return own.join(stored.select("sha256").distinct(), "sha256", "left_anti").dropDuplicates(["sha256"])
+    """Of fetched rows with a ``content``, those whose content is new, once each (the smallest row), with its SHA-256."""
+    own = fetched.withColumn("sha256", F.sha2("content", 256)).join(stored.select("sha256").distinct(), "sha256", "left_anti")
+    return own.groupBy("sha256").agg(F.min(F.struct(*fetched.columns)).alias("_row")).select("_row.*", "sha256")

@@ -44,11 +44,16 @@ def combine(filings: DataFrame, news: DataFrame, key: str, within: str = "1 hour
     return f.join(n, near).select(F.col(f"f.{key}"), F.col("f.ts"), F.greatest("f.gap", "n.gap").alias("gap"))
 
 
-def throttled(alerts: DataFrame, key: str, at: str, hours: float = 6.0) -> DataFrame:
-    """Alerts let through by a throttle that counts from the last one sent; one time a key is kept as state."""
+def throttled(alerts: DataFrame, key: str, at: str, hours: float = 6.0, late: str = "1 day") -> DataFrame:
+    """Alerts let through by a throttle that counts from the last one sent. One time a key is kept as state, and only until
+    the watermark (``late`` behind the newest time) has passed the throttle; times are sorted within a micro-batch."""
     import pandas as pd
 
     def step(k, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [], at: []})
+            return
         last = state.get[0] if state.exists else None
         times = sorted(t for f in frames for t in f[at])
         sent = []
@@ -58,10 +63,12 @@ def throttled(alerts: DataFrame, key: str, at: str, hours: float = 6.0) -> DataF
                 last = t.timestamp()
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max(int((last + hours * 3600) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [k[0]] * len(sent), at: sent})
 
     kinds = {f.name: f.dataType.simpleString() for f in alerts.schema.fields}
-    return alerts.select(key, at).groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}", "last double", "append", "NoTimeout")
+    own = alerts.select(key, at).withWatermark(at, late)
+    return own.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}", "last double", "append", "EventTimeTimeout")
 
 
 def run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, every: str = "5 minutes", mode: str = "append") -> StreamingQuery:
