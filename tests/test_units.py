@@ -152,3 +152,39 @@ def test_text_ratio_of_whole_texts(spark):
     same = "".join(chr(0x4E00 + i % 20_000) for i in range(50_000))
     df = spark.createDataFrame([(same + "x" * 500, same + "y" * 500), (same, same)], "old string, new string")
     assert [r[0] for r in df.select(align.text_ratio()("old", "new")).collect()] == [100_000 / 101_000, 1.0]
+
+
+def test_stored_documents_and_filters(spark):
+    docs = spark.createDataFrame([(2, "a"), (1, "a"), (3, "b"), (4, None)], "accession long, content string")
+    stored = spark.createDataFrame([("x",)], "content string").select(F.sha2("content", 256).alias("sha256"))
+    assert sorted(r.accession for r in sinks.store_documents(docs, stored).collect() if r.content) == [1, 3]
+
+
+def test_three_crawls(spark):
+    """New accessions only; an error is tried again; an amendment changes no more than versions."""
+    def crawl(stored, feed):
+        new = feed.join(stored.where("status = 'fetched'").select("accession"), "accession", "left_anti")
+        return changes.upsert(stored, new, ["accession"], keep=["first"]), new.count()
+
+    kind = "accession long, status string, first int, version int"
+    stored = spark.createDataFrame([], kind)
+    stored, n = crawl(stored, spark.createDataFrame([(1, "fetched", 1, 1), (2, "error", 1, 1), (3, "fetched", 1, 1)], kind))
+    assert n == 3
+    stored, n = crawl(stored, spark.createDataFrame([(1, "fetched", 2, 9), (2, "fetched", 2, 1), (3, "fetched", 2, 9)], kind))
+    assert n == 1
+    stored, n = crawl(stored, spark.createDataFrame([(4, "fetched", 3, 2)], kind))
+    assert n == 1 and {r.accession: (r.status, r["first"], r.version) for r in stored.collect()} == {1: ("fetched", 1, 1), 2: ("fetched", 1, 1), 3: ("fetched", 1, 1), 4: ("fetched", 3, 2)}
+
+
+def test_watched_and_replayed_batches(spark, tmp_path):
+    from deltascope.streaming import monitor
+
+    own = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    assert monitor.watched(own, own.limit(0).select("k"), "k").count() == 2
+    assert [r.v for r in monitor.watched(own, own.where("k = 'b'").select("k"), "k").collect()] == [2]
+    own.write.parquet(str(tmp_path / "in"))
+    stream = monitor.read_stream(spark, str(tmp_path / "in"), "k string, v int", files=1)
+    write = lambda batch, i: batch.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={i}"))
+    monitor.run(stream, write, str(tmp_path / "state")).awaitTermination()
+    write(own, 0)  # the first batch runs again
+    assert spark.read.parquet(str(tmp_path / "out/batch=0")).count() == 2
