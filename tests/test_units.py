@@ -188,3 +188,15 @@ def test_watched_and_replayed_batches(spark, tmp_path):
     monitor.run(stream, write, str(tmp_path / "state")).awaitTermination()
     write(own, 0)  # the first batch runs again
     assert spark.read.parquet(str(tmp_path / "out/batch=0")).count() == 2
+
+
+def test_configuration_tree():
+    import pytest
+
+    from deltascope import config
+
+    tree = config.load({"scores": {"gap": 0.1, "burial": 0.4}, "feeds": {"limit": 5}})
+    assert tree["feeds"] == {"limit": 5, "keep_days": 1} and config.DEFAULTS["feeds"]["limit"] == 200
+    assert config.errors({"feeds": {"limit": 0}}) == ["feeds.limit", "feeds.keep_days", "throttle.hours", "scores", "cache_days"]
+    with pytest.raises(ValueError, match="scores"):
+        config.load({"scores": {"gap": 0.9}})
