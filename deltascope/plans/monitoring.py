@@ -163,11 +163,11 @@ def amendments_by_period(spark, sf):
     return a.select("accession", "original", version.cast("long").alias("version"))
 
 
-@query("SELECT a.accession, a.gap, l.n, l.latest FROM alerts a LEFT JOIN (SELECT accession, count(*) AS n, max(shipped) AS latest FROM lines WHERE status = 'F' GROUP BY 1) l ON l.accession = a.accession")
+@query("SELECT a.accession, a.materiality, l.n, l.latest FROM alerts a LEFT JOIN (SELECT accession, count(*) AS n, max(shipped) AS latest FROM lines WHERE status = 'F' GROUP BY 1) l ON l.accession = a.accession")
 def feed_with_live_rows(spark, sf):
     """The feed enriched by what is known live about its filings."""
     live = lines(spark, sf).where("status = 'F'").groupBy("accession").agg(F.count("*").alias("n"), F.max("shipped").alias("latest"))
-    return alerts(spark, sf).select("accession", "gap").join(live, "accession", "left")
+    return alerts(spark, sf).select("accession", "materiality").join(live, "accession", "left")
 
 
 @query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY cik, form IN ('10-K', '10-Q') ORDER BY filed DESC, accession DESC) AS k FROM filings) SELECT accession, cik, form IN ('10-K', '10-Q') AND k = 1 AS current FROM f")
@@ -368,13 +368,13 @@ def merged_short_paragraphs(spark, sf):
 
 # -- scores and payloads ----------------------------------------------------------------------------------------------
 @query("""WITH s AS (SELECT accession, flag AS item, round(sum(disc) * 10.0 / count(*), 1) AS score FROM lines GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY score DESC, item) AS k FROM s WHERE score > 0)
-SELECT a.accession, a.materiality, a.gap, a.ranking, coalesce(t.items, '[]') AS summary FROM alerts a LEFT JOIN (SELECT accession, '[' || string_agg('{"item":"' || item || '","score":' || score || '}', ',' ORDER BY k) || ']' AS items FROM k WHERE k <= 3 GROUP BY 1) t ON t.accession = a.accession""")
+SELECT a.accession, a.materiality, a.burial, a.ranking, coalesce(t.items, '[]') AS summary FROM alerts a LEFT JOIN (SELECT accession, '[' || string_agg('{"item":"' || item || '","score":' || score || '}', ',' ORDER BY k) || ']' AS items FROM k WHERE k <= 3 GROUP BY 1) t ON t.accession = a.accession""")
 def assembled_alerts(spark, sf):
     """Alerts with their three highest sections as JSON."""
     own = lines(spark, sf).groupBy("accession", F.col("flag").alias("item")).agg(F.round(F.sum("disc") * 10.0 / F.count("*"), 1).alias("score")).where("score > 0")
     items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "item", "score")))  # a row a section
     top = own.groupBy("accession").agg(F.to_json(F.transform(F.slice(items, 1, 3), lambda x: F.struct(x["item"].alias("item"), x["score"].alias("score")))).alias("summary"))
-    return alerts(spark, sf).join(top, "accession", "left").select("accession", "materiality", "gap", "ranking", F.coalesce("summary", F.lit("[]")).alias("summary"))
+    return alerts(spark, sf).join(top, "accession", "left").select("accession", "materiality", "burial", "ranking", F.coalesce("summary", F.lit("[]")).alias("summary"))
 
 
 # Multipliers of words in a headline, bound to the invented prose.
@@ -416,13 +416,13 @@ def diff_materiality(spark, sf):
 
 
 @query(f"""WITH {ITEMS}, p AS (SELECT *, lag(w) OVER (PARTITION BY cik, form ORDER BY filed, accession) AS o FROM i), m AS (SELECT accession, w, o, round(0.4 * least(kw / 5.0::DOUBLE, 1.0) + 0.3 * (changed / secs::DOUBLE) + 0.3 * least(abs(w - o) / o::DOUBLE, 1.0), 6) AS m FROM p WHERE o IS NOT NULL)
-SELECT accession, round(m * 100, 4) AS percent, CASE WHEN m >= 0.8 THEN 'CRITICAL' WHEN m >= 0.6 THEN 'HIGH' WHEN m >= 0.4 THEN 'MEDIUM' WHEN m >= 0.2 THEN 'LOW' ELSE 'MINIMAL' END AS label, round(least(100.0, m * 100 / greatest(least(w, o) / greatest(w, o)::DOUBLE, 0.01)), 2) AS gap, round((1 - least(w, o) / greatest(w, o)::DOUBLE) * 100, 3) AS burial FROM m""")
+SELECT accession, round(m * 100, 4) AS percent, CASE WHEN m >= 0.8 THEN 'CRITICAL' WHEN m >= 0.6 THEN 'HIGH' WHEN m >= 0.4 THEN 'MEDIUM' WHEN m >= 0.2 THEN 'LOW' ELSE 'MINIMAL' END AS label, floor(least(100.0, m * 100 / greatest(least(w, o) / greatest(w, o)::DOUBLE, 0.01)) * 100 + 1e-6) / 100 AS gap, round((1 - least(w, o) / greatest(w, o)::DOUBLE) * 100, 3) AS burial FROM m""")
 def alert_payloads(spark, sf):
     """Percent, label, gap against coverage and burial of a comparison, as an alert carries them."""
     near = F.least("w", "o") / F.greatest("w", "o")
     m = F.col("materiality")
     label = F.when(m >= 0.8, "CRITICAL").when(m >= 0.6, "HIGH").when(m >= 0.4, "MEDIUM").when(m >= 0.2, "LOW").otherwise("MINIMAL")
-    return _diffs(spark, sf).select("accession", F.round(m * 100, 4).alias("percent"), label.alias("label"), F.round(F.least(F.lit(100.0), m * 100 / F.greatest(near, F.lit(0.01))), 2).alias("gap"), F.round((1 - near) * 100, 3).alias("burial"))
+    return _diffs(spark, sf).select("accession", F.round(m * 100, 4).alias("percent"), label.alias("label"), (F.floor(F.least(F.lit(100.0), m * 100 / F.greatest(near, F.lit(0.01))) * 100 + 1e-6) / 100).alias("gap"), F.round((1 - near) * 100, 3).alias("burial"))
 
 
 @query("SELECT accession, seq, flag = 'R' OR disc < 6 AS material FROM lines")

@@ -134,12 +134,12 @@ def question_router(spark, sf):
 
 
 #: One question for each branch, and one for none.
-QUESTIONS = ("Any insider trades?", "Which events were there?", "Show the annual report", "The last quarterly reports", "Were there amendments?", "What is the latest?", "Anything else?")
+QUESTIONS = ("Any insider trades?", "Which events were there?", "Show the annual report", "The last quarterly reports", "Were there amendments?", "The most recent ones", "Anything else?")
 
 
 @query(" UNION ALL ".join(f"(SELECT {i} AS question, accession, filed FROM filings WHERE cik = 10{c} ORDER BY filed DESC, accession DESC LIMIT {n})" for i, (c, n) in enumerate((
-    (" AND form = '4' AND (SELECT max(filed) FROM filings WHERE cik = 10) - filed <= 365", 50), (" AND form = '8-K' AND (SELECT max(filed) FROM filings WHERE cik = 10) - filed <= 365", 50), (" AND form IN ('10-K', '10-K/A')", 20), (" AND form = '10-Q'", 20),
-    (" AND form = '10-K/A' AND (SELECT max(filed) FROM filings WHERE cik = 10) - filed <= 730", 20), ("", 5), ("", 10)))))
+    (" AND form = '4' AND (SELECT max(filed) FROM filings WHERE cik = 10 AND form = '4') - filed <= 365", 50), (" AND form = '8-K' AND (SELECT max(filed) FROM filings WHERE cik = 10 AND form = '8-K') - filed <= 365", 50), (" AND form IN ('10-K', '10-K/A')", 20), (" AND form = '10-Q'", 20),
+    (" AND form = '10-K/A' AND (SELECT max(filed) FROM filings WHERE cik = 10 AND form = '10-K/A') - filed <= 730", 20), ("", 5), ("", 10)))))
 def question_branches(spark, sf):
     """The answers of every branch, question by question."""
     rows = [answer(spark, sf, q, 10).select(F.lit(i).alias("question"), "accession", "filed") for i, q in enumerate(QUESTIONS)]
