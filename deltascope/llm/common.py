@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word contracts: space and the five ASCII controls 09-0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is set only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. A local one is made only where it is unset and the session is
+    local (tests); a cluster without the setting is an error, since its machines share no other folder."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = getattr(scratch_dir, "own", None)
         if place is None:
             place = scratch_dir.own = "file://" + tempfile.mkdtemp(prefix="deltascope-")
@@ -34,26 +37,25 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared scratch folder and read it back: lineage is cut, executors may be lost.
 
-    ``rows``, an upper bound of the row count, sizes the number of tasks and files (100,000 rows each at most).
+    ``rows``, an upper bound of the row count, sizes the number of tasks and files (100,000 rows each at most). The
+    table goes when the session's JVM ends; results that are still read may depend on it until then.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(1 + rows // 100_000)
     path = f"{scratch_dir(spark)}/deltascope-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_batches(spark: SparkSession, rows: int = 1000):
-    """Inside, Python workers get at most ``rows`` rows at a time, so that long texts and sets stay small in memory."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bound_batches(spark: SparkSession, most_bytes: int = 4 << 20) -> None:
+    """Let Python workers get at most about ``most_bytes`` at a time (or one row, if it is larger). The session's limit is
+    only ever lowered, so that queries of one session do not disturb each other."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > most_bytes:
+        spark.conf.set(name, str(most_bytes))
 
 
 def word_count(col):
@@ -63,9 +65,49 @@ def word_count(col):
             - F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)).cast("long")
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
-    """Broadcast hint only if the counted rows stay below ``most``; otherwise Spark plans a shuffle join."""
-    return F.broadcast(df) if rows <= most else df
+def maybe_broadcast(df: DataFrame, rows: int, most_bytes: int = 32 << 20, text_bytes: int = 64) -> DataFrame:
+    """Broadcast hint only if the counted rows stay below ``most_bytes``; otherwise Spark plans a shuffle join. A row counts
+    8 bytes a column and ``text_bytes`` a string or binary one, and twice that for the table that the hash join builds.
+    Columns of unbounded width need a measured ``text_bytes``."""
+    width = 2 * sum(text_bytes if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in df.schema)
+    return F.broadcast(df) if rows * max(16, width) <= most_bytes else df
+
+
+#: What Python workers keep from task to task, by operator.
+_held: dict[str, object] = {}
+
+
+def held(owner: str, make):
+    """The cache of ``owner`` in this worker, made anew if another operator ran in between: a reused worker holds the
+    caches of one operator at a time."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
+def trim() -> None:
+    """Give freed memory of this worker back to the machine, where the C library can."""
+    import ctypes
+
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
+def two_level_rank(rows: DataFrame, keys: list[str], salt: Column, order: list, bucket_rows: Column | int, name: str) -> DataFrame:
+    """Add ``name``, the rank from 1 of each row among those of like ``keys`` (null equals null). A row's bucket is ``salt``
+    modulo the number of buckets; ranks within a bucket add to the sizes of the buckets before it, so that no hot key
+    is ordered in one task. ``bucket_rows``: the number of buckets."""
+    cut = rows.withColumn("_bucket", F.pmod(salt, F.lit(bucket_rows)))
+    sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
+    before = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"),
+                          (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_size")).alias("_before"))
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    same = F.col("_bucket") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return own.join(before, same).select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))
 
 
 class Encoder:
@@ -74,20 +116,23 @@ class Encoder:
     Both public pre-tokenizers split at single white space, so a text's ids are the ids of its chunks one after another.
     ``lead`` keeps the space in front of a chunk and the line feeds (byte-level BPE); texts whose white space is not
     plain single separators go through the library whole. New chunks are encoded together, told apart by a separator of
-    one known id. A full cache (``most`` chunks) stays as it is until four times as many chunks were not found in it.
+    one known id. A full cache (``most`` chunks of at most ``longest`` characters) stays as it is until four times as many
+    chunks were not found in it. A text that spells a special token goes through the library whole, which gives that
+    token's id; with ``plain_specials`` such text is text like any other.
     """
 
-    _kept: dict = {}
     #: White space other than space and line feed, and the mark of a chunk without a space in front.
     _odd_lead = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _odd_drop = re.compile(r"[\x1c-\x1f\x85]")
 
-    def __init__(self, path: str, lead: bool, most: int = 500_000):
+    def __init__(self, path: str, lead: bool, most: int = 400_000, longest: int = 64, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.lead, self.most, self.cache, self.missed = lead, most, {}, 0
+        self.tok.encode_special_tokens = plain_specials
+        self.lead, self.most, self.longest, self.cache, self.missed = lead, most, longest, {}, 0
+        added = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self.mark = "\n" if lead else "~"
         # a chunk of letters is one token run: its first token alone holds the space, its last alone the end of the word
         size = self.tok.get_vocab_size()
@@ -96,11 +141,11 @@ class Encoder:
 
     @classmethod
     def get(cls, path: str, lead: bool) -> "Encoder":
-        if (path, lead) not in cls._kept:
-            cls._kept[path, lead] = cls(path, lead)
-        return cls._kept[path, lead]
+        return held(f"encoder {path} {lead}", lambda: cls(path, lead))
 
     def _odd(self, text: str) -> bool:
+        if self.special is not None and self.special.search(text):
+            return True
         if not self.lead:
             return self._odd_drop.search(text) is not None
         return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or self._odd_lead.search(text) is not None
@@ -169,7 +214,7 @@ class Encoder:
                 continue
             held.append((i, ("\x00" + text.replace("\n", " \n \x00")).split(" ") if self.lead else text.split()))
             size += len(text)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 self._join(held, out)
                 held, size = [], 0
         self._join(held, out)
@@ -181,16 +226,17 @@ class Encoder:
             seen.update(chunks)
         new = seen.difference(self.cache)
         own = self._new(list(new)) if new else {}
-        if len(self.cache) + len(own) > self.most:
-            self.missed += len(own)
+        short = {c: x for c, x in own.items() if len(c) <= self.longest}
+        if len(self.cache) + len(short) > self.most:
+            self.missed += len(short)
             if self.missed > 4 * self.most:
                 self.cache.clear()
                 self.missed = 0
         kept = self.cache
         # chunks of this lot only: a small table, so that the many look-ups below stay near the processor
         local = {c: kept[c] for c in seen.difference(own) if c in kept}
-        if len(kept) + len(own) <= self.most:
-            kept.update(own)
+        if len(kept) + len(short) <= self.most:
+            kept.update(short)
         local.update(own)
         if len(local) < len(seen):
             local.update(self._new([c for c in seen if c not in local]))

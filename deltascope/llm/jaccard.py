@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, maybe_broadcast
+from .common import bound_batches, materialize, maybe_broadcast
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -231,10 +231,7 @@ class Join:
         Null, empty and wordless texts have no shingles and stand alone. Rows without doc_id stand alone with a null
         component. Rows that repeat a doc_id are one vertex. Extra columns are ignored; no rows give no rows.
         """
-        with arrow_batches(docs.sparkSession):
-            return self._run(docs)
-
-    def _run(self, docs: DataFrame) -> DataFrame:
+        bound_batches(docs.sparkSession)
         base = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
         keyed = materialize(base.select("doc", F.length("text").alias("len"), F.unhex(F.md5("text")).alias("key")))
         groups = keyed.where("key is not null and doc is not null").groupBy("key").agg(F.min("doc").alias("rep"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, arrow_batches, materialize
+from .common import Encoder, bound_batches, materialize, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,6 +38,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
                     rows.append((d, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             out["doc_id"] = out["doc_id"].astype("Int64")
+            trim()
             yield out
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
@@ -155,6 +156,6 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024
     Null and empty texts hold the end id alone. Repeated rows are packed once each. Extra columns are ignored.
     An empty table gives an empty result. Texts of any length are cut, never truncated.
     """
-    with arrow_batches(docs.sparkSession, 2000):
-        pieces = materialize(tokenize_pieces(docs, vocabulary, end_id, capacity))
+    bound_batches(docs.sparkSession)
+    pieces = materialize(tokenize_pieces(docs, vocabulary, end_id, capacity))
     return assign(pieces, capacity)

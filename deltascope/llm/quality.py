@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, held, trim
 from .shingles import word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -45,8 +46,6 @@ _LETTER = re.compile(r"[^\W\d_]")
 class Pieces:
     """A public piece vocabulary."""
 
-    _kept: dict = {}
-
     def __init__(self, path: str):
         import sentencepiece
 
@@ -55,9 +54,7 @@ class Pieces:
 
     @classmethod
     def get(cls, path: str) -> "Pieces":
-        if path not in cls._kept:
-            cls._kept[path] = cls(path)
-        return cls._kept[path]
+        return held(f"pieces {path}", lambda: cls(path))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
@@ -101,6 +98,17 @@ def band_of(lang: str | None, text: str, bands: dict[str, Band] = BANDS) -> str:
     return "*"
 
 
+def _measured(b: pd.DataFrame, pieces: Pieces, lot: int = 1_000_000) -> Iterator[tuple]:
+    """(doc_id, text, lang, word hashes, ids) of each row, worked out about ``lot`` characters at a time."""
+    texts = [t or "" for t in b["text"]]
+    sizes, a = np.cumsum([len(t) for t in texts]), 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + lot, side="right")))
+        own = texts[a:z]
+        yield from zip(b["doc_id"].iloc[a:z], own, b["lang"].iloc[a:z], word_hashes(own), pieces.ids(own))
+        a = z
+
+
 def judge(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text, lang): counts, fertility and verdict over the whole text.
 
@@ -108,11 +116,13 @@ def judge(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS) -> D
     language falls back to the script. Repeated rows give repeated rows, no rows none; extra columns are ignored.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces.get(vocabulary)
         for b in batches:
-            rows, texts = [], [t or "" for t in b["text"]]
-            for d, t, lang, words, ids in zip(b["doc_id"], texts, b["lang"], word_hashes(texts), pieces.ids(texts)):
+            rows = []
+            for d, t, lang, words, ids in _measured(b, pieces):
                 n, again, chars = len(words), repeated_words(words), len(t) - sum(map(t.count, SPACES))
                 earlier, dup = set(), 0
                 for line in t.split("\n"):
@@ -128,6 +138,7 @@ def judge(docs: DataFrame, vocabulary: str, bands: dict[str, Band] = BANDS) -> D
                 rows.append((d, n, chars, sum(map(t.count, SYMBOLS)), dup, again, failed, bool(fits and not failed), name, per_token, per_word, share, bits))
             out = pd.DataFrame(rows, columns=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "band", "chars_per_token", "tokens_per_word", "byte_share", "entropy_bits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
+            trim()
             yield out
 
     return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInPandas(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, band string, chars_per_token double, tokens_per_word double, byte_share double, entropy_bits double")

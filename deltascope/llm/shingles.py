@@ -16,7 +16,7 @@ _powers: list[np.ndarray] = []
 
 def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64)))]
     return _powers[0], _powers[1]
 
@@ -77,11 +77,11 @@ def _in_chunks(texts: list[str | None], run, chunk_bytes: int) -> list[np.ndarra
     return out + (run(held) if held else [])
 
 
-def word_hashes(texts: list[str | None], chunk_bytes: int = 1 << 20) -> list[np.ndarray]:
+def word_hashes(texts: list[str | None], chunk_bytes: int = 1 << 18) -> list[np.ndarray]:
     """64-bit hashes of each text's words in order, capitals told apart. Null: none."""
     return _in_chunks(texts, _cased, chunk_bytes)
 
 
-def shingle_sets(texts: list[str | None], k: int, chunk_bytes: int = 1 << 20) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], k: int, chunk_bytes: int = 1 << 18) -> list[np.ndarray]:
     """The distinct ``k``-word shingles of each whole text; fewer words make one shingle; no word, none. Null: none."""
     return _in_chunks(texts, lambda raw: _chunk(raw, k), chunk_bytes)
