@@ -7,7 +7,9 @@ and what one set's comparisons have shown answers for the sets close to it.
 3. P is put in order of frequency and indexed by its own prefix: shingles of one document never enter a list.
 4. In each list every set meets the list's pivot. Linked sets form components; their pairs need no further look.
 5. Pairs that remain across components are skipped in blocks by size, by position, by the triangle inequality on
-   distances to a common pivot, and by parity bitmaps that bound the symmetric difference; the rest are compared.
+   distances to a common pivot, and by parity bitmaps that bound the symmetric difference.
+6. The answers of the rest are derived: a set takes the overlap that its highly similar pivot is known to have with the
+   other set and corrects it by the difference of the two; only pairs without such a pivot are compared from nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize, maybe_broadcast
+from .common import bound_batches, materialize, maybe_broadcast, trim
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -39,7 +41,7 @@ def _fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 class Join:
-    def __init__(self, words: int = 4, num: int = 85, slack: int = 15, list_rows: int = 20_000, bucket_tokens: int = 600_000):
+    def __init__(self, words: int = 4, num: int = 85, slack: int = 15, list_rows: int = 20_000, bucket_tokens: int = 200_000):
         """Link when 100 * intersection >= ``num`` * union. ``slack``: percent of a set's size that P holds beyond the
         plain prefix; ``list_rows``: longer lists are compared in pairs of blocks, none is cut short."""
         self.words, self.num, self.slack, self.list_rows, self.bucket_tokens = words, num, min(slack, num), list_rows, bucket_tokens
@@ -62,8 +64,12 @@ class Join:
 
     # -- steps ---------------------------------------------------------------------------------------------------
     def prefixes(self, texts: DataFrame, buckets: int) -> DataFrame:
-        """Rows (doc, n, tok, df): one with tok null for each document, one for each shingle of P that two or more hold."""
-        words, part = self.words, self.part
+        """Rows (doc, n, tok, df): one with tok null for each document, one for each shingle of P that two or more hold.
+
+        Counted in two levels: each lot of documents counts its own shingles, a bucket (a range of hashes) adds those
+        counts, and the lots look the sums up. A bucket that a common shingle makes large is looked up in slices of about
+        ``bucket_tokens`` entries, so that a shingle held by all documents is never gathered in one task."""
+        words, part, bucket_tokens = self.words, self.part, self.bucket_tokens
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held, docs, sizes, total = [], [], [], 0
@@ -72,14 +78,17 @@ class Join:
                 toks, at = np.concatenate(held), np.repeat(np.arange(len(docs), dtype=np.uint32), [len(x) for x in held])
                 ids, ns = np.array(docs, np.int64), np.array(sizes, np.int32)
                 where = (toks >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                order = np.argsort(where, kind="stable")
+                order = np.argsort(toks, kind="stable")  # by hash, and so by bucket
                 toks, at, where = toks[order], at[order], where[order]
                 cut = np.flatnonzero(np.diff(where, prepend=np.uint64(2**63), append=np.uint64(2**63)))
-                rows = [(-1 - int(ids[0]) % buckets, b"", b"", ids.tobytes(), ns.tobytes())]
+                lot = int(ids[0])
+                rows = [("docs", 0, lot, b"", b"", ids.tobytes(), ns.tobytes())]
                 for a, b in zip(cut[:-1], cut[1:]):
                     own, local = np.unique(at[a:b], return_inverse=True)
-                    rows.append((int(where[a]), toks[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[own].tobytes(), ns[own].tobytes()))
-                return pd.DataFrame(rows, columns=["bucket", "toks", "at", "docs", "ns"])
+                    first = np.flatnonzero(np.concatenate([[True], toks[a + 1 : b] != toks[a : b - 1]]))
+                    rows.append(("entries", int(where[a]), lot, toks[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[own].tobytes(), ns[own].tobytes()))
+                    rows.append(("counts", int(where[a]), lot, toks[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), b"", b""))
+                return pd.DataFrame(rows, columns=["kind", "bucket", "lot", "toks", "at", "docs", "ns"])
 
             for b in batches:
                 for d, own in zip(b["doc"], shingle_sets(list(b["text"]), words)):
@@ -87,32 +96,49 @@ class Join:
                     docs.append(d)
                     sizes.append(len(own))
                     total += len(held[-1])
-                    if total > 500_000:
+                    if total > 250_000:
                         yield flush()
                         held, docs, sizes, total = [], [], [], 0
             if docs:
                 yield flush()
+            trim()
 
-        def count(frame: pd.DataFrame) -> pd.DataFrame:
-            docs = [np.frombuffer(x, np.int64) for x in frame["docs"]]
-            ns = [np.frombuffer(x, np.int32) for x in frame["ns"]]
-            if frame["bucket"].iloc[0] < 0:
-                out = pd.DataFrame({"doc": np.concatenate(docs), "n": np.concatenate(ns).astype(np.int64)})
-                out["tok"], out["df"] = pd.array([None] * len(out), "Int64"), 0
-                return out
-            at = [np.frombuffer(x, np.uint32) for x in frame["at"]]
-            toks = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["toks"]])
+        def add(frame: pd.DataFrame) -> pd.DataFrame:
+            toks, n = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["toks"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in frame["at"]])
             order = np.argsort(toks, kind="stable")
             toks = toks[order]
             first = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]]))
-            df = np.diff(np.append(first, len(toks)))
-            df = np.repeat(df, df)
+            df = np.add.reduceat(n[order].astype(np.int64), first)
             keep = df > 1
-            own, n = np.concatenate([d[i] for d, i in zip(docs, at)])[order], np.concatenate([d[i] for d, i in zip(ns, at)])[order]
-            return pd.DataFrame({"doc": own[keep], "n": n[keep].astype(np.int64), "tok": pd.array(toks[keep].view(np.int64), "Int64"), "df": df[keep]})
-
-        packed = texts.mapInPandas(pack, "bucket long, toks binary, at binary, docs binary, ns binary")
-        return packed.groupBy("bucket").applyInPandas(count, "doc long, n long, tok long, df long")
+            trim()
+            return pd.DataFrame({"bucket": frame["bucket"][:1], "slices": [max(1, -(-int(n.sum()) // bucket_tokens))], "common": [toks[first][keep].tobytes()], "df": [df[keep].tobytes()]})
+
+        def look_up(entries: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+            common, df = np.frombuffer(sums["common"].iloc[0], np.uint64), np.frombuffer(sums["df"].iloc[0], np.int64)
+            out = []
+            for toks, at, docs, ns in zip(entries["toks"], entries["at"], entries["docs"], entries["ns"]):
+                toks, at = np.frombuffer(toks, np.uint64), np.frombuffer(at, np.uint32)
+                if not len(common):
+                    continue
+                place = np.minimum(np.searchsorted(common, toks), len(common) - 1)
+                hit = common[place] == toks
+                out.append((np.frombuffer(docs, np.int64)[at[hit]], np.frombuffer(ns, np.int32)[at[hit]].astype(np.int64), toks[hit].view(np.int64), df[place[hit]]))
+            trim()
+            return pd.DataFrame({k: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, k in enumerate(("doc", "n", "tok", "df"))})
+
+        def sizes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for docs, ns in zip(b["docs"], b["ns"]):
+                    yield pd.DataFrame({"doc": np.frombuffer(docs, np.int64), "n": np.frombuffer(ns, np.int32).astype(np.int64)})
+
+        packed = materialize(texts.mapInPandas(pack, "kind string, bucket long, lot long, toks binary, at binary, docs binary, ns binary"))
+        sums = materialize(packed.where("kind = 'counts'").select("bucket", "toks", "at").groupBy("bucket").applyInPandas(add, "bucket long, slices int, common binary, df binary"))
+        slices = maybe_broadcast(sums.select(F.col("bucket").alias("_b"), "slices"), buckets)
+        entries = packed.where("kind = 'entries'").join(slices, F.col("bucket") == F.col("_b")).withColumn("slice", F.pmod(F.xxhash64("lot"), F.col("slices")).cast("int")).select("bucket", "slice", "toks", "at", "docs", "ns")
+        spread = sums.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "common", "df")
+        found = entries.groupBy("bucket", "slice").cogroup(spread.groupBy("bucket", "slice")).applyInPandas(look_up, "doc long, n long, tok long, df long")
+        alone = packed.where("kind = 'docs'").select("docs", "ns").mapInPandas(sizes_of, "doc long, n long")
+        return found.unionByName(alone.select("doc", "n", F.lit(None).cast("long").alias("tok"), F.lit(0).cast("long").alias("df")))
 
     def entries(self, rows: DataFrame) -> DataFrame:
         """The index: (tok, doc, n, pos), without shingles that only one document would list."""
@@ -129,28 +155,62 @@ class Join:
             for b in batches:
                 own = shingle_sets(list(b["text"]), words)
                 yield pd.DataFrame({"doc": b["doc"], "own": [x.tobytes() for x in own], "bits": [_bitmap(x) for x in own]})
+                trim()
 
         return materialize(texts.mapInPandas(run, "doc long, own binary, bits binary"))
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(a, b, both, total) of each pair: sizes of intersection and union, counted exactly."""
+        """(a, b, both, total, n, minus, plus) of each pair, counted exactly: sizes of intersection and union, the size of
+        b's set and, for linked pairs, the elements that b's set lacks of a's and has beyond it."""
+        num = self.num
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in batches:
-                both, total = [], []
+                rows = []
                 for x, y in zip(f["x"], f["y"]):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.searchsorted(y, x)
-                    same = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    both.append(same)
-                    total.append(len(x) + len(y) - same)
-                yield pd.DataFrame({"a": f["a"], "b": f["b"], "both": both, "total": total})
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    hit = y[at] == x
+                    both = int(hit.sum())
+                    total = len(x) + len(y) - both
+                    linked = 100 * both >= num * total
+                    rows.append((both, total, len(y), x[~hit].tobytes() if linked else None, np.delete(y, at[hit]).tobytes() if linked else None))
+                out = pd.DataFrame(rows, columns=["both", "total", "n", "minus", "plus"])
+                out.insert(0, "a", f["a"].to_numpy())
+                out.insert(1, "b", f["b"].to_numpy())
+                trim()
+                yield out
 
         left = sets.select(F.col("doc").alias("a"), F.col("own").alias("x"))
         right = sets.select(F.col("doc").alias("b"), F.col("own").alias("y"))
-        return materialize(pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long, both long, total long"))
+        return materialize(pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long, both long, total long, n long, minus binary, plus binary"))
+
+    def derive(self, pairs: DataFrame, sets: DataFrame, known: DataFrame, close: DataFrame) -> DataFrame:
+        """(a, b, both, total) of each pair. A set x that is highly similar to a set p (``close``: doc, pivot, n, minus, plus)
+        takes p's answer for y, if there is one (``known``: a, b, both), and corrects it by the difference of the two:
+        the elements of p alone that y holds go, those of x alone come. Other pairs are counted from their sets."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in batches:
+                both, total = [], []
+                for base, n, minus, plus, y in zip(f["base"], f["n"], f["minus"], f["plus"], f["y"]):
+                    y = np.frombuffer(y, np.uint64)
+                    for sign, own in ((-1, minus), (1, plus)):
+                        own = np.frombuffer(own, np.uint64)
+                        if len(own):
+                            base += sign * int((y[np.minimum(np.searchsorted(y, own), len(y) - 1)] == own).sum())
+                    both.append(base)
+                    total.append(n + len(y) - base)
+                yield pd.DataFrame({"a": f["a"], "b": f["b"], "both": both, "total": total})
+
+        pairs = materialize(pairs)
+        sides = pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("other")).unionByName(pairs.select("a", "b", F.col("b").alias("x"), F.col("a").alias("other")))
+        own = sides.join(close.select(F.col("doc").alias("x"), "pivot", "n", "minus", "plus"), "x")
+        answers = known.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("both").alias("base"))
+        own = own.join(answers, (F.least("pivot", "other") == F.col("low")) & (F.greatest("pivot", "other") == F.col("high"))).dropDuplicates(["a", "b"])
+        derived = materialize(own.join(sets.select(F.col("doc").alias("other"), F.col("own").alias("y")), "other").select("a", "b", "base", "n", "minus", "plus", "y").mapInPandas(run, "a long, b long, both long, total long"))
+        direct = self.verify(pairs.join(derived.select("a", "b"), ["a", "b"], "left_anti"), sets).select("a", "b", "both", "total")
+        return derived.unionByName(direct)
 
     def remaining(self, lists: DataFrame, every: bool) -> DataFrame:
         """Pairs across components that a list can't skip: all, or the closest of each two components."""
@@ -177,7 +237,7 @@ class Join:
                     small, large = n[a:b, None], n[None, c:d]
                     ok = (100 * small >= num * large) & (np.minimum(rest[a:b, None], rest[None, c:d]) >= (slack * small + 99) // 100) & (comp[a:b, None] != comp[None, c:d])
                     far = np.abs(dist[a:b, None] - dist[None, c:d]) > (100 - num) / 100 + 1e-9
-                    ok &= ~((pivot[a:b, None] == pivot[None, c:d]) & far)
+                    ok &= ~((pivot[a:b, None] == pivot[None, c:d]) & far)  # without a pivot the distance is no number, and nothing is far
                     if p == q:
                         ok &= np.tri(b - a, k=-1, dtype=bool).T
                     if not ok.any():
@@ -219,8 +279,9 @@ class Join:
             for a, b in zip(cut[:-1], cut[1:]):
                 found += [x for x in pairs_of(*(c[a:b] for c in cols)) if x not in seen]
                 seen.update(found[-10_000:])
-                if len(seen) > 500_000:
+                if len(seen) > 50_000:
                     seen.clear()
+            trim()
             yield pd.DataFrame(list(set(found)), columns=["a", "b"], dtype=np.int64)
 
         return lists.mapInPandas(run, "a long, b long").distinct()
@@ -255,13 +316,17 @@ class Join:
         stars = materialize(index.where(f"doc <> head and 100 * least(n, head_n) >= {self.num} * greatest(n, head_n)").select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct())
         used = materialize(index.select("doc").distinct())
         sets = self.sets(texts.join(maybe_broadcast(used, used.count()), "doc", "left_semi"))
-        checked = self.verify(stars, sets)
+        first = self.verify(stars, sets)
+        checked = first.select("a", "b", "both", "total")
         links = checked.where(f"100 * both >= {self.num} * total").select("a", "b")
         comps = connected_components(links)
         near = checked.groupBy(F.col("b").alias("doc")).agg(F.min_by(F.struct(F.col("a").alias("pivot"), (1 - F.col("both") / F.col("total")).alias("dist")), F.struct(1 - F.col("both") / F.col("total"), "a")).alias("s")).select("doc", "s.pivot", "s.dist")
         pivots = checked.select(F.col("a").alias("doc")).distinct().select("doc", F.col("doc").alias("pivot"), F.lit(0.0).alias("dist"))
         near = near.join(pivots.select("doc"), "doc", "left_anti").unionByName(pivots)
-        facts = materialize(sets.select("doc", "bits").join(near, "doc", "left").select("doc", "bits", F.coalesce("pivot", F.lit(None).cast("long"), -1 - F.col("doc")).alias("pivot"), F.coalesce("dist", F.lit(0.0)).alias("dist")))
+        # the closest linked pivot of each set, and the difference of the two
+        close = first.where("minus is not null").groupBy(F.col("b").alias("doc")).agg(F.min_by(F.struct(F.col("a").alias("pivot"), "n", "minus", "plus"), F.struct(1 - F.col("both") / F.col("total"), "a")).alias("s"))
+        close = materialize(close.select("doc", "s.pivot", "s.n", "s.minus", "s.plus"))
+        facts = materialize(sets.select("doc", "bits").join(near, "doc", "left").select("doc", "bits", F.coalesce("pivot", F.lit(0)).alias("pivot"), F.coalesce("dist", F.lit(float("nan"))).alias("dist")))
         for every in (False, True):
             labelled = index.join(comps.withColumnRenamed("v", "doc"), "doc", "left").select("tok", "doc", "n", "pos", "c", F.coalesce("component", "doc").alias("comp"))
             open_lists = labelled.groupBy("tok").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("tok")
@@ -271,7 +336,7 @@ class Join:
             lists = (labelled.join(open_lists, "tok", "left_semi").select(key.alias("key"), "doc", "n", "pos", "comp").join(facts, "doc")
                      .repartition("key").sortWithinPartitions("key"))
             pairs = self.remaining(lists, every).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-            more = self.verify(pairs, sets)
+            more = self.derive(pairs, sets, checked, close)
             checked = checked.unionByName(more)
             fresh = more.where(f"100 * both >= {self.num} * total").select("a", "b")
             if not fresh.isEmpty():
@@ -281,4 +346,6 @@ class Join:
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; links at ``num`` percent of ``words``-word shingles. See
+    ``Join.run`` for nulls, empty texts and repeats."""
     return Join(words, num).run(docs)
