@@ -2,12 +2,15 @@
 
 Entities are found by one pattern a text; equal entities (after normalising case and separators) get one surrogate in
 the whole corpus, different ones never share one: candidates that meet another surrogate or a real entity are drawn
-again in rounds over the table of distinct entities. Surrogates keep type, length, separators, letter case, script and,
-for names, the gender of the title; country codes, top-level domains and issuer digits stay, Luhn sums stay valid.
+again in rounds over the table of distinct entities. Family names are entities of their own, so that all forms of one
+person's name keep one family name and no two families share one. Surrogates keep type, length, separators, letter case,
+script and, for names, the gender of the title; country codes, top-level domains and issuer digits stay, Luhn sums and
+check digits of account numbers stay valid. Card and account numbers whose check sum is wrong are left alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -66,9 +69,13 @@ def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
-def _stream(key: Column, kind: Column, norm: Column, attempt: Column, i: Column) -> Column:
-    """A keyed number for the i-th character (0 .. 2^31)."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("\u0001", key, kind, norm, attempt.cast("string"), i.cast("string")), 256), 1, 8), 16, 10).cast("long")
+def _stream(key: str, kind: Column, norm: Column, attempt: Column, i: Column) -> Column:
+    """A keyed number (HMAC-SHA256) for the i-th character (0 .. 2^32)."""
+    block = hashlib.sha256(key.encode()).digest().ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("\u0001", kind, norm, attempt.cast("string"), i.cast("string")).cast("binary")
+    digest = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 ALPHABETS: tuple[tuple[str, str], ...] = (("[a-z]", "abcdefghijklmnopqrstuvwxyz"), ("[A-Z]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (r"\d", "0123456789"), ("[а-я]", "абвгдежзийклмнопрстуфхцчшщэюя"), ("[А-Я]", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯ"), ("[α-ω]", "αβγδεζηθικλμνξοπρστυφχψω"), (r"\p{Ll}", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"), (r"\p{Lu}", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"),
@@ -94,6 +101,13 @@ def _luhn_rest(digits: Column) -> Column:
         (acc["s"] + F.when(acc["i"] % 2 == 0, d.cast("int")).otherwise(d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0))).alias("s"), (acc["i"] + 1).alias("i")))["s"] % 10
 
 
+def _mod97(chars: Column) -> Column:
+    """Account number as digits (A = 10 ..), country and check digits last, modulo 97."""
+    moved = F.concat(F.slice(chars, 5, F.greatest(F.size(chars) - 4, F.lit(0))), F.slice(chars, 1, 4))
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(moved, F.lit(0), lambda acc, c: F.when(c.rlike("[0-9]"), acc * 10 + value(c)).otherwise(acc * 100 + value(c)) % 97)
+
+
 def _lengthened(kind: Column, norm: Column) -> Column:
     out = norm
     for name, filler in FILLERS.items():
@@ -101,45 +115,67 @@ def _lengthened(kind: Column, norm: Column) -> Column:
     return out
 
 
-def _draw(key: str, kind: Column, norm: Column, kept: Column, attempt: Column, longer: bool = False) -> Column:
-    """The candidate surrogate of a normalised entity. ``kept``: leading characters that stay. ``longer``: one of more
-    characters than the entity has, out of 10^12 values or more; addresses become unique local ones (IPv6)."""
-    k = F.lit(key)
-    luhn = _luhn_rest(_chars(norm)) == 0
-    own, norm = norm, _lengthened(kind, norm) if longer else norm
-    tld = F.length(F.regexp_extract(norm, r"\.[^.@]*$", 0))
-    hexes = (kind == "secret") & norm.rlike("^[0-9a-f]+$")
-    chars = _chars(norm)
-    drawn = F.transform(chars, lambda c, i: F.when((i < kept) | ((kind == "email") & (i >= F.length(norm) - tld)), c).otherwise(_same_class(c, _stream(k, kind, own, attempt, i), hexes)))
-    # the check digit goes last; it makes the sum of the whole a multiple of ten again
-    base = F.concat(F.slice(drawn, 1, F.greatest(F.size(drawn) - 1, F.lit(0))), F.array(F.lit("0")))
-    card = F.when(luhn, F.concat(F.array_join(F.slice(base, 1, F.greatest(F.size(base) - 1, F.lit(0))), ""), ((10 - _luhn_rest(base)) % 10).cast("string"))).otherwise(F.array_join(drawn, ""))
-    byte = lambda i, n, low=0: (_stream(k, kind, norm, attempt, F.lit(i)) % n + low).cast("string")
-    ip = (F.when(norm.startswith("10."), F.concat_ws(".", F.lit("10"), byte(1, 256), byte(2, 256), byte(3, 256)))
-          .when(norm.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), byte(2, 256), byte(3, 256)))
-          .otherwise(F.concat_ws(".", byte(0, 112, 11), byte(1, 256), byte(2, 256), byte(3, 256))))
+def _drawn(open_: DataFrame, key: str, attempt: int, longer: bool) -> DataFrame:
+    """``open_`` (kind, norm, kept, family) with the candidate ``surrogate`` of each entity. ``kept``: leading characters that
+    stay; ``family``: the surrogate of a name's family name. ``longer``: one of more characters than the entity has, out
+    of 10^12 values or more; addresses become unique local ones (IPv6). Step by step, so that expressions stay small."""
+    kind, norm, no = F.col("kind"), F.col("norm"), F.lit(attempt)
+    out = open_.withColumn("_t", _lengthened(kind, norm) if longer else norm).withColumn("_c", _chars(F.col("_t")))
+    out = out.withColumn("_n", F.transform("_c", lambda c, i: _stream(key, kind, norm, no, i)))
+    tld = F.length("_t") - F.length(F.regexp_extract("_t", r"\.[^.@]*$", 0))
+    hexes = (kind == "secret") & F.col("_t").rlike("^[0-9a-f]+$")
+    stays = lambda i: (i < F.col("kept")) | ((kind == "email") & (i >= tld))
+    out = out.withColumn("_d", F.transform("_c", lambda c, i: F.when(stays(i), c).otherwise(_same_class(c, F.get("_n", i), hexes))))
+    rest = F.greatest(F.size("_d") - 1, F.lit(0))
+    # a card's check digit goes last; it makes the sum of the whole a multiple of ten again
+    out = out.withColumn("_e", F.when((kind == "card") & (_luhn_rest(_chars(norm)) == 0), F.concat(F.slice("_d", 1, rest), F.array(F.lit("0"))))
+                         # the two check digits after an account's country leave a rest of one
+                         .when((kind == "iban") & (_mod97(_chars(norm)) == 1), F.concat(F.slice("_d", 1, 2), F.array(F.lit("0"), F.lit("0")), F.slice("_d", 5, F.greatest(F.size("_d") - 4, F.lit(0))))))
+    card = F.concat(F.array_join(F.slice("_e", 1, rest), ""), ((10 - _luhn_rest(F.col("_e"))) % 10).cast("string"))
+    iban = F.concat(F.array_join(F.slice("_e", 1, 2), ""), F.lpad((98 - _mod97(F.col("_e"))).cast("string"), 2, "0"), F.array_join(F.slice("_e", 5, F.greatest(F.size("_e") - 4, F.lit(0))), ""))
+    byte = lambda i, n, low=0: (F.get("_n", F.lit(i)) % n + low).cast("string")
     if longer:
-        digits = F.concat(F.lit("fd"), F.substring(F.sha2(F.concat_ws("\u0001", k, kind, norm, attempt.cast("string")), 256), 1, 30))
-        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(digits, i * 4 + 1, F.lit(4))), ":")
-    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", _name(k, norm, attempt, longer)).otherwise(F.array_join(drawn, ""))
+        digits = F.concat(F.lit("fd"), *[F.lpad(F.hex(F.get("_n", F.lit(i))), 8, "0") for i in range(4)])
+        ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.substring(digits, i * 4 + 1, F.lit(4)))), ":")
+    else:
+        ip = (F.when(norm.startswith("10."), F.concat_ws(".", F.lit("10"), byte(1, 256), byte(2, 256), byte(3, 256)))
+              .when(norm.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), byte(2, 256), byte(3, 256)))
+              .otherwise(F.concat_ws(".", byte(0, 112, 11), byte(1, 256), byte(2, 256), byte(3, 256))))
+    surrogate = (F.when(kind == "ip", ip).when(F.col("_e").isNotNull(), F.when(kind == "card", card).otherwise(iban)).when(kind == "name", _name(key, norm, F.col("family"), no, longer))
+                 .when(kind == "family", _syllables(key, "family", norm, norm, no, no + 2)).otherwise(F.array_join("_d", "")))
+    return out.select("kind", "norm", "kept", "family", surrogate.alias("surrogate"))
+
+
+_TITLE = rf"^(?:{MALE}|{FEMALE})\.? "
+
 
+def _family(norm: Column) -> Column:
+    """The last word of a name with a title."""
+    return F.regexp_extract(norm, r"([^ ]+)$", 1)
+
+
+def _syllables(key: str, what: str, seed: Column, like: Column, attempt: Column, last: Column) -> Column:
+    """A word of drawn syllables in the script of ``like``; the draw depends on ``seed``."""
+    out = F.lit("")
+    for s, parts in SYLLABLES.items():
+        bits = F.array(*[F.lit(x) for x in parts])
+        word = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(bits, (_stream(key, F.lit(what), seed, attempt, i) % len(parts) + 1).cast("int"))), ""))
+        out = F.when(like.rlike(r"\p{IsCyrillic}") if s == "cyrillic" else F.lit(True), word).otherwise(out)
+    return out
 
-def _name(k: Column, norm: Column, attempt: Column, longer: bool = False) -> Column:
-    """Title as it was, then a given name of its gender and script where there was one, and a drawn family name; the
-    family name depends on the family name alone, so that short and full forms still refer to one person. ``longer``: it depends on the whole name, since the given
-    names of one family have run out."""
-    title, rest = F.regexp_extract(norm, rf"^(?:{MALE}|{FEMALE})\.? ", 0), F.regexp_replace(norm, rf"^(?:{MALE}|{FEMALE})\.? ", "")
+
+def _name(key: str, norm: Column, family: Column, attempt: Column, longer: bool) -> Column:
+    """Title as it was, then a given name of its gender and script where there was one, and the surrogate family name.
+    ``longer``: the given names of one family have run out, so one of syllables is drawn."""
+    title, rest = F.regexp_extract(norm, _TITLE, 0), F.regexp_replace(norm, _TITLE, "")
     gender, script = F.when(title.rlike(f"^{FEMALE}"), "f").otherwise("m"), F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    family = rest if longer else F.regexp_extract(rest, r"([^ ]+)$", 1)
     given = F.lit("")
-    last = F.lit("")
     for (s, g), names in GIVEN.items():
         words = F.array(*[F.lit(x) for x in names.split()])
-        given = F.when((script == s) & (gender == g), F.element_at(words, (_stream(k, F.lit("given"), F.concat(gender, rest), attempt, F.lit(0)) % len(names.split()) + 1).cast("int"))).otherwise(given)
-    for s, parts in SYLLABLES.items():
-        bits = F.array(*[F.lit(x) for x in parts])
-        last = F.when(script == s, F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.element_at(bits, (_stream(k, F.lit("family"), family, attempt, i) % len(parts) + 1).cast("int"))), ""))).otherwise(last)
-    return F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), last)
+        given = F.when((script == s) & (gender == g), F.element_at(words, (_stream(key, F.lit("given"), F.concat(gender, rest), attempt, F.lit(0)) % len(names.split()) + 1).cast("int"))).otherwise(given)
+    if longer:
+        given = _syllables(key, "given", F.concat(gender, rest), rest, attempt, attempt + 3)
+    return F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
 def _refill(m: Column, core: Column) -> Column:
@@ -151,13 +187,13 @@ def _refill(m: Column, core: Column) -> Column:
     return F.concat(out["t"], F.array_join(F.slice(cores, out["i"], F.size(cores)), ""))
 
 
-def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFrame:
-    """(kind, norm, surrogate) for the distinct entities (kind, norm, kept). Each round draws for those that are still
-    open; a candidate holds if it is no real entity, no earlier surrogate, and the smallest entity that drew it. After
+def _rounds(entities: DataFrame, key: str, most_rounds: int) -> DataFrame:
+    """(kind, norm, surrogate) of ``entities`` (kind, norm, kept, family). Each round draws for those that are still open; a
+    candidate holds if it is no real entity, no earlier surrogate, and the smallest entity that drew it. After
     ``most_rounds`` the candidates are longer than the entity, where free ones never run out."""
     done, open_ = None, entities
     for attempt in itertools.count():
-        drawn = materialize(open_.select("kind", "norm", "kept", _draw(key, F.col("kind"), F.col("norm"), F.col("kept"), F.lit(attempt), attempt >= most_rounds).alias("surrogate")))
+        drawn = materialize(_drawn(open_, key, attempt, attempt >= most_rounds))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("norm").alias("owner"))
         clear = first.join(entities.select("kind", F.col("norm").alias("surrogate")), ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -170,38 +206,68 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFram
             return done
 
 
-def anonymize(docs: DataFrame, key: str, text: str = "text", row_key: str = "doc_id", most_broadcast: int = 100_000) -> DataFrame:
-    """``docs`` with surrogates in column ``text`` and a new last column ``n_entities`` (int, 0 where nothing was found).
+def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFrame:
+    """(kind, norm, surrogate) for the distinct entities (kind, norm, kept); no two of a kind share a surrogate."""
+    if not key:
+        raise ValueError("surrogates need a key")
+    names = entities.where("kind = 'name'").select("norm", "kept", _family(F.col("norm")).alias("_f"))
+    families = names.select(F.lit("family").alias("kind"), F.col("_f").alias("norm"), F.lit(0).alias("kept"), F.lit(None).cast("string").alias("family")).distinct()
+    found = _rounds(families, key, most_rounds).select(F.col("norm").alias("_f"), F.col("surrogate").alias("family"))
+    own = names.join(found, "_f").select(F.lit("name").alias("kind"), "norm", "kept", "family")
+    every = entities.where("kind <> 'name'").select("kind", "norm", "kept", F.lit(None).cast("string").alias("family")).unionByName(own)
+    return _rounds(every, key, most_rounds)
+
+
+#: Stands around the entities of a text while it is taken apart; no assigned character.
+MARK = "\ufdd0"
+
+
+def anonymize(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_entities", most_broadcast: int = 32 << 20) -> DataFrame:
+    """``docs`` with surrogates in column ``text`` and, unless ``count`` is None, a last column of that name (int): how many
+    entities were found, 0 where none were. An input column named ``count`` gives way to it; all other columns stay.
 
-    All other columns stay. Null texts stay null, empty ones empty. Rows that repeat ``row_key`` (null included) are
-    each rewritten; whole texts of any length are searched. No rows give no rows.
+    Null texts stay null, empty ones empty. Repeated rows are each rewritten alike, whatever their doc_id; whole texts of
+    any length are searched. No rows give no rows. Each text is searched once for the table of entities; those that hold
+    some are taken apart once more. ``most_broadcast``: bytes of entities that may travel to every executor.
     """
-    t = F.col(text)
+    kept_columns = [c for c in docs.columns if c != count]
+    names = [f"_c{i}" for i in range(len(kept_columns))]  # names of our own, so that none can clash
+    own = docs.select(*kept_columns).toDF(*names)
+    t = F.col(names[kept_columns.index(text)])
     hint = t.rlike("[0-9]")
     for x in HINTS:
         hint = hint | F.contains(t, F.lit(x))
     guarded = F.coalesce(hint & t.rlike(GUARD), F.lit(False))
-    found = F.regexp_extract_all(t, F.lit(ANY), F.lit(0))
-    hits = materialize(docs.where(guarded).select(F.col(row_key).alias("_row"), F.array_distinct(found).alias("_m")).where("size(_m) > 0").select("_row", F.explode("_m").alias("_m")))
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
+    hits = materialize(own.where(guarded).select(F.xxhash64(t).alias("_row"), found.alias("_m")).where("size(_m) > 0").select("_row", F.explode("_m").alias("_m")))
     kind = _kind(F.col("_m"))
     matches = hits.select("_m").distinct().withColumn("kind", kind).withColumn("norm", _norm(F.col("kind"), F.col("_m")))
     kept = (F.when(F.col("kind") == "phone", F.when(F.col("_m").startswith("+"), F.length(F.regexp_extract("_m", r"^\+(\d{1,3})", 1))).otherwise(0))
             .when(F.col("kind") == "cloud_key", 4).when(F.col("kind") == "iban", 2).when(F.col("kind") == "card", 1).otherwise(0))
-    matches = materialize(matches.withColumn("kept", kept))
+    # a number without the check sum of its kind is no card or account, just a number
+    sound = F.when(F.col("kind") == "card", _luhn_rest(_chars(F.col("norm"))) == 0).when(F.col("kind") == "iban", _mod97(_chars(F.col("norm"))) == 1).otherwise(True)
+    matches = materialize(matches.where(sound).withColumn("kept", kept))
     chosen = surrogates(matches.groupBy("kind", "norm").agg(F.max("kept").alias("kept")), key)
     # a longer e-mail address is no refill: its host would move
     whole = F.col("kind").isin("ip", "name") | ((F.col("kind") == "email") & (F.length("surrogate") > F.length("norm")))
     table = matches.join(chosen, ["kind", "norm"]).select("_m", F.when(whole, F.col("surrogate")).otherwise(_refill(F.col("_m"), F.col("surrogate"))).alias("_s"))
-    # one row a document that holds entities; the map is no larger than its own text
-    rows = materialize(hits.join(table, "_m").groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("_m", "_s"))).alias("_map")))
-    n = rows.count()
-    if n <= most_broadcast:  # no text is moved, and none is searched again but those with entities
-        with_hits, others, rows = docs, None, F.broadcast(rows)
+    # one row a text that holds entities; the map is no larger than that text
+    rows = materialize(hits.distinct().join(table, "_m").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_m", "_s"))).alias("_map"), F.sum(F.octet_length("_m") + F.octet_length("_s") + 48).alias("_size")))
+    size = rows.agg(F.sum(F.col("_size") + 64)).first()[0] or 0
+    rows = rows.select("_row", "_map")
+    if 2 * size <= most_broadcast:  # no text is moved, and none is searched again but those with entities
+        joined, others = own.join(F.broadcast(rows), F.xxhash64(t) == F.col("_row"), "left"), None
     else:
-        with_hits, others = docs.where(guarded), docs.where(~guarded).withColumn("n_entities", F.lit(0))
-    joined = with_hits.join(rows, with_hits[row_key].eqNullSafe(rows["_row"]), "left")
-    pieces, own = F.split(t, ANY, -1), F.transform(found, lambda m: F.element_at("_map", m))
-    rebuilt = F.array_join(F.flatten(F.zip_with(pieces, F.concat(own, F.array(F.lit(""))), lambda p, s: F.array(p, s))), "")
-    out = joined.select(*[(F.when(F.col("_map").isNull(), t).otherwise(rebuilt).alias(text) if c == text else with_hits[c]) for c in docs.columns],
-                        F.when(F.col("_map").isNull(), 0).otherwise(F.size(found)).alias("n_entities"))
-    return out if others is None else others.unionByName(out)
+        joined = own.where(guarded).join(rows, F.xxhash64(t) == F.col("_row"), "left")
+        others = own.where(~guarded).select(*names, F.lit(0).alias("_n"))
+    # text, entity, text, entity, ... text
+    parts = F.split(F.regexp_replace(t, ANY, f"{MARK}$0{MARK}"), MARK, -1)
+    apart = F.flatten(F.zip_with(F.split(t, ANY, -1), F.concat(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.array(F.lit(""))), lambda a, b: F.array(a, b)))
+    parts = F.when(F.col("_map").isNull(), None).when(F.contains(t, F.lit(MARK)), F.slice(apart, 1, F.size(apart) - 1)).otherwise(parts)
+    joined = joined.withColumn("_parts", parts)
+    rebuilt = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("_map", x), x)).otherwise(x)), "")
+    number = F.size(F.filter("_parts", lambda x, i: (i % 2 == 1) & F.map_contains_key("_map", x)))
+    out = joined.select(*[(F.when(F.col("_parts").isNull(), t).otherwise(rebuilt).alias(n) if c == text else F.col(n)) for c, n in zip(kept_columns, names)],
+                        F.when(F.col("_parts").isNull(), 0).otherwise(number).cast("int").alias("_n"))
+    out = out if others is None else others.unionByName(out)
+    return out.toDF(*kept_columns, count) if count else out.drop("_n").toDF(*kept_columns)
