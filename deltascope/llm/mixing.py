@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, word_count
+from .common import materialize, maybe_broadcast, two_level_rank, word_count
 
 CAP = 3
 
@@ -19,7 +19,8 @@ CAP = 3
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """(source, source_size, target): sources by code point, null last, weigh ``weights`` in turn and share all words;
     a target stops at ``cap`` times its source's words, and the excess is shared again by weight (one sorted pass:
-    sources reach their cap in order of cap / weight)."""
+    sources reach their cap in order of cap / weight). The pass runs over one row of four numbers a source in one task: a
+    million sources are some 50 MB there."""
     own = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
     own = own.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int")))
@@ -41,11 +42,12 @@ def _rate(size: Column, scale: Column, dual: Column, cap: int) -> Column:
     return F.least(F.lit(float(cap)), F.exp(F.least(F.lit(60.0), dual * size / scale)))
 
 
-def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-4, most_rounds: int = 40) -> DataFrame:
+def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: float = 1e-4, most_rounds: int = 200) -> DataFrame:
     """(source, dual, scale, full) by distributed Newton steps over ``hist`` (source, size, docs).
 
     ``full`` marks a source whose target is its cap, where every rate is ``cap``. Stops when every source's expected
-    words are within ``tolerance`` of its target or its bracket has closed."""
+    words are within ``tolerance`` of its target or its bracket has closed; a bracket halves in every other step at
+    least, so ``most_rounds`` is never reached by a finite table."""
     mean = hist.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("docs")) / F.sum(F.col("size") * F.col("docs"))).alias("scale"))
     start = F.log(F.greatest(F.col("target"), F.lit(1e-9)) / F.col("source_size"))
     state = materialize(targets.join(mean, targets["source"].eqNullSafe(mean["source"])).drop(mean["source"])
@@ -67,65 +69,87 @@ def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP, tolerance: f
                .withColumn("step", F.col("dual") - F.col("off") / F.col("g"))
                .withColumn("narrow", F.when(F.abs("low") > 2000, F.col("high") - 2 - 2 * F.abs("high")).when(F.abs("high") > 2000, F.col("low") + 2 + 2 * F.abs("low")).otherwise((F.col("low") + F.col("high")) / 2))
                .withColumn("good", F.expr("g > 0 and step > low and step < high and abs(step - dual) < 8"))
-               .withColumn("settled", F.col("full") | (F.abs("off") <= tolerance * F.col("target")) | (F.col("high") - F.col("low") < 1e-12)))
+               .withColumn("settled", F.col("full") | (F.abs("off") <= tolerance * F.col("target")) | (F.col("high") - F.col("low") <= 1e-12 * F.greatest(F.lit(1.0), F.abs(F.col("dual"))))))
         got = got.select("source", "source_size", "target", "scale", "full", F.when(F.col("settled"), F.col("dual")).when(F.col("good"), F.col("step")).otherwise(F.col("narrow")).alias("dual"), "low", "high", "settled")
         got = materialize(got, n)
         state = got.drop("settled")
         if got.where("not settled").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the dual did not settle in {most_rounds} Newton steps")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, bucket_rows: int = 100_000, repairs: int = 3) -> DataFrame:
-    """Copies of each document that bring every source to its target: the columns doc_id, source, size, source_size,
-    target, rate, copies, taken.
+def rounded_cells(hist: DataFrame, targets: DataFrame, state: DataFrame, cap: int, repairs: int) -> DataFrame:
+    """(source, size, docs, rate, total): how many copies all documents of one source and size are taken together.
 
-    Size is the number of words; null and empty texts have size 0 and are taken as 0 words (one copy). A null source is
-    a source of its own, last in order. Rates are rounded systematically in order of size, so what neighbours lose or
-    gain cancels; then the ``repairs`` documents of each source that correct its rest best get one copy more or less.
-    Repeated rows count as documents of their own; no rows give no rows; extra columns are ignored. Reruns agree.
-    """
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), "source", word_count(F.col("text")).alias("size")))
-    hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    targets = materialize(source_targets(hist.select("source", (F.col("size") * F.col("docs")).alias("size")), weights, cap))  # one row a source
-    state = solve_dual(hist.where("size > 0"), targets, cap)
+    Rates are rounded systematically in order of size, so what neighbours lose or gain cancels. Then the best of the
+    source's cells, ``repairs`` times over, takes one copy more or less, which leaves at most half of the smallest size
+    to spare. All steps work on cells; documents are not touched."""
     n = targets.count()
     st = state.select(F.col("source").alias("_s"), "dual", "scale", "full")
     rated = hist.join(maybe_broadcast(st, n), hist["source"].eqNullSafe(st["_s"]), "left").drop("_s")
     rate = F.when((F.col("size") == 0) | F.col("dual").isNull(), 1.0).when(F.col("full"), float(cap)).otherwise(_rate(F.col("size"), F.col("scale"), F.col("dual"), cap))
     rated = rated.withColumn("rate", rate).withColumn("part", (F.col("rate") - F.floor("rate")) * F.col("docs"))
-    # one row for each distinct size of a source
-    run = F.sum("part").over(Window.partitionBy("source").orderBy(F.desc("size")))
-    rated = materialize(rated.withColumn("upto", run).withColumn("extra", (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("part") + 0.5)).cast("long"))
-                        .select("source", "size", "rate", "docs", "extra"))
-    buckets = max(1, -(-sized.count() // bucket_rows))
-    keyed = sized.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    counts = keyed.groupBy("source", "size", "_b").agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy("source", "size").orderBy("_b")) - F.col("_c")
-    counts = counts.withColumn("_before", before).drop("_c")
-
-    def same(a: DataFrame, b: DataFrame, names: list[str]):
-        cond = F.lit(True)
-        for c in names:
-            cond = cond & a[c].eqNullSafe(b[c])
-        return cond
-
-    ranked = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("source", "size", "_b").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    placed = ranked.join(counts, same(ranked, counts, ["source", "size", "_b"])).select(ranked["doc_id"], ranked["source"], ranked["size"], (F.col("_before") + F.col("_r")).alias("_rank"))
-    taken = placed.join(rated, same(placed, rated, ["source", "size"])).select(placed["doc_id"], placed["source"], placed["size"], "rate", (F.floor("rate") + (F.col("_rank") <= F.col("extra")).cast("int")).cast("int").alias("copies"))
-    taken = materialize(taken)
-    small = maybe_broadcast(targets.select(F.col("source").alias("_s"), "source_size", "target"), n)
+    run = F.sum("part").over(Window.partitionBy("source").orderBy(F.desc("size")))  # one row for each distinct size of a source
+    rated = rated.withColumn("upto", run).withColumn("extra", (F.floor(F.col("upto") + 0.5) - F.floor(F.col("upto") - F.col("part") + 0.5)).cast("long"))
+    cells = materialize(rated.select("source", "size", "docs", "rate", (F.col("docs") * F.floor("rate") + F.col("extra")).cast("long").alias("total")))
+    goal = maybe_broadcast(targets.select(F.col("source").alias("_s"), "target"), n)
     for _ in range(repairs):
-        rest = taken.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("_t")).join(small, F.col("source").eqNullSafe(F.col("_s"))).select("_s", (F.col("target") - F.col("_t")).alias("_rest"))
-        open_ = taken.join(maybe_broadcast(rest, n), taken["source"].eqNullSafe(rest["_s"]))
-        sign = F.when(F.col("_rest") >= 0, 1).otherwise(-1)
-        better = F.abs(F.abs(F.col("_rest")) - F.col("size"))
-        fits = (F.col("size") > 0) & (better < F.abs(F.col("_rest"))) & F.when(sign > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-        best = open_.where(fits).groupBy(F.col("_s")).agg(F.min_by(F.struct("doc_id", sign.alias("sign")), F.struct(better, F.col("doc_id"))).alias("p")).select("_s", F.col("p.doc_id").alias("_d"), F.col("p.sign").alias("_sign"))
+        rest = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("total")).alias("_t")).join(goal, F.col("source").eqNullSafe(F.col("_s"))).select("_s", (F.col("target") - F.col("_t")).alias("_rest"))
+        open_ = cells.join(maybe_broadcast(rest, n), cells["source"].eqNullSafe(rest["_s"]))
+        more = F.col("_rest") >= 0
+        better = F.abs(F.abs("_rest") - F.col("size"))
+        fits = (F.col("size") > 0) & (better < F.abs("_rest")) & F.when(more, F.col("total") < cap * F.col("docs")).otherwise(F.col("total") > 0)
+        best = open_.where(fits).groupBy("_s").agg(F.min_by(F.struct("size", F.when(more, 1).otherwise(-1).alias("sign")), F.struct(better, F.col("size"))).alias("p")).select("_s", F.col("p.size").alias("_z"), F.col("p.sign").alias("_sign"))
         best = materialize(best, n)
         if best.isEmpty():
             break
-        taken = materialize(taken.join(maybe_broadcast(best, n), taken["source"].eqNullSafe(best["_s"]) & taken["doc_id"].eqNullSafe(best["_d"]), "left")
-                            .select("doc_id", "source", "size", "rate", (F.col("copies") + F.coalesce("_sign", F.lit(0))).cast("int").alias("copies")))
-    return (taken.join(small, taken["source"].eqNullSafe(F.col("_s")))
-            .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken")))
+        cells = materialize(cells.join(maybe_broadcast(best, n), cells["source"].eqNullSafe(best["_s"]) & (cells["size"] == best["_z"]), "left")
+                            .select("source", "size", "docs", "rate", (F.col("total") + F.coalesce("_sign", F.lit(0))).alias("total")))
+    return cells
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, bucket_rows: int = 1000, repairs: int = 3) -> DataFrame:
+    """Copies of each document that bring every source to its target: the columns doc_id, source, size, source_size,
+    target, rate, copies, taken, row_hash.
+
+    Size is the number of words; null and empty texts have size 0 and are taken as 0 words (one copy). A null source is
+    a source of its own, last in order. Repeated rows count as documents of their own, each with copies of its own;
+    ``row_hash`` is a hash of doc_id, source and text, alike for repeated rows only (see ``take``). No rows give no
+    rows; extra columns are ignored. Reruns agree.
+    """
+    hashed = F.xxhash64("doc_id", "source", "text")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), hashed.alias("row_hash")))
+    hist = materialize(sized.groupBy("source", "size").agg(F.count("*").alias("docs")))
+    targets = materialize(source_targets(hist.select("source", (F.col("size") * F.col("docs")).alias("size")), weights, cap))  # one row a source
+    cells = rounded_cells(hist, targets, solve_dual(hist.where("size > 0"), targets, cap), cap, repairs)
+    most = cells.agg(F.max("docs")).first()[0] or 1
+    ranked = two_level_rank(sized, ["source", "size"], F.xxhash64("doc_id", "row_hash"), [F.xxhash64("doc_id"), "doc_id", "row_hash"], -(-most // bucket_rows), "_rank")
+    c = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "docs", "rate", "total")
+    copies = (F.expr("total div docs") + (F.col("_rank") <= F.expr("total % docs")).cast("int")).cast("int")
+    taken = ranked.join(c, ranked["source"].eqNullSafe(c["_s"]) & (ranked["size"] == c["_z"])).select("doc_id", "source", "size", "rate", copies.alias("copies"), "row_hash")
+    small = maybe_broadcast(targets.select(F.col("source").alias("_t"), "source_size", "target"), targets.count())
+    return (taken.join(small, taken["source"].eqNullSafe(F.col("_t")))
+            .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "row_hash"))
+
+
+def take(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as ``plan`` (of ``mix`` over the same rows) takes it; the columns stay as they are.
+
+    Rows that repeat doc_id, source and text are told apart only where the plan takes some of them more often than
+    others; then their numbers of copies are dealt out in order. Reruns may pick another of these like rows.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # names of our own, so that none can clash
+    at = {c: n for c, n in zip(docs.columns, names)}
+    own = docs.toDF(*names).withColumn("_h", F.xxhash64(F.col(at["doc_id"]).cast("long"), at["source"], at["text"]))
+    alike = plan.groupBy("row_hash").agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.count("*").alias("_n"), F.sum("copies").alias("_sum"))
+    other = materialize(alike.where("_low <> 1 or _high <> 1"))
+    joined = own.join(maybe_broadcast(other, other.count()), F.col("_h") == F.col("row_hash"), "left")
+    plain = joined.where("_low <=> _high").withColumn("_k", F.coalesce("_low", F.lit(1)))
+    # rows taken unevenly, numbered once and for all before they are ranked
+    mixed = other.where("_low <> _high")
+    uneven = materialize(own.join(maybe_broadcast(mixed, mixed.count()), F.col("_h") == F.col("row_hash")).withColumn("_id", F.monotonically_increasing_id()))
+    buckets = -(-(mixed.agg(F.max("_n")).first()[0] or 1) // 1000)
+    ranked = two_level_rank(uneven.select("_h", "_id", "_n", "_sum"), ["_h"], F.xxhash64("_id"), ["_id"], buckets, "_rank")
+    dealt = ranked.select("_id", (F.expr("_sum div _n") + (F.col("_rank") <= F.expr("_sum % _n")).cast("int")).cast("int").alias("_k"))
+    every = plain.select(*names, "_k").unionByName(uneven.join(dealt, "_id").select(*names, "_k"))
+    return every.where("_k > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_e")).select(*names).toDF(*docs.columns)
