@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Encoder, bound_batches, materialize, trim
+from .common import Encoder, bound_batches, materialize, trim, two_level_rank
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,87 +67,97 @@ def fill_patterns(hist: dict[int, int], capacity: int) -> list[list]:
     return out
 
 
-def _exchange(giver: list[int], taker: list[int], gap: int) -> tuple[int, list[int], list[int]] | None:
-    """The exchange that fills the taker most: move one, swap one for one, or two for one. (gain, given, returned)."""
-    best = None
-    for i, a in enumerate(giver):
+def _exchange(giver: Counter, taker: Counter, gap: int) -> tuple[int, list[int], list[int]] | None:
+    """The exchange that fills the taker most: move one, swap one for one, or two for one. (gain, given, returned).
+    Bins are counted by length: whatever they hold, they have at most about sqrt(2 * capacity) different lengths."""
+    best, mine, theirs = None, sorted(giver, reverse=True), sorted(taker)
+    for i, a in enumerate(mine):
         if a <= gap and (best is None or a > best[0]):
             best = (a, [a], [])
-        for b in set(taker):
+        for b in theirs:
             if 0 < a - b <= gap and (best is None or a - b > best[0]):
                 best = (a - b, [a], [b])
-        for c in giver[i + 1 :]:
-            for b in set(taker):
+        for c in mine[i:] if giver[a] > 1 else mine[i + 1 :]:
+            for b in theirs:
                 if 0 < a + c - b <= gap and (best is None or a + c - b > best[0]):
                     best = (a + c - b, [a, c], [b])
+        if best is not None and best[0] == gap:
+            break
     return best
 
 
-def local_search(patterns: list[list], capacity: int, most_tries: int = 60_000) -> list[list]:
-    """Exchange pieces between underfull bins, always towards the fuller one, so that the sum of squared fills grows
-    until bins empty. Works on patterns with multiplicities; ``most_tries`` bounds the effort on the driver."""
-    done = [p for p in patterns if sum(p[0]) == capacity]
-    bins = Counter()
+def local_search(patterns: list[list], capacity: int) -> list[list]:
+    """Exchange pieces between underfull bins, always towards the fuller one, so that the sum of squared fills grows with
+    every exchange. Of these exchanges those are made that fill the taker or empty the giver, until no pair of bins has one
+    left: each leaves no more kinds of underfull bins than there were, so the search ends soon whatever the histogram.
+    Like bins exchange together; a pair is looked at again only after one of its bins has changed."""
+    done, bins = [p for p in patterns if sum(p[0]) == capacity], Counter()
     for pieces, times in patterns:
         if sum(pieces) < capacity:
             bins[tuple(sorted(pieces, reverse=True))] += times
-    tries, moved = 0, True
-    while moved and tries < most_tries:
-        moved = False
-        order = sorted(bins, key=sum)
-        for giver in order:
-            for taker in reversed(order):
-                if giver not in bins or taker not in bins or (giver == taker and bins[giver] < 2) or sum(giver) > sum(taker) or len(giver) > 64 or len(taker) > 64:
-                    continue
-                tries += 1
-                if tries > most_tries:
-                    break
-                found = _exchange(list(giver), list(taker), capacity - sum(taker))
-                if not found:
-                    continue
-                times = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])
-                new = []
-                for old, out, into in ((giver, found[1], found[2]), (taker, found[2], found[1])):
-                    rest = list(old)
-                    for x in out:
-                        rest.remove(x)
-                    new.append(tuple(sorted(rest + into, reverse=True)))
-                    bins[old] -= times
-                    if bins[old] <= 0:
-                        del bins[old]
-                for x in new:
-                    if sum(x) == capacity:
-                        done.append([list(x), times])
-                    elif x:
-                        bins[x] += times
-                moved = True
+    fill, count = {x: sum(x) for x in bins}, {x: Counter(x) for x in bins}
+    todo = sorted(bins, key=fill.get, reverse=True)
+    while todo:
+        one = todo.pop()
+        for other in sorted(bins, key=fill.get, reverse=True):
+            if one not in bins:
+                break
+            if other not in bins or (one == other and bins[one] < 2):
+                continue
+            giver, taker = (one, other) if fill[one] <= fill[other] else (other, one)
+            found = _exchange(count[giver], count[taker], capacity - fill[taker])
+            # ends a bin for good: the taker is full or the giver empty
+            if not found or not (found[0] == capacity - fill[taker] or (not found[2] and len(found[1]) == len(giver))):
+                continue
+            times = bins[giver] // 2 if giver == taker else min(bins[giver], bins[taker])
+            for old, out, into in ((giver, found[1], found[2]), (taker, found[2], found[1])):
+                rest = list(old)
+                for x in out:
+                    rest.remove(x)
+                new = tuple(sorted(rest + into, reverse=True))
+                bins[old] -= times
+                if bins[old] <= 0:
+                    del bins[old]
+                if sum(new) == capacity:
+                    done.append([list(new), times])
+                elif new:
+                    if new not in bins:
+                        fill[new], count[new] = sum(new), Counter(new)
+                        todo.append(new)
+                    bins[new] += times
+            if one in bins:
+                todo.append(one)
+                break
     return done + [[list(k), v] for k, v in bins.items()]
 
 
-def assign(pieces: DataFrame, capacity: int, bucket_rows: int = 100_000) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int, bucket_rows: int = 1000) -> DataFrame:
     """Add sequence_id and offset to pieces. Only the length histogram (at most ``capacity`` rows) reaches the driver;
-    ranks within a length come from a two-level prefix sum, so no length is gathered in one task."""
-    spark = pieces.sparkSession
+    ranks within a length come from a two-level prefix sum, so no length is gathered in one task. A piece looks its place
+    up by length and rank in the sorted starts of the slots: one slot a piece of a pattern, at most ``capacity`` a pattern,
+    whatever the number of documents."""
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     patterns = local_search(fill_patterns(hist, capacity), capacity)
     slots, base, seen = [], 0, Counter()
     for own, times in sorted(patterns, key=lambda p: (-sum(p[0]), p[0])):
         at = 0
         for length in own:
-            slots.append((length, seen[length], seen[length] + times, base, at))
+            slots.append((length, seen[length], base, at))
             seen[length] += times
             at += length
         base += times
-    buckets = max(1, -(-sum(hist.values()) // bucket_rows))
-    keyed = pieces.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    before = (keyed.groupBy("length", "_b").count()
-              .withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_b")) - F.col("count")).drop("count"))
-    ranked = (keyed.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")))
-              .join(before, ["length", "_b"]).withColumn("_rank", F.col("_before") + F.col("_r") - 1))
-    # Proven bound: at most capacity + most_tries patterns, whatever the number of documents.
-    plan = F.broadcast(spark.createDataFrame(slots or [(0, 0, 0, 0, 0)], "length long, _from long, _to long, _base long, offset long"))
-    return (ranked.join(plan, (ranked.length == plan.length) & (ranked._rank >= plan._from) & (ranked._rank < plan._to))
-            .select(*[ranked[c] for c in pieces.columns], (plan._base + ranked._rank - plan._from).alias("sequence_id"), plan["offset"]))
+    plan = np.array(sorted(slots), np.int64).reshape(-1, 4)
+    shared = pieces.sparkSession.sparkContext.broadcast((plan[:, 0] << 48 | plan[:, 1], plan))
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        starts, rows = shared.value
+        r = rank.to_numpy(np.int64) - 1
+        own = rows[np.searchsorted(starts, length.to_numpy(np.int64) << 48 | r, side="right") - 1]
+        return pd.DataFrame({"sequence_id": own[:, 2] + r - own[:, 1], "offset": own[:, 3]})
+
+    ranked = two_level_rank(pieces, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), ["doc_id", "piece", "ids_crc32"], -(-max(hist.values(), default=1) // bucket_rows), "_rank")
+    return ranked.withColumn("_at", place("length", "_rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
