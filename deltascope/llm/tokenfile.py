@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Encoder, materialize
+from .common import Encoder, bound_batches, materialize, maybe_broadcast
 
 #: Bits between two entries of a rank directory.
 STEP = 512
@@ -92,6 +92,14 @@ class Dac:
         return values.astype("<u4")
 
 
+def task_count(df: DataFrame, task_bytes: int = 32 << 20) -> list[int]:
+    """The number of tasks for ``df`` if its estimated size asks for more than the session's number, else none: the
+    planner then joins small ones."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = -(-size // task_bytes)
+    return [n] if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) < n < 1 << 24 else []
+
+
 def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: int = 1 << 20) -> DataFrame:
     """Tokenise ``docs`` in ascending doc_id order and write blocks of about ``block_ids`` ids to the shared folder.
 
@@ -117,23 +125,55 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: i
         if held:
             yield block()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    bound_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ordered = own.repartitionByRange(*task_count(own), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInPandas(run, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"))
 
 
+def placed_blocks(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``at``, the number of ids before each. The ids stay where they are: a few numbers a block are
+    summed, and travel to all executors if their size allows."""
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"), F.count("*").alias("_blocks"))
+    parts = materialize(parts.select("part", "_blocks", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_part_at")))  # a row per task of the writer
+    n, most = parts.agg(F.sum("_blocks"), F.count("*")).first()
+    upto = Window.partitionBy("part").orderBy("seq")
+    at = (blocks.select("part", "seq", (F.sum("n_ids").over(upto) - F.col("n_ids")).alias("_at"))
+          .join(maybe_broadcast(parts.select("part", "_part_at"), most or 0), "part").select("part", "seq", (F.col("_at") + F.col("_part_at")).alias("at")))
+    return blocks.join(maybe_broadcast(at, n or 0), ["part", "seq"])
+
+
 def read_blocks(blocks: DataFrame) -> DataFrame:
     """Read blocks back: doc_id, start (ids of all documents before), n_tokens, ids_crc32 of the little-endian u32 ids."""
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_part_at"))  # a row per task of the writer
-    at = Window.partitionBy("part").orderBy("seq")
-    placed = (blocks.select("part", "seq", (F.sum("n_ids").over(at) - F.col("n_ids")).alias("_at"))
-              .join(parts, "part").select("part", "seq", (F.col("_at") + F.col("_part_at")).alias("at")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at, names, lengths, ids in zip(b["at"], b["doc_ids"], b["lengths"], b["ids"]):
                 values, ends = Dac(ids).decode(), np.cumsum(lengths)
                 starts = ends - lengths
-                yield pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in names], "Int64"), "start": starts + at, "n_tokens": lengths, "ids_crc32": [zlib.crc32(values[s:e].tobytes()) for s, e in zip(starts, ends)]})
+                crcs = [zlib.crc32(values[a:z].tobytes()) for a, z in zip(starts, ends)]
+                yield pd.DataFrame({"doc_id": pd.array([None if x is None or x != x else int(x) for x in names], "Int64"), "start": starts + at, "n_tokens": lengths, "ids_crc32": crcs})
+
+    return placed_blocks(blocks).select("at", "doc_ids", "lengths", "ids").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def token_at(blocks: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, i, token) of each distinct (doc_id, i) of ``places``: the i-th id of a document, straight from the levels and
+    rank directories of its block, which is not decoded. Null where there is no such document or place; of documents
+    that repeat a doc_id, the first in the files answers. Null doc_ids match each other."""
+    index = blocks.select("part", "seq", F.posexplode("doc_ids").alias("k", "doc_id"), "lengths")
+    before = F.aggregate(F.slice("lengths", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + x)
+    index = index.select("doc_id", F.struct("part", "seq", "k", before.alias("first"), F.element_at("lengths", F.col("k") + 1).alias("n")).alias("at")).groupBy("doc_id").agg(F.min("at").alias("at"))
+    asked = places.select(F.col("doc_id").cast("long").alias("_d"), F.col("i").cast("long").alias("i")).distinct()
+    found = asked.join(index, F.col("_d").eqNullSafe(F.col("doc_id")), "left").select(F.col("_d").alias("doc_id"), "i", "at.part", "at.seq", F.when((F.col("i") >= 0) & (F.col("i") < F.col("at.n")), F.col("at.first") + F.col("i")).alias("x"))
+    # a block and at most 4,096 places of it make one row
+    lots = found.where("x is not null").groupBy("part", "seq", F.expr("x div 4096").alias("lot")).agg(F.collect_list(F.struct("doc_id", "i", "x")).alias("asked"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, asked in zip(b["ids"], b["asked"]):
+                block = Dac(ids)
+                yield pd.DataFrame({"doc_id": pd.array([x["doc_id"] for x in asked], "Int64"), "i": [x["i"] for x in asked], "token": pd.array([block[x["x"]] for x in asked], "Int64")})
 
-    return blocks.join(placed, ["part", "seq"]).select("at", "doc_ids", "lengths", "ids").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = blocks.select("part", "seq", "ids").join(lots, ["part", "seq"]).select("ids", "asked").mapInPandas(run, "doc_id long, i long, token long")
+    return out.unionByName(found.where("x is null").select("doc_id", "i", F.lit(None).cast("long").alias("token")))
