@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 HIT = "query_id long, vec_id long, score long"
 
@@ -88,16 +88,19 @@ def top_k(points: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 81
 
     ``points`` has vec_id, v (array<long>), n. Ties go to the smaller vec_id; only vectors of one length meet;
     rows with the query's own vec_id are no candidates. A repeated query row counts once, a repeated candidate row as
-    often as it stands there. Returns query_id, rank, vec_id, score; empty in, empty out; extra columns are dropped.
-    Each block of queries first searches one shard; the k-th scores found there travel with it to all the others.
+    often as it stands there; rows of one vec_id with different vectors are one query, whose answers are the best over
+    all its vectors. Returns query_id, rank, vec_id, score; empty in, empty out; extra columns are dropped. Each block of
+    queries first searches one shard; the k-th scores found there travel with its queries to the shards whose root
+    box can still reach them, and to no others.
     """
+    bound_batches(points.sparkSession)
     counts = {r["n"]: (r["c"], r["q"]) for r in points.groupBy("n").agg(F.count("*").alias("c"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}  # a row per dimension
     shards = max([1, *(-(-c // shard_rows) for c, _ in counts.values())])
     blocks = max([1, *(-(-q // block_rows) for _, q in counts.values())])
 
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
         tree = KDTree(frame["vec_id"].to_numpy(), _matrix(frame))
-        return pd.DataFrame({"n": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree, 5)]})
+        return pd.DataFrame({"n": [key[0]], "shard": [key[1]], "tree": [pickle.dumps(tree, 5)], "box": [pickle.dumps((tree.lo[0], tree.hi[0]), 5)]})
 
     def gather(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id")
@@ -110,20 +113,42 @@ def top_k(points: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 81
         rows = [(int(i), v, s) for i, own in zip(ids, tree.search(q, ids, k, kth)) for s, v in own]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-    trees = materialize(points.groupBy("n", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")).applyInPandas(build, "n int, shard int, tree binary"))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    trees = materialize(points.groupBy("n", shard.alias("shard")).applyInPandas(build, "n int, shard int, tree binary, box binary"))
     queries = points.where(F.col("vec_id") % every == 0).dropDuplicates().groupBy("n", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).applyInPandas(gather, "n int, block int, queries binary")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for n, block, shard, tree, blob in zip(b["n"], b["block"], b["shard"], b["tree"], b["queries"]):
+            for n, shard, tree, blob in zip(b["n"], b["shard"], b["tree"], b["queries"]):
                 ids, q, kth = pickle.loads(blob)
                 own = hits(pickle.loads(tree), ids, q, kth)
-                yield pd.DataFrame({"n": [n], "block": [block], "home": [shard], "queries": [pickle.dumps((ids, q, kth), 5)], "hits": [pickle.dumps(own, 5)]})
+                yield pd.DataFrame({"n": [n], "home": [shard], "queries": [pickle.dumps((ids, q, kth), 5)], "hits": [pickle.dumps(own, 5)]})
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The queries of a block that a shard can still answer: its root's bound reaches their kth score."""
+        for b in batches:
+            for n, home, blob, boxes in zip(b["n"], b["home"], b["queries"], b["boxes"]):
+                ids, q, kth = pickle.loads(blob)
+                for x in boxes:
+                    lo, hi = pickle.loads(x["box"])
+                    if lo.dtype != q.dtype:
+                        lo, hi, own = lo.astype(object), hi.astype(object), q.astype(object)
+                    else:
+                        own = q
+                    left = np.maximum(own, 0) @ hi + np.minimum(own, 0) @ lo >= kth
+                    if x["shard"] != home and left.any():
+                        yield pd.DataFrame({"n": [n], "shard": [x["shard"]], "kind": [1], "blob": [pickle.dumps((ids[left], q[left], kth[left]), 5)]})
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, own = None, None
         for b in batches:
-            for tree, blob in zip(b["tree"], b["queries"]):
-                yield hits(pickle.loads(tree), *pickle.loads(blob))
+            for n, shard, kind, blob in zip(b["n"], b["shard"], b["kind"], b["blob"]):
+                if kind == 0:
+                    tree, own = pickle.loads(blob), (n, shard)
+                elif own != (n, shard):
+                    raise RuntimeError("a block of queries came before its tree")
+                else:
+                    yield hits(tree, *pickle.loads(blob))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -133,10 +158,13 @@ def top_k(points: DataFrame, k: int = 10, every: int = 100, shard_rows: int = 81
     # Rarer lengths leave shards empty: a block's home is one of the trees that its own length has.
     held = trees.select("n", "shard", (F.row_number().over(Window.partitionBy("n").orderBy("shard")) - 1).alias("at"))
     home = queries.join(held.groupBy("n").agg(F.count("*").alias("own")), "n").withColumn("at", F.expr("pmod(block, own)").cast("int")).join(held, ["n", "at"])
-    seeded = materialize(home.join(trees, ["n", "shard"]).select("n", "block", "shard", "tree", "queries").mapInPandas(first, "n int, block int, home int, queries binary, hits binary"))
-    # Every block of the stated query set meets every shard once; a cell holds one tree and one block.
-    cells = (seeded.select("n", "home", "queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where("shard <> home")
-             .join(trees, ["n", "shard"]).select("tree", "queries").repartition(max(1, min(shards * blocks, 4096))))
+    seeded = materialize(home.join(trees.select("n", "shard", "tree"), ["n", "shard"]).select("n", "shard", "tree", "queries").mapInPandas(first, "n int, home int, queries binary, hits binary"))
+    # Blocks meet the root boxes of the shards, 256 at a time; then each tree is read by one task, which holds one tree,
+    # and the blocks of queries that it can answer stream through it.
+    boxes = trees.groupBy("n", F.expr("shard div 256").alias("_lot")).agg(F.collect_list(F.struct("shard", "box")).alias("boxes"))
+    wanted = seeded.join(boxes, "n").select("n", "home", "queries", "boxes").mapInPandas(reach, "n int, shard int, kind int, blob binary")
+    cells = (wanted.unionByName(trees.select("n", "shard", F.lit(0).alias("kind"), F.col("tree").alias("blob")))
+             .repartition(max(1, min(shards * len(counts), 1 << 16)), "n", "shard").sortWithinPartitions("n", "shard", "kind"))
     found = seeded.select("hits").mapInPandas(unpack, HIT).unionByName(cells.mapInPandas(rest, HIT))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
