@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +31,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _WATCHED = ("class", "id", "role", "hidden", "style", "aria-hidden")
 
 #: How much denser an article or main element beside the content counts.
-NAMED_BONUS = 2
+NAMED_BONUS = 6
 #: What the density of a subtree named like page furniture counts; inside the content it is kept as dense text with at
 #: least this share of the threshold, this many characters outside links, and less than a third of its text in links.
 DOUBT, DENSE_SHARE, DENSE_CHARS = 0.25, 0.5, 80
@@ -57,9 +58,20 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """A forgiving DOM: implied end tags of paragraphs, list items and cells; unclosed and stray tags do no harm."""
+    """A forgiving DOM: implied end tags of paragraphs, list items and cells; unclosed and stray tags do no harm. Work is
+    in proportion to the page: open elements are counted by tag, so that only what is there is looked for."""
     root = Node("html", None, {})
-    at, pos, end = root, 0, len(page)
+    at, pos, end, has_body = root, 0, len(page), False
+    open_ = Counter()
+
+    def close(to: Node) -> Node:
+        """End all open elements below ``to``."""
+        up = at
+        while up is not to:
+            open_[up.tag] -= 1
+            up = up.parent
+        return to
+
     while pos < end:
         m = _TOKEN.search(page, pos)
         if not m:
@@ -75,27 +87,27 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[2] or m[5]:  # an end tag
-            up = at
+            up = at if open_[tag] > 0 else None
             while up is not None and up.tag != tag:
                 if up.tag in ("table", "td", "th") and tag not in BLOCK:
                     up = None
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                at = up.parent
+                at = close(up.parent)
             continue
         attrs = _attributes(m[4] if m[4] is not None else m[7] or "")
-        if tag in ("html", "body") and (tag == "html" or any(x.tag == "body" for x in root.items if isinstance(x, Node))):
+        if tag == "html" or (tag == "body" and has_body):
             continue
         if tag == "body":
-            at = root
-        elif tag in CLOSES_P:
+            at, has_body = close(root), True
+        elif tag in CLOSES_P and open_["p"] > 0:
             up = at
             while up is not None and up.tag not in ("p", "td", "th", "table", "button"):
                 up = up.parent
             if up is not None and up.tag == "p":
-                at = up.parent
-        if tag in ENDS:
+                at = close(up.parent)
+        if tag in ENDS and any(open_[x] > 0 for x in ENDS[tag][0]):
             kinds, stops = ENDS[tag]
             up, hit = at, None
             while up is not None and up.tag not in stops:
@@ -103,15 +115,16 @@ def parse(page: str) -> Node:
                     hit = up
                 up = up.parent
             if hit is not None:
-                at = hit.parent
+                at = close(hit.parent)
         node = Node(tag, at, attrs)
         at.items.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            node.items.append(page[pos : close.start() if close else end])
-            pos = close.end() if close else end
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            node.items.append(page[pos : stop.start() if stop else end])
+            pos = stop.end() if stop else end
         elif tag not in VOID and not (m[4] or "").endswith("/"):
             at = node
+            open_[tag] += 1
     return root
 
 
@@ -178,13 +191,17 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
-def drop_doubtful(order: list[Node], path: list[Node], floor: float) -> None:
+def drop_doubtful(order: list[Node], path: set[int], floor: float) -> None:
     """Take out the subtrees named like page furniture that neither hold the content nor are dense text themselves."""
+    gone, parents = set(), {}
     for node in order:
-        if node.doubtful and node not in path:
+        if node.doubtful and id(node) not in path:
             dense = node.density >= DENSE_SHARE * floor and node.chars - node.link_chars >= DENSE_CHARS and 3 * node.link_chars < node.chars
             if not dense:
-                node.parent.items = [x for x in node.parent.items if x is not node]
+                gone.add(id(node))
+                parents[id(node.parent)] = node.parent
+    for parent in parents.values():
+        parent.items = [x for x in parent.items if id(x) not in gone]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
@@ -223,7 +240,7 @@ def extract(page: str | None) -> str:
     The subtree with the largest density sum is the content; the least density on its path to the body is the
     threshold that other subtrees beside that path must reach. Class and id words of page furniture lower a subtree's
     weight, but dense text inside the content stays whatever its name. An article or main element on the path is taken whole;
-    one beside it, such as the next post of a thread, reaches the threshold with half of the density.
+    one beside it, such as the next post of a thread, reaches the threshold with a sixth of the density.
     """
     if not page:
         return ""
@@ -236,17 +253,18 @@ def extract(page: str | None) -> str:
     best = max(order, key=lambda x: x.total)
     if best.total == 0:
         best = body
-    path = [best]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    floor = min(x.density for x in path)
+    path, up, floor = {id(best)}, best, best.density
+    while up is not body:
+        up = up.parent
+        path.add(id(up))
+        floor = min(floor, up.density)
     drop_doubtful(order, path, floor)
     chosen, todo = [], [body]
     while todo:  # in page order
         node = todo.pop()
-        if node is best or (node in path and _named(node)):
+        if node is best or (id(node) in path and _named(node)):
             chosen.append(node)
-        elif node in path:
+        elif id(node) in path:
             chosen += [x for x in node.items if isinstance(x, str) and node.total == 0]
             todo += [x for x in reversed(node.items) if isinstance(x, Node)]
         elif node.chars and node.density * (NAMED_BONUS if _named(node) else 1) * (DOUBT if node.doubtful else 1) >= floor and 2 * node.link_chars < node.chars:
