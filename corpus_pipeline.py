@@ -28,25 +28,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of linked documents."""
+    """One document, that of the smallest doc_id, of each group of linked documents. Rows that repeat doc_id and text are one
+    document too. Rows without doc_id stay; of other rows that repeat a doc_id all stay or none."""
     found = jaccard.jaccard_components(docs, WORDS, PERCENT)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(gone, gone.count()), "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = docs.join(maybe_broadcast(gone, gone.count()), docs["doc_id"] == gone["_gone"], "left_anti")
+    often = materialize(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_often")).count().where("count > 1").select("_often"))
+    n = often.count()
+    again = kept["doc_id"] == often["_often"]
+    once = kept.join(maybe_broadcast(often, n), again, "left_anti")
+    # partial aggregates, so that no repeated document is gathered
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    more = kept.join(maybe_broadcast(often, n), again, "left_semi").groupBy(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t")).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return once.unionByName(more)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; n_chars follows the text."""
-    out = pii.anonymize(docs, PII_KEY).drop("n_entities")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Personal data replaced by surrogates; n_chars follows the text, null for a null text."""
+    out = pii.anonymize(docs, PII_KEY, count=None)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    plan = mixing.mix(docs)
-    other = materialize(plan.where("copies <> 1").select("doc_id", "copies").distinct())
-    joined = docs.join(maybe_broadcast(other.withColumnRenamed("doc_id", "_d"), other.count()), docs["doc_id"].eqNullSafe(F.col("_d")), "left")
-    copies = F.coalesce("copies", F.lit(1))
-    return joined.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias("_k")).select(docs.columns)
+    """Each row as often as the mixture takes it; rows that repeat a doc_id are rows of their own."""
+    return mixing.take(docs, mixing.mix(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
