@@ -95,11 +95,11 @@ def trim() -> None:
         release(0)
 
 
-def two_level_rank(rows: DataFrame, keys: list[str], salt: Column, order: list, bucket_rows: Column | int, name: str) -> DataFrame:
+def two_level_rank(rows: DataFrame, keys: list[str], salt: Column, order: list, buckets: int, name: str) -> DataFrame:
     """Add ``name``, the rank from 1 of each row among those of like ``keys`` (null equals null). A row's bucket is ``salt``
-    modulo the number of buckets; ranks within a bucket add to the sizes of the buckets before it, so that no hot key
-    is ordered in one task. ``bucket_rows``: the number of buckets."""
-    cut = rows.withColumn("_bucket", F.pmod(salt, F.lit(bucket_rows)))
+    modulo ``buckets``; ranks within a bucket add to the sizes of the buckets before it, so that no hot key is ordered in
+    one task."""
+    cut = rows.withColumn("_bucket", F.pmod(salt, F.lit(buckets)))
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_size"))
     before = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_kb"),
                           (F.sum("_size").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_size")).alias("_before"))
