@@ -1,7 +1,10 @@
 """Corpus pipeline over ``documents``: language ID, n-gram Jaccard join, PII, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents; the last returns one row a packed piece.
+of documents, whatever further columns there are and whatever they are called; the last returns one row a packed piece.
+Null and empty texts go in the first stage; later stages take them as texts without words, entities or tokens of their
+own. Null doc_ids and sources are kept, a null source is one of its own. Texts of any length are worked on whole. No rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -22,8 +25,8 @@ PII_KEY = "deltascope"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was found; those without letters or a sufficient score go. A null or clearly contradicted
-    lang takes the predicted one."""
+    """Documents in which a language was found; null texts and those without letters or a sufficient score go. A null or clearly
+    contradicted lang takes the predicted one. Repeated rows fare alike."""
     return langid.keep_identified(docs, langid.train(docs), LEAST_SCORE, CLEAR_SCORE)
 
 
@@ -55,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens, placed in as few sequences as found."""
+    """Pieces of at most 1024 tokens, placed in as few sequences as found; repeated rows are packed once each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
