@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -84,12 +85,17 @@ def html_to_text(page: str | None) -> str:
 
 
 def html_with_tables(page: str | None) -> tuple[str, list[dict]]:
-    """Text with ``[TABLE]`` marks, page numbers dropped, and the tables as headers and rows."""
+    """Text with ``[TABLE]`` marks in compatibility form with plain quotes and dashes, page numbers and rules dropped, and the
+    tables as headers and rows."""
     text, raw = _read(page or "", True)
+    text = unicodedata.normalize("NFKC", text).translate(PLAIN)
     text = "\n".join(x for x in text.split("\n") if not re.fullmatch(r"(?:page )?\d{1,3}|[.\-_ ]{3,}.*", x, re.I))
     return text, [{"headers": t[0], "rows": t[1:]} for t in raw if t]
 
 
+#: Quotes and dashes, plain.
+PLAIN = str.maketrans("‘’‚‛“”„‐‑‒–—―", "''''\"\"\"------")
+
 # What the sections of annual and quarterly forms are called: place -> (key, label, title), in order.
 ANNUAL = {"1A": ("risk_factors", "Item 1A", "Risk Factors"), "7": ("mdna", "Item 7", "Management's Discussion and Analysis"), "7A": ("market_risk", "Item 7A", "Market Risk"), "8": ("financial_statements", "Item 8", "Financial Statements"), "15": ("exhibits", "Item 15", "Financial Statements")}
 QUARTERLY = {"II/1A": ("risk_factors", "Part II, Item 1A", "Risk Factors"), "I/2": ("mdna", "Part I, Item 2", "Management's Discussion and Analysis"), "I/3": ("market_risk", "Part I, Item 3", "Market Risk"), "I/1": ("financial_statements", "Part I, Item 1", "Financial Statements")}

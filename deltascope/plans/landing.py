@@ -10,6 +10,7 @@ from ..sources.scratch import scratch
 from ..sources.tables import read
 from .base import registrar
 from .roles import alerts, companies, filings, lines
+from .temporal import PRICES, prices
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
@@ -144,3 +145,11 @@ def company_feeds_manifest(spark, sf):
     back = spark.read.schema("cik bigint, filings array<struct<accession: bigint, form: string, filed: date, mark: string>>").json(path)
     rows = back.select("cik", F.inline("filings")).where("mark = 'é'")
     return rows.groupBy("cik").agg(F.count("*").alias("n"), F.max("filed").alias("newest"), F.count_if(F.col("form").endswith("/A")).alias("amendments"))
+
+
+@query(f"WITH {PRICES} SELECT ticker, day, close, volume FROM prices", with_roles=False)
+def price_history(spark, sf):
+    """Daily closes and volumes, landed as CSV and read with their types."""
+    path = scratch(spark, "prices")
+    prices(spark, sf).write.csv(path, header=True)
+    return feeds.read_csv(spark, path, "ticker bigint, day date, close double, volume bigint", {"volume": 0})

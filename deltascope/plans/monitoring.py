@@ -11,7 +11,8 @@ from ..operators import changes, temporal
 from ..sources.tables import read
 from .base import registrar
 from .roles import alerts, companies, filings, lines
-from .temporal import PRICES, prices, returns, RETURNS
+from .temporal import PRICES, RETURNS, prices, returns
+from .text import NUM, VERSIONS, versions
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
@@ -490,3 +491,45 @@ def sliding_limit(spark, sf):
     """Calls that a sliding log of one hour and two calls a user lets through, every call counted."""
     recent = W.partitionBy("user_id").orderBy("at").rangeBetween(-3_600_000_000, 0)
     return read(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).select("event_id", (F.count("*").over(recent) <= 2).alias("allowed"))
+
+
+@query("SELECT a.accession, a.materiality, coalesce(l.n, 0) AS enriched FROM alerts a LEFT JOIN (SELECT accession, count(*) AS n FROM lines WHERE flag = 'A' GROUP BY 1) l ON l.accession = a.accession")
+def enriched_by_id(spark, sf):
+    """Alerts whose enrichment arrives later, by key; what has none stays as it was."""
+    old = alerts(spark, sf).select("accession", "materiality", F.lit(0).cast("long").alias("enriched"))
+    new = lines(spark, sf).where("flag = 'A'").groupBy("accession").agg(F.count("*").alias("enriched"))
+    return changes.upsert(old, new, ["accession"])
+
+
+DENSE = {"rewh": 3.0, "orre": 2.5, "thatin": 2.0, "from": 1.5}
+
+
+@query("SELECT doc_id, round(least((" + " + ".join(f"{w} * ((length(lower(text)) - length(replace(lower(text), '{k}', ''))) // {len(k)})" for k, w in DENSE.items()) + ") / 10.0, 1.0), 4) AS density, concat_ws(',', " + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN '{k}' END" for k in DENSE) + ") AS found FROM documents WHERE text IS NOT NULL", with_roles=False)
+def keyword_densities(spark, sf):
+    """Weighted keyword density of a text and the keywords found."""
+    own = read(spark, sf, "documents").where("text is not null")
+    return own.select("doc_id", F.round(T.keyword_density(F.col("text"), DENSE), 4).alias("density"), F.array_join(T.keywords_found(F.col("text"), list(DENSE)), ",").alias("found"))
+
+
+@query(f"""WITH {VERSIONS}, x AS (SELECT doc_id, {NUM.format(c='new_text')} AS n, {NUM.format(c='old_text')} AS o FROM pairs), d AS (SELECT doc_id, list_sort(list_filter(o, lambda v: NOT list_contains(n, v)))[1:10] AS gone, list_sort(list_filter(n, lambda v: NOT list_contains(o, v)))[1:10] AS come FROM x)
+SELECT doc_id, array_to_string(list_transform(range(1, least(len(gone), len(come)) + 1), lambda i: gone[i] || '>' || come[i]), '|') AS pairs FROM d""", with_roles=False)
+def number_pairs(spark, sf):
+    """Figures that went beside figures that came, in order, ten pairs at most (the report's feature)."""
+    n, o = T.numbers(F.col("new_text")), T.numbers(F.col("old_text"))
+    gone, come = F.slice(F.sort_array(F.array_except(o, n)), 1, 10), F.slice(F.sort_array(F.array_except(n, o)), 1, 10)
+    both = F.filter(F.zip_with(gone, come, lambda a, b: F.concat(a, F.lit(">"), b)), lambda x: x.isNotNull())
+    return versions(spark, sf).select("doc_id", F.array_join(both, "|").alias("pairs"))
+
+
+META = {"og_title": "property=\"og:title\" content=\"([^\"]*)\"", "author": "name=\"author\" content=\"([^\"]*)\"", "published": "property=\"article:published_time\" content=\"([^\"]*)\"", "description": "name=\"description\" content=\"([^\"]*)\""}
+
+
+@query("WITH m AS (SELECT page_id, regexp_extract(h, '<title>([^<]*)</title>', 1) AS title, " + ", ".join(f"regexp_extract(h, '{p}', 1) AS {k}" for k, p in META.items()) + """ FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '</title>', '</title><meta property="og:title" content="T' || page_id || '"><meta name="author" content="A B"><meta property="article:published_time" content="2025-01-02">') ELSE html END AS h FROM pages))
+SELECT page_id, CASE WHEN og_title <> '' THEN og_title ELSE title END AS title, author, published, description FROM m""", with_roles=False)
+def page_meta(spark, sf):
+    """Title, author, date and description of a page; a title for sharing overrides the plain one."""
+    extra = F.concat(F.lit('</title><meta property="og:title" content="T'), F.col("page_id"), F.lit('"><meta name="author" content="A B"><meta property="article:published_time" content="2025-01-02">'))
+    own = read(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("</title>"), extra)).otherwise(F.col("html")).alias("h"))
+    got = {k: F.regexp_extract("h", p, 1) for k, p in META.items()}
+    title = F.when(got["og_title"] != "", got["og_title"]).otherwise(F.regexp_extract("h", "<title>([^<]*)</title>", 1))
+    return own.select("page_id", title.alias("title"), got["author"].alias("author"), got["published"].alias("published"), got["description"].alias("description"))

@@ -108,6 +108,8 @@ def test_html_readers():
     text, tables = segment.html_with_tables(page)
     assert "[TABLE]" in text and tables == [{"headers": ["a", "b"], "rows": [["1", "2"]]}]
     assert segment.html_to_text(None) == ""
+    text, _ = segment.html_with_tables("<p>“Quoted” — ﬁnal</p><!-- gone --><p>12</p><p>....... 3</p><p>page 4</p>")
+    assert text.split() == ['"Quoted"', "-", "final"]
 
 
 def test_submissions_feed(spark):
