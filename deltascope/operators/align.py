@@ -15,8 +15,9 @@ from ..functions import text as T
 
 
 def best_overlap(tok: Column, pool: Column) -> Column:
-    """Highest word-set Jaccard of ``tok`` with any set of ``pool``; 0 for an empty pool."""
-    return F.coalesce(F.array_max(F.transform(pool, lambda other: T.jaccard(tok, other))), F.lit(0.0))
+    """Highest word-set Jaccard of ``tok`` with any set of ``pool``; 0 for an empty pool. A set that the pool holds as it is,
+    as most of a new version's are, is not compared with the others."""
+    return F.when(F.array_contains(pool, tok), 1.0).otherwise(F.coalesce(F.array_max(F.transform(pool, lambda other: T.jaccard(tok, other))), F.lit(0.0)))
 
 
 def section_change(pairs: DataFrame, old: str = "old_text", new: str = "new_text", unchanged: float = 0.8, modified: float = 0.5) -> DataFrame:
