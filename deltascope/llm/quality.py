@@ -37,9 +37,18 @@ BANDS = {
     "es": Band((1.79, 8.0), (1.0, 3.7), 0.05, 4.8),
     "latin": Band((1.70, 9.0), (1.0, 3.8), 0.10, 4.5),
     "cyrillic": Band((1.20, 9.0), (1.0, 7.0), 0.10, 4.0),
+    # wide around a few sentences of ordinary prose each, since no corpus in these scripts was at hand
+    "greek": Band((0.50, 4.0), (1.0, 14.0), 0.20, 3.0),
+    "arabic": Band((0.50, 4.0), (1.0, 14.0), 0.20, 3.0),
+    "hebrew": Band((0.50, 4.0), (1.0, 14.0), 0.20, 2.8),
+    "devanagari": Band((0.40, 3.0), (1.0, 14.0), 0.40, 3.2),
+    "hangul": Band((0.35, 2.5), (1.0, 14.0), 0.45, 3.2),
+    "thai": Band((0.50, 4.0), (1.0, 1e9), 0.30, 3.0),
+    "kana": Band((0.50, 2.5), (1.0, 1e9), 0.35, 3.5),
+    "han": Band((0.40, 2.5), (1.0, 1e9), 0.45, 3.5),
     "*": Band((0.25, 9.0), (1.0, 1e9), 0.95, 3.0),
 }
-_SCRIPTS = (("latin", re.compile(r"[A-Za-zÀ-ɏ]")), ("cyrillic", re.compile(r"[Ѐ-ӿ]")))
+_SCRIPTS = tuple((name, re.compile(f"[{chars}]")) for name, chars in (("latin", "A-Za-zÀ-ɏ"), ("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽ"), ("arabic", "؀-ۿ"), ("hebrew", "֐-׿"), ("devanagari", "ऀ-ॿ"), ("hangul", "가-힣"), ("thai", "฀-๿"), ("kana", "぀-ヿ"), ("han", "㐀-鿿")))
 _LETTER = re.compile(r"[^\W\d_]")
 
 

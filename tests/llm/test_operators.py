@@ -463,6 +463,12 @@ def test_quality_by_brute_force(spark):
     assert kept
 
 
+def test_quality_bands_by_script():
+    samples = {"greek": "Η γάτα και ο σκύλος", "arabic": "كان الكلب والقط", "hebrew": "הכלב והחתול היו", "devanagari": "कुत्ता और बिल्ली", "hangul": "개와 고양이는", "thai": "สุนัขและแมว", "kana": "いました", "han": "狗和猫在房子里", "latin": "the cat", "*": "123"}
+    assert {quality.band_of(None, t): k for k, t in samples.items()} == {k: k for k in samples}
+    assert quality.band_of("de", "123") == "de" and quality.band_of("zz", "") == "*"
+
+
 def test_pii_many_entities(spark):
     """Distinct, coreferent, valid and nowhere a real entity, over ten thousand."""
     def luhn(d):
