@@ -67,7 +67,8 @@ class Join:
         """Rows (doc, n, tok, df): one with tok null for each document, one for each shingle of P that two or more hold.
 
         Counted in two levels: each lot of documents counts its own shingles, a bucket (a range of hashes) adds those
-        counts, and the lots look the sums up. A bucket that a common shingle makes large is looked up in slices of about
+        counts, and the lots look the sums up. Within a bucket 32 bits of a hash stand for it: shingles that share them share
+        a sum, alike in all documents, which orders them no worse and loses none. A bucket that a common shingle makes large is looked up in slices of about
         ``bucket_tokens`` entries, so that a shingle held by all documents is never gathered in one task."""
         words, part, bucket_tokens = self.words, self.part, self.bucket_tokens
 
@@ -85,9 +86,10 @@ class Join:
                 rows = [("docs", 0, lot, b"", b"", ids.tobytes(), ns.tobytes())]
                 for a, b in zip(cut[:-1], cut[1:]):
                     own, local = np.unique(at[a:b], return_inverse=True)
-                    first = np.flatnonzero(np.concatenate([[True], toks[a + 1 : b] != toks[a : b - 1]]))
-                    rows.append(("entries", int(where[a]), lot, toks[a:b].tobytes(), local.astype(np.uint32).tobytes(), ids[own].tobytes(), ns[own].tobytes()))
-                    rows.append(("counts", int(where[a]), lot, toks[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), b"", b""))
+                    keys, times = np.unique(toks[a:b].astype(np.uint32), return_counts=True)
+                    often = times > 1
+                    rows.append(("entries", int(where[a]), lot, toks[a:b].tobytes(), local.astype(np.uint16 if len(own) < 1 << 16 else np.uint32).tobytes(), ids[own].tobytes(), ns[own].tobytes()))
+                    rows.append(("counts", int(where[a]), lot, keys[~often].tobytes(), keys[often].tobytes(), b"", times[often].astype(np.uint32).tobytes()))
                 return pd.DataFrame(rows, columns=["kind", "bucket", "lot", "toks", "at", "docs", "ns"])
 
             for b in batches:
@@ -104,24 +106,27 @@ class Join:
             trim()
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
-            toks, n = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["toks"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in frame["at"]])
-            order = np.argsort(toks, kind="stable")
-            toks = toks[order]
-            first = np.flatnonzero(np.concatenate([[True], toks[1:] != toks[:-1]]))
-            df = np.add.reduceat(n[order].astype(np.int64), first)
+            once, often, times = (np.concatenate([np.frombuffer(x, np.uint32) for x in frame[c]]) for c in ("toks", "at", "ns"))
+            keys, n = np.concatenate([once, often]), np.concatenate([np.ones(len(once), np.int64), times.astype(np.int64)])
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            df = np.add.reduceat(n[order], first)
             keep = df > 1
             trim()
-            return pd.DataFrame({"bucket": frame["bucket"][:1], "slices": [max(1, -(-int(n.sum()) // bucket_tokens))], "common": [toks[first][keep].tobytes()], "df": [df[keep].tobytes()]})
+            return pd.DataFrame({"bucket": frame["bucket"][:1], "slices": [max(1, -(-int(n.sum()) // bucket_tokens))], "common": [keys[first][keep].tobytes()], "df": [df[keep].tobytes()]})
 
         def look_up(entries: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-            common, df = np.frombuffer(sums["common"].iloc[0], np.uint64), np.frombuffer(sums["df"].iloc[0], np.int64)
+            common, df = np.frombuffer(sums["common"].iloc[0], np.uint32), np.frombuffer(sums["df"].iloc[0], np.int64)
             out = []
             for toks, at, docs, ns in zip(entries["toks"], entries["at"], entries["docs"], entries["ns"]):
-                toks, at = np.frombuffer(toks, np.uint64), np.frombuffer(at, np.uint32)
+                toks = np.frombuffer(toks, np.uint64)
+                at = np.frombuffer(at, np.uint16 if len(at) == 2 * len(toks) else np.uint32)
                 if not len(common):
                     continue
-                place = np.minimum(np.searchsorted(common, toks), len(common) - 1)
-                hit = common[place] == toks
+                keys = toks.astype(np.uint32)
+                place = np.minimum(np.searchsorted(common, keys), len(common) - 1)
+                hit = common[place] == keys
                 out.append((np.frombuffer(docs, np.int64)[at[hit]], np.frombuffer(ns, np.int32)[at[hit]].astype(np.int64), toks[hit].view(np.int64), df[place[hit]]))
             trim()
             return pd.DataFrame({k: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, k in enumerate(("doc", "n", "tok", "df"))})
@@ -132,7 +137,7 @@ class Join:
                     yield pd.DataFrame({"doc": np.frombuffer(docs, np.int64), "n": np.frombuffer(ns, np.int32).astype(np.int64)})
 
         packed = materialize(texts.mapInPandas(pack, "kind string, bucket long, lot long, toks binary, at binary, docs binary, ns binary"))
-        sums = materialize(packed.where("kind = 'counts'").select("bucket", "toks", "at").groupBy("bucket").applyInPandas(add, "bucket long, slices int, common binary, df binary"))
+        sums = materialize(packed.where("kind = 'counts'").select("bucket", "toks", "at", "ns").groupBy("bucket").applyInPandas(add, "bucket long, slices int, common binary, df binary"))
         slices = maybe_broadcast(sums.select(F.col("bucket").alias("_b"), "slices"), buckets)
         entries = packed.where("kind = 'entries'").join(slices, F.col("bucket") == F.col("_b")).withColumn("slice", F.pmod(F.xxhash64("lot"), F.col("slices")).cast("int")).select("bucket", "slice", "toks", "at", "docs", "ns")
         spread = sums.select("bucket", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "common", "df")
