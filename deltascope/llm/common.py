@@ -126,12 +126,13 @@ class Encoder:
     _odd_lead = re.compile("[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     _odd_drop = re.compile(r"[\x1c-\x1f\x85]")
 
-    def __init__(self, path: str, lead: bool, most: int = 400_000, longest: int = 64, plain_specials: bool = False):
+    def __init__(self, path: str, lead: bool, most: int = 500_000, longest: int = 64, plain_specials: bool = False, lot: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain_specials
-        self.lead, self.most, self.longest, self.cache, self.missed = lead, most, longest, {}, 0
+        # looking for special tokens costs the library time in every text; only texts that spell one need it
+        self.tok.encode_special_tokens = True
+        self.lead, self.most, self.longest, self.lot, self.cache, self.missed = lead, most, longest, lot, {}, 0
         added = [] if plain_specials else [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         # signs that all of them begin with, found faster than the pattern
@@ -143,11 +144,15 @@ class Encoder:
         (self.mark_id,) = self.tok.encode(self.mark, add_special_tokens=False).ids
 
     @classmethod
-    def get(cls, path: str, lead: bool) -> "Encoder":
-        return held(f"encoder {path} {lead}", lambda: cls(path, lead))
+    def get(cls, path: str, lead: bool, lean: bool = False) -> "Encoder":
+        """This worker's encoder; a ``lean`` one works on smaller lots and caches less."""
+        return held(f"encoder {path} {lead} {lean}", lambda: cls(path, lead, 400_000, lot=1_000_000) if lean else cls(path, lead))
+
+    def _spells_special(self, text: str) -> bool:
+        return self.special is not None and self.sign in text and self.special.search(text) is not None
 
     def _odd(self, text: str) -> bool:
-        if self.special is not None and self.sign in text and self.special.search(text):
+        if self._spells_special(text):
             return True
         if not self.lead:
             return self._odd_drop.search(text) is not None
@@ -213,11 +218,13 @@ class Encoder:
             if not text:
                 continue
             if self._odd(text):
+                self.tok.encode_special_tokens = not self._spells_special(text)
                 out[i] = self._whole(text)
+                self.tok.encode_special_tokens = True
                 continue
             held.append((i, ("\x00" + text.replace("\n", " \n \x00")).split(" ") if self.lead else text.split()))
             size += len(text)
-            if size > 1_000_000:
+            if size > self.lot:
                 self._join(held, out)
                 held, size = [], 0
         self._join(held, out)

@@ -24,11 +24,11 @@ def cut_document(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the ids themselves (array<int>)."""
+def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, with_ids: bool = False, lean: bool = False) -> DataFrame:
+    """One row per piece; ``with_ids`` adds the ids themselves (array<int>). ``lean``: less memory, more time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = Encoder.get(vocabulary, lead=True), np.array([end_id], "<u4")
+        enc, end = Encoder.get(vocabulary, lead=True, lean=lean), np.array([end_id], "<u4")
         for b in batches:
             rows = []
             for d, own in zip(b["doc_id"], enc.encode_many(list(b["text"]))):
@@ -38,7 +38,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int
                     rows.append((d, k, s, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             out["doc_id"] = out["doc_id"].astype("Int64")
-            trim()
+            if lean:
+                trim()
             yield out
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
@@ -160,12 +161,13 @@ def assign(pieces: DataFrame, capacity: int, bucket_rows: int = 1000) -> DataFra
     return ranked.withColumn("_at", place("length", "_rank")).select(*pieces.columns, "_at.sequence_id", "_at.offset")
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, lean: bool = False) -> DataFrame:
     """Pack ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Null and empty texts hold the end id alone. Repeated rows are packed once each. Extra columns are ignored.
-    An empty table gives an empty result. Texts of any length are cut, never truncated.
+    An empty table gives an empty result. Texts of any length are cut, never truncated. ``lean``: for sessions whose
+    workers have other work too.
     """
-    bound_batches(docs.sparkSession)
-    pieces = materialize(tokenize_pieces(docs, vocabulary, end_id, capacity))
+    bound_batches(docs.sparkSession, 4 << 20 if lean else 8 << 20)
+    pieces = materialize(tokenize_pieces(docs, vocabulary, end_id, capacity, lean=lean))
     return assign(pieces, capacity)

@@ -125,7 +125,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: i
         if held:
             yield block()
 
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, 8 << 20)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = own.repartitionByRange(*task_count(own), "doc_id").sortWithinPartitions("doc_id", "text")
     return materialize(ordered.mapInPandas(run, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"))
