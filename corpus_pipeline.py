@@ -59,7 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens, placed in as few sequences as found; repeated rows are packed once each."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", near_duplicates), ("PII", personal_data), ("mixing to target weights", mixture), ("best-fit packing", packed)]
