@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_main, jaccard, langid, mixing, packing, pii, quality, runs, tokenfile, topk
+from . import chat, codebook, html_main, jaccard, langid, mixing, packing, pii, quality, runs, tokenfile, topk
 from .common import table
 
 
@@ -65,11 +65,16 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(runs.with_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebook.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 ORACLE = {
+    "op13_annular_codes": codebook.oracle(),
     "op10_perspective_rotation": chat.ORACLE,
     "op2_ngram_jaccard": r"""
 WITH RECURSIVE d AS (
