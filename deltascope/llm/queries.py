@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, codebook, html_main, jaccard, langid, mixing, packing, pii, quality, runs, tokenfile, topk
+from . import chat, codebook, html_main, jaccard, langid, mixing, packing, pii, quality, runs, substrings, tokenfile, topk
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.find_runs(runs.with_periods(table(spark, sf_dir, "documents"))))
 
 
+def op12_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_annular_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebook.compress(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE = {
+    "op12_fixed_block_anchors": substrings.ORACLE,
     "op13_annular_codes": codebook.oracle(),
     "op10_perspective_rotation": chat.ORACLE,
     "op2_ngram_jaccard": r"""
