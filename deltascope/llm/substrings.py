@@ -26,6 +26,15 @@ def _windows(words: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:n]) * inverse[:n]) if n else words[:0]
 
 
+def _least(values: np.ndarray, k: int) -> np.ndarray:
+    """The least of every ``k`` values in a row."""
+    span = 1
+    while 2 * span <= k:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[: len(values) - (k - span)], values[k - span :])
+
+
 def _pack(bucket: np.ndarray, doc: np.ndarray, place: np.ndarray, value: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
     """Rows of ``PACKED``; entries come in order of (doc, place), ``doc`` points into ``ids``."""
     order = np.argsort(bucket, kind="stable")
@@ -155,15 +164,16 @@ def _anchors(frame, block: int):
 
 
 def _extended(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The whole windows around the anchors of each text, packed by bucket of their 64-bit keys. Of a key that several
-    documents of one lot hold, those of the smallest id alone are sent; the others are known to repeat it (below 0)."""
-    block = window // 2
+    """The whole windows around the anchors of each text with their 64-bit keys. A window's bucket is that of the least
+    hash among its short word runs, which neighbouring windows mostly share. Of a key that several documents of one lot
+    hold, those of the smallest id alone are sent; the others are known to repeat it (bucket below 0)."""
+    block, short = window // 2, max(1, window // 6)
     for lot in _lots(batches, 8 << 20):
         ids = np.array(_column(lot, "doc_id"), np.int64)
         by_id = np.argsort(ids, kind="stable")
         ids, rows = ids[by_id], np.array(_column(lot, "row"), np.int64)[by_id]
         texts, anchors = _column(lot, "text"), _column(lot, "anchors")
-        doc, place, key = [], [], []
+        doc, place, key, least = [], [], [], []
         for d, i in enumerate(by_id.tolist()):
             (words,) = word_hashes([texts[i]])
             n = len(words) - window + 1
@@ -178,10 +188,11 @@ def _extended(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> I
             h = _windows(words, block)
             doc.append(np.full(len(starts), d))
             place.append(starts)
+            least.append(_least(_windows(words, short), window - short + 1)[starts])
             key.append(_mix(_mix(h[starts] + np.uint64(0x9E3779B97F4A7C15)) ^ (h[starts + block] * np.uint64(0xC2B2AE3D27D4EB4F))))
         if not doc:
             continue
-        doc, place, key = np.concatenate(doc), np.concatenate(place), np.concatenate(key)
+        doc, place, key, least = map(np.concatenate, (doc, place, key, least))
         order, begin, group = _groups(key)
         if not len(order):
             continue
@@ -192,7 +203,7 @@ def _extended(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> I
         lot_rows = np.arange(len(ids))
         known, open_ = np.flatnonzero(later), np.flatnonzero(~later)
         yield from _table(_two(_pack(_bypass(ids, len(known)), doc[known], place[known], key[:0], lot_rows), both))
-        bucket = (_mix(key[open_]) % np.uint64(buckets)).astype(np.int64)
+        bucket = (_mix(least[open_]) % np.uint64(buckets)).astype(np.int64)
         yield from _table(_two(_pack(bucket, doc[open_], place[open_], key[open_], lot_rows), both))
 
 
