@@ -39,11 +39,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alert a filing: materiality, burial and coverage from its lines, then gap and rank."""
+    """One alert a filing: materiality, burial and coverage from its lines, then gap and rank. Scores are rounded (half up) in
+    whole numbers, so that a tie is a tie on every engine."""
     own = lines(spark, sf_dir).groupBy("accession").agg(F.sum("disc").alias("d"), F.sum("tax").alias("t"), F.count("*").alias("n"))
+    hundredths = lambda x: F.expr(f"least(10000, (2 * ({x}) + n) div (2 * n))")  # noqa: E731  # of x / n, 100 at most
+    own = own.withColumn("m", hundredths("1000 * d")).withColumn("b", hundredths("1200 * t"))
     out = own.join(filings(spark, sf_dir), "accession").select(
-        "accession", "cik", "form", "filed", F.col("n").alias("articles"), F.round(F.least(F.lit(100.0), F.col("d") * 10.0 / F.col("n")), 2).alias("materiality"), F.round(F.least(F.lit(100.0), F.col("t") * 12.0 / F.col("n")), 2).alias("burial"), (F.col("n") / 7.0).alias("coverage"))
-    out = out.withColumn("gap", F.round(scores.attention_gap(F.col("materiality"), F.col("coverage")), 2))
+        "accession", "cik", "form", "filed", F.col("n").alias("articles"), (F.col("m") / F.lit(100.0)).alias("materiality"), (F.col("b") / F.lit(100.0)).alias("burial"),
+        (F.col("n") / F.lit(7.0)).alias("coverage"), (F.expr("(14 * m + n) div (2 * n)") / F.lit(100.0)).alias("gap"))
     return out.withColumn("ranking", scores.alert_rank(F.col("materiality"), F.col("burial"), F.col("gap")))
 
 
@@ -56,9 +59,11 @@ lines AS (
   SELECT l_orderkey AS accession, l_linenumber AS seq, l_suppkey AS source, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS disc,
          CAST(round(l_tax * 100) AS BIGINT) AS tax, CAST(l_quantity AS BIGINT) AS words, l_returnflag AS flag, l_linestatus AS status, CAST(l_shipdate AS DATE) AS shipped FROM lineitem),
 alert0 AS (
-  SELECT accession, cik, form, filed, n AS articles, round(least(100.0, d * 10.0 / n), 2) AS materiality, round(least(100.0, t * 12.0 / n), 2) AS burial, n / 7.0::DOUBLE AS coverage
-  FROM (SELECT accession, CAST(sum(disc) AS DOUBLE) AS d, CAST(sum(tax) AS DOUBLE) AS t, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY accession) JOIN filings USING (accession)),
-alert1 AS (SELECT *, round(materiality / greatest(coverage, 0.01), 2) AS gap FROM alert0),
+  SELECT accession, n, least(10000, (2000 * d + n) // (2 * n)) AS m, least(10000, (2400 * t + n) // (2 * n)) AS b
+  FROM (SELECT accession, CAST(sum(disc) AS BIGINT) AS d, CAST(sum(tax) AS BIGINT) AS t, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY accession)),
+alert1 AS (
+  SELECT accession, cik, form, filed, n AS articles, m / 100.0::DOUBLE AS materiality, b / 100.0::DOUBLE AS burial, n / 7.0::DOUBLE AS coverage, ((14 * m + n) // (2 * n)) / 100.0::DOUBLE AS gap
+  FROM alert0 JOIN filings USING (accession)),
 alerts AS (SELECT *, CAST(CASE WHEN s >= 80 THEN 5 WHEN s >= 60 THEN 4 WHEN s >= 40 THEN 3 WHEN s >= 20 THEN 2 ELSE 1 END AS INTEGER) AS ranking
   FROM (SELECT *, 0.5 * materiality + 0.3 * burial + 0.2 * least(gap, 100.0) AS s FROM alert1))
 """

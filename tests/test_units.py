@@ -202,3 +202,16 @@ def test_configuration_tree():
     assert config.errors({"feeds": {"limit": 0}}) == ["feeds.limit", "feeds.keep_days", "throttle.hours", "scores", "cache_days"]
     with pytest.raises(ValueError, match="scores"):
         config.load({"scores": {"gap": 0.9}})
+
+
+def test_named_heading_patterns():
+    import re
+
+    from deltascope.operators.segment import NAMED, TITLES
+
+    for number, title in TITLES.items():
+        for line in (f"Item {number}. {title}", f"ITEM  {number} - {title.upper()}", f"see item {number}: {title.lower()}"):
+            hits = [k for k, p in NAMED.items() if re.search(p, line.lower())]
+            assert hits == [f"item_{number.lower()}"], (line, hits)
+    for line in ("item 1", "item 10a. directors", "items 7 and 8", "item 21. business", "item 7. " + "x" * 100 + " management"):
+        assert not any(re.search(p, line) for p in NAMED.values())
