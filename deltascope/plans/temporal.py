@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import temporal
+from ..operators import study, temporal
 from ..sources.tables import read
 from .base import registrar
 from .roles import alerts, companies, filings
@@ -176,6 +176,40 @@ def event_car_market_model(spark, sf):
     return fit.join(car, "ticker", "left").select("ticker", F.round("beta", 6).alias("beta"), F.round("alpha", 6).alias("alpha"), F.round("car", 6).alias("car"))
 
 
+DAILY = """p AS (SELECT cik % 5 AS ticker, filed AS day, CAST(sum(CAST(round(amount * 100) AS BIGINT)) AS DOUBLE) AS close FROM filings GROUP BY 1, 2),
+r AS (SELECT ticker, day, close / lag(close) OVER (PARTITION BY ticker ORDER BY day) - 1 AS ret FROM p), m AS (SELECT day, sum(ret) / count(ret) AS bench FROM r WHERE ret IS NOT NULL GROUP BY day),
+j AS (SELECT ticker, day, ret, bench FROM r JOIN m USING (day) WHERE ret IS NOT NULL), e AS (SELECT accession, cik % 5 AS ticker, filed AS happened FROM filings WHERE form = '8-K'),
+q AS (SELECT accession, count(*) AS days, avg(ret) AS my, avg(bench) AS mx, sum(bench * bench) - sum(bench) * sum(bench) / count(*) AS v, sum(ret * bench) - sum(ret) * sum(bench) / count(*) AS c FROM e JOIN j ON j.ticker = e.ticker AND j.day BETWEEN e.happened - 170 AND e.happened - 10 GROUP BY accession HAVING count(*) >= 20),
+f AS (SELECT accession, days, CASE WHEN v > 1e-10 THEN c / v ELSE 1.0 END AS beta, my - CASE WHEN v > 1e-10 THEN c / v ELSE 1.0 END * mx AS alpha FROM q),
+w AS (SELECT accession, day - happened AS d, ret - (alpha + beta * bench) AS ab, row_number() OVER (PARTITION BY accession ORDER BY day) AS k FROM f JOIN e USING (accession) JOIN j USING (ticker) WHERE day >= happened AND day <= happened + 15),
+cars AS (SELECT accession, sum(ab) FILTER (WHERE k <= 2 AND d <= 6) AS car1, sum(ab) FILTER (WHERE k <= 4 AND d <= 8) AS car3, sum(ab) FILTER (WHERE k <= 6 AND d <= 10) AS car5, sum(ab) FILTER (WHERE k <= 11) AS car10 FROM w GROUP BY accession HAVING count(*) FILTER (WHERE d <= 8) > 0)"""
+
+
+def event_cars(spark, sf):
+    """Market model and abnormal returns of every 8-K on its own date; five entities' daily amounts stand for prices."""
+    own = filings(spark, sf)
+    price = own.groupBy((F.col("cik") % 5).alias("ticker"), F.col("filed").alias("day")).agg(F.sum(F.round(F.col("amount") * 100).cast("long")).cast("double").alias("close"))
+    ret = price.select("ticker", "day", (F.col("close") / F.lag("close").over(W.partitionBy("ticker").orderBy("day")) - 1).alias("ret")).where("ret is not null")
+    daily = ret.join(ret.groupBy("day").agg((F.sum("ret") / F.count("ret")).alias("bench")), "day")
+    events = own.where("form = '8-K'").select("accession", (F.col("cik") % 5).alias("ticker"), "filed")
+    return study.market_model(events, daily, "accession", "ticker", "filed", windows={"car3": 3, "car1": 1, "car5": 5, "car10": 10})
+
+
+@query(f"WITH {DAILY} SELECT accession, days, round(beta, 5) AS beta, round(alpha, 5) AS alpha, round(car1, 5) AS car1, round(car3, 5) AS car3, round(car5, 5) AS car5, round(car10, 5) AS car10 FROM cars JOIN f USING (accession)")
+def filing_market_model(spark, sf):
+    """Each filing's own market model (170 to 10 days before it) and its abnormal returns over four windows."""
+    return event_cars(spark, sf).select("accession", "days", *[F.round(c, 5).alias(c) for c in ("beta", "alpha", "car1", "car3", "car5", "car10")])
+
+
+@query(f"""WITH {DAILY}, x AS (SELECT ranking, car3, coalesce(nullif(car1, 0), car3) AS car1, coalesce(nullif(car5, 0), car3) AS car5, coalesce(nullif(car10, 0), car3) AS car10 FROM cars JOIN alerts USING (accession))
+SELECT ranking, count(*) AS n, round(avg(car3), 5) AS mean_car3, round(avg(car1), 5) AS mean_car1, round(avg(car5), 5) AS mean_car5, round(avg(car10), 5) AS mean_car10, round(avg(CASE WHEN car3 > 0 THEN 1.0 ELSE 0.0 END), 5) AS hit_rate FROM x GROUP BY ranking""")
+def filing_event_study(spark, sf):
+    """The event study of filings by alert rank, each on its own date."""
+    own = event_cars(spark, sf).join(alerts(spark, sf).select("accession", "ranking"), "accession")
+    out = study.summary(own, "ranking", "car3", ["car1", "car5", "car10"])
+    return out.select("ranking", "n", *[F.round(c, 5).alias(c) for c in out.columns[2:]])
+
+
 @query("""WITH r AS (SELECT form, row_number() OVER (PARTITION BY form ORDER BY materiality, accession) AS a, row_number() OVER (PARTITION BY form ORDER BY burial, accession) AS b FROM alerts)
 SELECT form, count(*) AS n, round(1 - 6.0 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1.0)), 6) AS ic FROM r GROUP BY form""")
 def spearman_ic(spark, sf):
