@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -161,7 +162,7 @@ class Encoder:
     def _new(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of new chunks. A full stop or comma after a letter is a token run of its own, so such a chunk is put
         together from the ids of its word and of the sign."""
-        split = {c: c[:-1] for c in chunks if c[-1] in ".," and len(c) > 1 and c[-2].isalpha()}
+        split = {c: c[:-1] for c in chunks if c[-1] in ".," and len(c) > 1 and c[-2].isalpha() and (self.lead or self._ends_in_letter(c[:-1]))}
         mark = "\x00" if self.lead else ""
         bases = {b for b in split.values() if b not in self.cache}
         out = self._together([c for c in {*chunks, *bases, mark + ".", mark + ","} if c not in split])
@@ -169,6 +170,11 @@ class Encoder:
             out[c] = (out[b] if b in out else self.cache[b]) + out[mark + c[-1]]
         return out
 
+    @staticmethod
+    def _ends_in_letter(word: str) -> bool:
+        """Whether a word still ends in a letter, and not in a mark, once the library has composed it and made it small."""
+        return word.isascii() or unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
     def _whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
 

@@ -22,6 +22,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Never part of the main text.
 DROPPED = frozenset("script style noscript template head title nav footer aside form button select textarea input iframe object embed svg canvas video audio map menu dialog".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus discussion footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+#: A class or id that is one of these words, alone or with words of layout, is no content at any density.
+CERTAIN = frozenset("ad ads advert adverts advertisement advertisements advertising comment comments cookie cookies disqus notice notices sidebar sponsor sponsored".split())
+LAYOUT = frozenset("area bar block body box container content holder inner item list outer panel section slot thread unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar toolbar".split())
 
@@ -128,12 +131,26 @@ def parse(page: str) -> Node:
     return root
 
 
+def _certain(node: Node) -> bool:
+    """Whether a whole class or id says comments, adverts, notices, cookies or sidebar; part of a longer name does not."""
+    for name in (node.attrs.get("class", "") + " " + node.attrs.get("id", "")).split():
+        words = [w for w in _SPLIT.split(name) if w and not w.isdigit()]
+        if any(w in CERTAIN for w in words) and all(w in CERTAIN or w in LAYOUT for w in words):
+            return True
+    return False
+
+
 def _noise(node: Node, inside: bool) -> bool:
-    """Whether a subtree is page furniture by its tag, role or state. ``inside``: below an article or main element."""
+    """Whether a subtree is page furniture by its tag, role, state or unmistakable name. ``inside``: below an article or
+    main element, where headings go with their section."""
     tag, attrs = node.tag, node.attrs
     if tag in DROPPED or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    if not (inside and tag in HEADINGS) and _certain(node):
+        return True
+    if tag == "article":
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
         return True
@@ -238,8 +255,9 @@ def extract(page: str | None) -> str:
     """Main text of one whole page.
 
     The subtree with the largest density sum is the content; the least density on its path to the body is the
-    threshold that other subtrees beside that path must reach. Class and id words of page furniture lower a subtree's
-    weight, but dense text inside the content stays whatever its name. An article or main element on the path is taken whole;
+    threshold that other subtrees beside that path must reach. Elements whose whole class or id says comments, adverts,
+    notices, cookies or sidebar go at any density; other words of page furniture lower a subtree's weight, but dense text
+    inside the content stays. An article or main element on the path is taken whole;
     one beside it, such as the next post of a thread, reaches the threshold with a sixth of the density.
     """
     if not page:

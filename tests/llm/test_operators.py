@@ -139,7 +139,7 @@ def test_mixing_no_rows_and_no_words(spark):
 
 
 # -- packing and token files ------------------------------------------------------------------------------------------
-ODD = [None, "", "a", "  b", "x\n\ny", "tab\there", "trail ", "é ü\nß", "it's ~ don't", "a\x1cb", "<|endoftext|>", "a <|endoftext|> b<|EndOfText|>", prose(5, 4000), "a", "a"]
+ODD = [None, "", "a", "  b", "x\n\ny", "tab\there", "trail ", "é ü\nß", "it's ~ don't", "a\x1cb", "<|endoftext|>", "a <|endoftext|> b<|EndOfText|>", "VAL\u0130L\u0130\u011e\u0130, \u0130LG\u0130L\u0130. \u0932\u0921\u093c\u0915\u093e \u092c\u095c. \u0917\u09dc, \u09af\u09df.", prose(5, 4000), "a", "a"]
 
 
 def exact(name, text):
@@ -157,6 +157,17 @@ def test_encoder_equals_library(name, lead):
             assert ids.tolist() == exact(name, t)
 
 
+def test_encoder_equals_library_on_all_letters():
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"), False)
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    wrong = []
+    for k in range(0, len(letters), 500):
+        text = " ".join(f"{x}, a{x}. {x}b," for x in letters[k : k + 500])
+        if enc.encode_many([text])[0].tolist() != exact("word_bpe_49k.json", text):
+            wrong += [x for x in letters[k : k + 500] if enc.encode_many([f"a{x}. {x},"])[0].tolist() != exact("word_bpe_49k.json", f"a{x}. {x},")]
+    assert not wrong
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs_of(spark, ODD), path).collect()
@@ -319,6 +330,31 @@ def test_html_dense_text_named_like_furniture():
     assert html_main.extract(f'<body>{ads}<div class="post-widget">{body}</div><div class="sidebar"><ul><li><a href=x>one</a><li><a href=y>two</a></ul></div></body>').split("\n\n") == text
 
 
+REMARK = "I read this with great interest and would like to add that my own experience over many years was entirely different."
+
+
+@pytest.mark.parametrize("page", [
+    "<article>{c}<div id=\"comments\">{r}{r}{r}{r}</div></article>",
+    "<article>{c}<div class=\"ad\">{r}</div></article>",
+    "<main>{c}<div class=\"notice\">{r}</div></main>",
+    "<main>{c}<ol class=\"comment-list\"><li class=\"comment\"><article>{r}</article><li class=\"comment even\"><article>{r}{r}</article></ol></main>",
+    "<main>{c}<section id=\"comments-section\"><article class=\"comment\">{r}</article></section></main>",
+    "<div class=\"post\">{c}<div class=\"cookie-bar\">{r}</div><div class=\"sponsored box\">{r}</div></div>",
+    "<article>{c}<div class=\"sidebar\">{r}{r}</div></article><div class=\"ad-slot-2\">{r}</div>",
+])
+def test_html_comments_adverts_and_notices_go_at_any_density(page):
+    words = [f"Paragraph {i} of the article says something of its own, in a sentence that is long enough to count as content." for i in range(6)]
+    body = "".join(f"<p>{w}</p>" for w in words)
+    assert html_main.extract("<body>" + page.format(c=body, r=f"<p>{REMARK}</p>") + "</body>").split("\n\n") == words
+
+
+@pytest.mark.parametrize("name", ['id="discussion"', 'class="social-history"', 'class="post-widget"', 'id="related-work"', 'class="commentary"', 'class="ad-hoc-methods"', 'class="noticeable"', 'id="cookie-recipe"'])
+def test_html_longer_and_ambiguous_names_stay(name):
+    words = [f"Paragraph {i} of the article says something of its own, in a sentence that is long enough to count as content." for i in range(6)]
+    body = "".join(f"<p>{w}</p>" for w in words)
+    assert html_main.extract(f"<body><article>{body}<section {name}>{body}</section><h2 id=\"notice\">Notice</h2>{body}</article></body>").split("\n\n") == [*words, *words, "Notice", *words]
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "z"), (2, None, "", "z"), (3, "u", "<nav>a</nav>", "z"), (4, "u", "<p>x" * 3000, "z"), (4, "u", "plain text", "z")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars, r.text[:10]) for r in html_main.main_text(df).collect())
