@@ -127,8 +127,9 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 2, block_ids: i
 
     bound_batches(docs.sparkSession, 8 << 20)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = own.repartitionByRange(*task_count(own), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInPandas(run, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"))
+    # rows of one doc_id, or without any, are dealt by their text's hash, so that they do not meet in one task
+    ordered = own.withColumn("_h", F.xxhash64("text")).repartitionByRange(*task_count(own), "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    return materialize(ordered.select("doc_id", "text").mapInPandas(run, "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"))
 
 
 def placed_blocks(blocks: DataFrame) -> DataFrame:
@@ -144,7 +145,10 @@ def placed_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
-    """Read blocks back: doc_id, start (ids of all documents before), n_tokens, ids_crc32 of the little-endian u32 ids."""
+    """Read blocks back: doc_id, start (ids of all documents before), n_tokens, ids_crc32 of the little-endian u32 ids.
+
+    One row for every row written, null and repeated doc_ids included (these in the order of their texts' hashes); no
+    blocks give no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
