@@ -1,8 +1,7 @@
-"""Alignment of two versions' paragraphs: best word overlap, greedy TF-IDF cosine, opcodes, and difflib measures."""
+"""Alignment of two versions' paragraphs: best word overlap, greedy TF-IDF cosine, and differences by common blocks."""
 
 from __future__ import annotations
 
-import difflib
 import math
 import re
 from collections import Counter
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import diff
 
 
 def best_overlap(tok: Column, pool: Column) -> Column:
@@ -62,9 +62,9 @@ def greedy_pairs(new: list[str], old: list[str], unchanged: float = 0.95, match:
 
 
 def opcode_pairs(new: list[str], old: list[str], unchanged: float = 0.95, revised: float = 0.6) -> list[tuple[str, int, int, float]]:
-    """Alignment by difflib's opcodes; what a replacement has over on one side is added or removed."""
+    """Alignment by the spans of both lists; what a replacement has over on one side is added or removed."""
     out = []
-    for tag, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+    for tag, a, b, c, d in diff.spans(old, new):
         if tag == "equal":
             out += [("unchanged", c + k, a + k, 1.0) for k in range(b - a)]
             continue
@@ -79,14 +79,15 @@ def opcode_pairs(new: list[str], old: list[str], unchanged: float = 0.95, revise
 
 
 def char_ratio(a: str, b: str) -> float:
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return diff.ratio(a, b)
 
 
 def new_sentences(old: list[str], new: list[str], below: float = 0.75, most: int = 20) -> list[str]:
-    """Sentences of ``new`` unlike every one of ``old``; lengths alone rule most comparisons out."""
-    out = []
+    """Sentences of ``new`` unlike every one of ``old``; lengths and letters alone rule most comparisons out."""
+    out, known = [], set(old)
+    alike = lambda o, s: 2 * min(len(s), len(o)) >= below * (len(s) + len(o)) and diff.ratio_bound(o, s) >= below and char_ratio(o, s) >= below
     for s in new:
-        if not any(2 * min(len(s), len(o)) >= below * (len(s) + len(o)) and char_ratio(o, s) >= below for o in old):
+        if not (s in known and below <= 1) and not any(alike(o, s) for o in old):
             out.append(s)
         if len(out) == most:
             break
@@ -96,7 +97,7 @@ def new_sentences(old: list[str], new: list[str], below: float = 0.75, most: int
 def word_diff(old: str, new: str) -> list[tuple[str, str]]:
     """(tag, text) spans: equal, added, removed."""
     a, b, out = old.split(), new.split(), []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for tag, i, j, k, m in diff.spans(a, b):
         if tag == "equal":
             out.append(("equal", " ".join(a[i:j])))
         else:
@@ -115,7 +116,7 @@ def aligner(method):
 
 
 def text_ratio():
-    """Vectorised character ratio of whole texts; the time of a pair grows with the product of their lengths."""
+    """Vectorised character ratio of whole texts."""
 
     @F.pandas_udf("double")
     def run(old: pd.Series, new: pd.Series) -> pd.Series:
