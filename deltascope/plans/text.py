@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions import text as T
-from ..operators import align
+from ..operators import align, matching
 from ..sources.tables import read
 from .base import registrar
 
@@ -56,9 +56,10 @@ def jaccard_section_change(spark, sf):
 @query(None)
 def greedy_alignment(spark, sf):
     """Greedy TF-IDF alignment of each document's paragraphs with its prior version's."""
-    run = align.aligner(align.greedy_pairs)
-    out = versions(spark, sf).select("doc_id", F.explode(run(T.paragraphs(F.col("new_text")), T.paragraphs(F.col("old_text")))).alias("m"))
-    return out.select("doc_id", "m.change", "m.new_at", "m.old_at", F.round("m.score", 6).alias("score"))
+    own = versions(spark, sf)
+    side = lambda name, mark: own.select(F.col("doc_id").alias("key"), F.lit(mark).alias("side"), F.posexplode(T.paragraphs(F.col(name)))).select("key", "side", F.col("pos").cast("long").alias("at"), F.regexp_extract_all(F.lower("col"), F.lit("[a-z]+"), F.lit(0)).alias("toks"))
+    out = matching.greedy_matching(side("new_text", "n").unionByName(side("old_text", "o")))
+    return out.select(F.col("key").alias("doc_id"), "change", "new_at", "old_at", F.round("score", 6).alias("score"))
 
 
 @query(None)
