@@ -160,8 +160,7 @@ def amendments_by_period(spark, sf):
     a = temporal.asof_backward(own.where("amends"), o.select("cik", "base", "period", "filed", F.col("accession").alias("same")), ["cik", "base", "period"], "filed", ["same"], strict=True)
     a = temporal.asof_backward(a, o.select("cik", "base", "filed", F.col("accession").alias("other")), ["cik", "base"], "filed", ["other"], strict=True)
     a = a.withColumn("original", F.coalesce("same", "other"))
-    version = F.when(F.col("original").isNull(), F.lit(2)).otherwise(1 + F.row_number().over(W.partitionBy("original").orderBy("filed", "accession")))
-    return a.select("accession", "original", version.cast("long").alias("version"))
+    return temporal.numbered_of(a, "original", ["filed", "accession"], "version").select("accession", "original", "version")
 
 
 @query("SELECT a.accession, a.materiality, l.n, l.latest FROM alerts a LEFT JOIN (SELECT accession, count(*) AS n, max(shipped) AS latest FROM lines WHERE status = 'F' GROUP BY 1) l ON l.accession = a.accession")

@@ -58,8 +58,9 @@ def precursor_backtest(spark, sf):
     """Share of events that a strong article precedes by at most two days."""
     e = filings(spark, sf).where("form = '8-K'").select("accession", (F.col("cik") % 50).alias("ticker"), F.expr("timestamp'2024-01-03' + make_interval(0, 0, 0, cast(accession % 25 as int))").alias("at"))
     v = read(spark, sf, "events").where("value >= 60").select((F.col("user_id") % 50).alias("ticker"), "ts")
-    hit = temporal.interval_join(e, v, ["ticker"], "at", "ts", 2, 0).select("accession").distinct().withColumn("hit", F.lit(1))
-    return e.join(hit, "accession", "left").agg(F.count("*").alias("events"), F.count("hit").alias("with_precursor"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    newest = temporal.asof_backward(e, v.select("ticker", F.col("ts").alias("at"), F.col("ts").alias("last")), ["ticker"], "at", ["last"], strict=True)
+    near = newest.withColumn("hit", F.when(F.col("last") >= F.col("at") - F.expr("INTERVAL 2 DAYS"), 1))
+    return near.agg(F.count("*").alias("events"), F.count("hit").alias("with_precursor"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
 
 
 @query("""WITH t AS (SELECT *, row_number() OVER (ORDER BY gap DESC, materiality DESC, accession) AS k FROM (SELECT * FROM alerts ORDER BY gap DESC, materiality DESC, accession LIMIT 10))

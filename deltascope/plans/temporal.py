@@ -52,7 +52,7 @@ def amendment_versions(spark, sf):
     a = own.where("form = '10-K/A'").select("accession", "cik", "filed")
     o = own.where("form = '10-K'").select("cik", "filed", F.col("accession").alias("amends"))
     out = temporal.asof_backward(a, o, ["cik"], "filed", ["amends"])
-    return out.select("accession", "amends", F.when(F.col("amends").isNull(), F.lit(2)).otherwise(1 + F.row_number().over(W.partitionBy("amends").orderBy("filed", "accession"))).cast("long").alias("version"))
+    return temporal.numbered_of(out, "amends", ["filed", "accession"], "version").select("accession", "amends", "version")
 
 
 @query("""WITH e AS (SELECT accession, filed, cik % 50 AS ticker FROM filings WHERE form = '8-K'), p AS (SELECT event_id, user_id % 50 AS ticker, ts FROM events),
@@ -62,8 +62,8 @@ def precursor_interval_join(spark, sf):
     """The newest articles in the two days before each event."""
     e = filings(spark, sf).where("form = '8-K'").select("accession", (F.col("cik") % 50).alias("ticker"), F.expr("timestamp'2024-01-03' + make_interval(0, 0, 0, cast(accession % 25 as int))").alias("at"))
     p = read(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("ticker"), "ts")
-    out = temporal.interval_join(e, p, ["ticker"], "at", "ts", 2, 0)
-    return out.withColumn("k", F.row_number().over(W.partitionBy("accession").orderBy(F.desc("ts"), F.desc("event_id")))).where("k <= 5").select("accession", "event_id")
+    out = temporal.asof_last_k(e, p.withColumnRenamed("ts", "at"), "accession", ["ticker"], "at", ["event_id"], 5, within="2 DAYS", tie="event_id")
+    return out.select("accession", "event_id")
 
 
 @query("""WITH e AS (SELECT accession, cik % 50 AS ticker, DATE '2024-01-01' + CAST(accession % 40 AS INTEGER) AS d FROM filings WHERE form = '10-Q'), a AS (SELECT event_id, user_id % 50 AS ticker, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'click'),
@@ -213,13 +213,18 @@ def filing_event_study(spark, sf):
 @query("""WITH r AS (SELECT form, row_number() OVER (PARTITION BY form ORDER BY materiality, accession) AS a, row_number() OVER (PARTITION BY form ORDER BY burial, accession) AS b FROM alerts)
 SELECT form, count(*) AS n, round(1 - 6.0 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1.0)), 6) AS ic FROM r GROUP BY form""")
 def spearman_ic(spark, sf):
-    """Rank correlation with ties by position. Ranks are counted in two levels: values to a hundredth, then rows of one value."""
+    """Rank correlation with ties by position. Ranks are counted in three levels, values to a hundredth, then lots of a
+    thousand ids of one value, then the rows of a lot, since many scores stand at their cap."""
     own = alerts(spark, sf).select("form", "accession", "materiality", "burial")
 
     def ranked(rows, value, name):
         w = W.partitionBy("form")
-        before = rows.groupBy("form", value).agg(F.count("*").alias("c")).select("form", value, (F.sum("c").over(w.orderBy(value)) - F.col("c")).alias("before"))
-        return rows.withColumn("k", F.row_number().over(W.partitionBy("form", value).orderBy("accession"))).join(before, ["form", value]).withColumn(name, (F.col("before") + F.col("k")).cast("double")).drop("k", "before")
+        lots = rows.withColumn("lot", F.expr("accession div 1000"))
+        sizes = lots.groupBy("form", value, "lot").agg(F.count("*").alias("c"))
+        values = sizes.groupBy("form", value).agg(F.sum("c").alias("v")).select("form", value, (F.sum("v").over(w.orderBy(value)) - F.col("v")).alias("below"))
+        before = sizes.withColumn("within", F.sum("c").over(W.partitionBy("form", value).orderBy("lot")) - F.col("c")).join(values, ["form", value]).select("form", value, "lot", (F.col("below") + F.col("within")).alias("before"))
+        ranks = lots.withColumn("k", F.row_number().over(W.partitionBy("form", value, "lot").orderBy("accession"))).join(before, ["form", value, "lot"])
+        return ranks.withColumn(name, (F.col("before") + F.col("k")).cast("double")).drop("k", "before", "lot")
 
     r = ranked(ranked(own, "materiality", "a"), "burial", "b")
     n = F.count("*")
@@ -263,6 +268,5 @@ def events_session_window(spark, sf):
 k AS (SELECT user_id, min(t) AS t FROM o GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(o.t) FROM o WHERE o.user_id = k.user_id AND o.t >= k.t + 21600) FROM k WHERE k.t IS NOT NULL)
 SELECT user_id, count(t) AS sent FROM k WHERE t IS NOT NULL GROUP BY user_id""", with_roles=False)
 def throttled_alerts(spark, sf):
-    """Alerts that a six-hour throttle from the last one sent lets through; a fold over each entity's sorted times."""
-    own = read(spark, sf, "events").where("event_type = 'view'").groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)).alias("t"))
-    return own.select("user_id", temporal.throttle(F.col("t"), 21600.0, count=True).alias("sent"))
+    """Alerts that a six-hour throttle from the last one sent lets through."""
+    return temporal.throttled_counts(read(spark, sf, "events").where("event_type = 'view'"), "user_id", "ts", 21600.0)
