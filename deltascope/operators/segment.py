@@ -89,12 +89,13 @@ def html_with_tables(page: str | None) -> tuple[str, list[dict]]:
     tables as headers and rows."""
     text, raw = _read(page or "", True)
     text = unicodedata.normalize("NFKC", text).translate(PLAIN)
-    text = "\n".join(x for x in text.split("\n") if not re.fullmatch(r"(?:page )?\d{1,3}|[.\-_ ]{3,}.*", x, re.I))
+    text = "\n".join(x for x in text.split("\n") if not re.fullmatch(r"(?:page )?-?\s*\d{1,4}\s*-?|.*\.{4,}\s*\d{1,4}|[.\-_= ]{3,}.*", x, re.I))
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
     return text, [{"headers": t[0], "rows": t[1:]} for t in raw if t]
 
 
 #: Quotes and dashes, plain.
-PLAIN = str.maketrans("‘’‚‛“”„‐‑‒–—―", "''''\"\"\"------")
+PLAIN = str.maketrans(dict(zip("‘’‚‛“”„‐‑‒–—―", "''''\"\"\"------")) | {"•": "*", "®": "(R)", "©": "(c)"})
 
 # What the sections of annual and quarterly forms are called: place -> (key, label, title), in order.
 ANNUAL = {"1A": ("risk_factors", "Item 1A", "Risk Factors"), "7": ("mdna", "Item 7", "Management's Discussion and Analysis"), "7A": ("market_risk", "Item 7A", "Market Risk"), "8": ("financial_statements", "Item 8", "Financial Statements"), "15": ("exhibits", "Item 15", "Financial Statements")}
