@@ -49,3 +49,13 @@ def replace_children(old: DataFrame, new: DataFrame, parent: Sequence[str]) -> D
 def retain(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
     """Rows no older than ``days`` before ``as_of``."""
     return rows.where(F.col(at) >= F.date_sub(as_of, days))
+
+
+def json_set(document: Column, key: str, value: Column) -> Column:
+    """The JSON object ``document`` with ``key`` set to the text ``value``; all other keys keep their values of any kind (in
+    the order of their names). What is null or no JSON object becomes an object with this key alone; a null value is
+    null in JSON."""
+    others = F.try_variant_get(F.try_parse_json(document), "$", "map<string,variant>")
+    own = F.variant_get(F.parse_json(F.to_json(F.struct(value.cast("string").alias("x")), {"ignoreNullFields": "false"})), "$.x", "variant")
+    kept = F.map_filter(F.coalesce(others, F.create_map().cast("map<string,variant>")), lambda k, v: k != key)
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), own)), {"ignoreNullFields": "false"})

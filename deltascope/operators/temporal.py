@@ -124,3 +124,31 @@ def throttle(times: Column, gap: float, count: bool = False) -> Column:
         return F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct(t.alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc))["n"]
     start = F.struct(nothing.alias("last"), F.array().cast("array<double>").alias("kept"))
     return F.aggregate(times, start, lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= gap), F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc))["kept"]
+
+
+def sliding_log(rows: DataFrame, key: str, by: str, at: str, calls: int, seconds: float) -> DataFrame:
+    """(key, allowed) of every row with entity and time: a call is let through if fewer than ``calls`` calls of its entity were
+    let through within the last ``seconds``; refused calls do not count. Calls of equal time go in order of ``key``. A task
+    reads its entities in order of time and keeps the last ``calls`` times let through of one of them."""
+    from collections import deque
+
+    import pandas as pd
+
+    own = rows.where(F.col(by).isNotNull() & F.col(at).isNotNull()).select(F.col(by).alias("_by"), F.unix_micros(F.col(at).cast("timestamp")).alias("_t"), key)
+    own = own.repartition("_by").sortWithinPartitions("_by", "_t", key)
+    span = int(seconds * 1_000_000)
+
+    def run(batches):
+        entity, passed = object(), deque(maxlen=calls)
+        for b in batches:
+            out = []
+            for e, t in zip(b["_by"].tolist(), b["_t"].tolist()):
+                if e != entity:
+                    entity, passed = e, deque(maxlen=calls)
+                fine = len(passed) < calls or t - passed[0] >= span
+                if fine:
+                    passed.append(t)
+                out.append(fine)
+            yield pd.DataFrame({key: b[key], "allowed": out})
+
+    return own.mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, allowed boolean")

@@ -153,3 +153,10 @@ def price_history(spark, sf):
     path = scratch(spark, "prices")
     prices(spark, sf).write.csv(path, header=True)
     return feeds.read_csv(spark, path, "ticker bigint, day date, close double, volume bigint", {"volume": 0})
+
+
+@query("""SELECT CAST(c_nationkey AS VARCHAR) AS key, CAST(sum(length(c_name) + length(CAST(c_custkey AS VARCHAR)) + 19) AS BIGINT) AS bytes, sha256(string_agg('{"cik":' || c_custkey || ',"name":"' || c_name || '"}' || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY 1""", with_roles=False)
+def feed_files_manifest(spark, sf):
+    """A feed file for each nation's companies and the manifest beside them, read back."""
+    own = read(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("cik"), F.col("c_name").alias("name"))
+    return sinks.write_feeds(own, "nation", F.to_json(F.struct("cik", "name")), "cik", scratch(spark, "feed-files")).select("key", "bytes", "sha256")

@@ -68,6 +68,33 @@ def runs_in_order(spark, sf):
     return read(spark, sf, "events").orderBy("event_id").limit(100).select("event_id", "event_type")
 
 
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS position FROM events", with_roles=False)
+def run_listing(spark, sf):
+    """All runs with the position at which they were entered, counted by ranges of ids."""
+    own = read(spark, sf, "events").select("event_id", "event_type", F.expr("event_id div 10000").alias("lot"))
+    before = own.groupBy("lot").agg(F.count("*").alias("c"))
+    before = before.select("lot", (F.sum("c").over(W.orderBy("lot")) - F.col("c")).alias("before"))  # one row for ten thousand runs
+    within = F.row_number().over(W.partitionBy("lot").orderBy("event_id"))
+    return own.withColumn("k", within).join(before, "lot").select("event_id", "event_type", (F.col("before") + F.col("k")).alias("position"))
+
+
+@query("""WITH a AS (SELECT * FROM filings WHERE form = '10-K/A'), o AS (SELECT * FROM filings WHERE form = '10-K'),
+x AS (SELECT a.accession, a.filed, o.accession AS original, row_number() OVER (PARTITION BY a.accession ORDER BY o.filed DESC, o.accession DESC) AS k FROM a JOIN o ON o.cik = a.cik AND o.filed <= a.filed)
+SELECT original, CAST(1 + row_number() OVER (PARTITION BY original ORDER BY filed, accession) AS BIGINT) AS version, accession, filed FROM x WHERE k = 1""")
+def amendment_listing(spark, sf):
+    """The amendments of every filing by version."""
+    own = filings(spark, sf)
+    o = own.where("form = '10-K'").select("cik", "filed", F.col("accession").alias("original"))
+    a = temporal.asof_backward(own.where("form = '10-K/A'").select("accession", "cik", "filed"), o, ["cik"], "filed", ["original"])
+    return temporal.numbered_of(a.where("original is not null"), "original", ["filed", "accession"], "version").select("original", "version", "accession", "filed").orderBy("original", "version")
+
+
+@query(None, with_roles=False)
+def sliding_log_limit(spark, sf):
+    """Calls that a sliding log of one hour and two calls a user lets through; refused calls do not count."""
+    return temporal.sliding_log(read(spark, sf, "events"), "event_id", "user_id", "ts", 2, 3600)
+
+
 @query("SELECT accession, 'https://www.example.org/data/' || cik || '/' || lpad(CAST(accession AS VARCHAR), 18, '0') || '/' AS folder, 'https://www.example.org/data/' || cik || '/' || lpad(CAST(accession AS VARCHAR), 18, '0') || '/form' || accession || '.xml' AS document FROM filings")
 def filing_addresses(spark, sf):
     """Folder and raw document of each filing; style-sheet folders are left out of a document's path."""
@@ -287,11 +314,12 @@ def latest_status(spark, sf):
     return own.select("user_id", F.col("s.event_type").alias("status"), F.col("s.ts").alias("since"), "n")
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"label\":\"' || event_type || '\"}' AS props FROM events", with_roles=False)
+@query("""SELECT event_id, '{"by":{"tags":["a",null],"user":' || user_id || '},"k":' || json_extract_string(props, '$.k') || ',"label":"' || event_type || '"}' AS props FROM events""", with_roles=False)
 def json_label_set(spark, sf):
     """A JSON document with one path set, the other ones kept."""
-    own = F.from_json("props", "k long")
-    return read(spark, sf, "events").select("event_id", F.to_json(F.struct(own["k"].alias("k"), F.col("event_type").alias("label"))).alias("props"))
+    more = F.concat(F.lit(',"label":"old","by":{"user":'), F.col("user_id"), F.lit(',"tags":["a",null]}}'))
+    own = read(spark, sf, "events").select("event_id", "event_type", F.concat(F.regexp_replace("props", r"\}\s*$", ""), more).alias("props"))
+    return own.select("event_id", changes.json_set(F.col("props"), "label", F.col("event_type")).alias("props"))
 
 
 # -- text -------------------------------------------------------------------------------------------------------------
@@ -310,12 +338,17 @@ def fiscal_year_ends(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.trim(F.coalesce(*found, F.lit(""))).alias("year_end"))
 
 
-@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '\\$[0-9][0-9,.]*')) AS BIGINT) AS dollars, CAST(len(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?%')) AS BIGINT) AS percents, CAST(len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')) AS BIGINT) AS dates,
-  CAST(len(regexp_extract_all(text, '[A-Z][a-z]+(?: [A-Z][a-z]+)+')) AS BIGINT) AS entities FROM documents WHERE text IS NOT NULL""", with_roles=False)
+# Patterns of sums, shares, dates and names; sums may be told in words, dates by the month's name.
+SPECIFICS = {"dollars": r"\$\s?[0-9][0-9,.]*(?:\s?(?:thousand|million|billion|trillion))?", "percents": r"[0-9]+(?:\.[0-9]+)?\s?(?:%|percent)",
+             "dates": r"[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:January|February|March|April|May|June|July|August|September|October|November|December)\s[0-9]{1,2},\s[0-9]{4}", "entities": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(t, '{p}')) AS BIGINT) AS {k}" for k, p in SPECIFICS.items()) + " FROM (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' On March 3, 2024 sales of $ 5 million rose 4 percent.' ELSE '' END AS t FROM documents WHERE text IS NOT NULL)", with_roles=False)
 def specifics(spark, sf):
     """How specific a text is: sums, percentages, dates and runs of capitalised words."""
-    n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
-    return read(spark, sf, "documents").where("text is not null").select("doc_id", n(r"\$[0-9][0-9,.]*").alias("dollars"), n(r"[0-9]+(?:\.[0-9]+)?%").alias("percents"), n("[0-9]{4}-[0-9]{2}-[0-9]{2}").alias("dates"), n("[A-Z][a-z]+(?: [A-Z][a-z]+)+").alias("entities"))
+    told = F.concat("text", F.when(F.col("doc_id") % 2 == 0, " On March 3, 2024 sales of $ 5 million rose 4 percent.").otherwise(""))
+    own = read(spark, sf, "documents").where("text is not null").select("doc_id", told.alias("t"))
+    return own.select("doc_id", *[F.regexp_count("t", F.lit(p)).cast("long").alias(k) for k, p in SPECIFICS.items()])
 
 
 # Patterns of red flags bound to the invented prose of the tables, with their weights.

@@ -44,3 +44,25 @@ def store_documents(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Of fetched rows with a ``content``, those whose content is new, once each (the smallest row), with its SHA-256."""
     own = fetched.withColumn("sha256", F.sha2("content", 256)).join(stored.select("sha256").distinct(), "sha256", "left_anti")
     return own.groupBy("sha256").agg(F.min(F.struct(*fetched.columns)).alias("_row")).select("_row.*", "sha256")
+
+
+def write_feeds(df: DataFrame, key: str, record: Column, order: str, path: str) -> DataFrame:
+    """One text file of JSON lines for each ``key`` in the folder ``path``/feeds/key=..., its lines in ``order``, and beside them
+    ``path``/manifest with a line a file: key, file, bytes, sha256. Returns the manifest as read back. Rows of one key make one
+    file, as the feed's readers want it; null keys stand in a folder of their own."""
+    own = df.select(F.col(key).alias("key"), record.alias("value"), F.col(order).alias("_order"))
+    own.repartition("key").sortWithinPartitions("key", "_order").select("key", "value").write.mode("overwrite").partitionBy("key").text(f"{path}/feeds")
+    manifest_of(df.sparkSession, f"{path}/feeds").write.mode("overwrite").json(f"{path}/manifest")
+    return df.sparkSession.read.schema("key string, file string, bytes bigint, sha256 string").json(f"{path}/manifest")
+
+
+def manifest_of(spark, path: str) -> DataFrame:
+    """key, file, bytes and SHA-256 of every file in the folders key=... below ``path``, from the files themselves."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", "/key=([^/]*)/", 1).alias("key"), F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def stale_files(spark, path: str, older_than_seconds: float) -> DataFrame:
+    """Files below ``path`` by age: path, bytes, modified, stale; their contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.withColumn("stale", F.unix_micros(F.current_timestamp()) - F.unix_micros("modified") > F.lit(int(older_than_seconds * 1_000_000)))
