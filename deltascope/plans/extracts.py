@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import phrases, segment, tables
+from ..operators import index, phrases, segment, tables
+from ..sources.scratch import scratch
 from ..sources.tables import read
 from .base import registrar
 from .roles import lines
@@ -79,3 +80,12 @@ def red_flag_scores(spark, sf):
     found = phrases.find_phrases(read(spark, sf, "documents"), flag_phrases(spark, sf), "doc_id")
     own = found.groupBy("doc_id", "category").agg(F.max("weight").alias("weight"), F.count("*").alias("hits"))
     return own.groupBy("doc_id").agg(F.least(F.lit(100.0), F.sum(F.col("weight") * F.least("hits", F.lit(5))) / F.lit(20.0)).alias("score"), F.count("*").alias("categories"))
+
+
+@query("SELECT doc_id, 'that' AS keyword FROM documents WHERE contains(lower(text), 'that') UNION ALL SELECT doc_id, 'With the ' FROM documents WHERE contains(lower(text), 'with the ') UNION ALL SELECT doc_id, 'REWH' FROM documents WHERE contains(lower(text), 'rewh')", with_roles=False)
+def keyword_index_search(spark, sf):
+    """Documents that contain a word, a part of a word or a phrase, found through an index of postings."""
+    texts, path = read(spark, sf, "documents").select("doc_id", "text"), scratch(spark, "keyword-index")
+    index.write_index(texts, "doc_id", path)
+    found = [index.containing(texts, "doc_id", path, k).select(F.col("key").alias("doc_id"), F.lit(k).alias("keyword")) for k in ("that", "With the ", "REWH")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
