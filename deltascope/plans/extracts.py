@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index, phrases, segment, tables
+from ..operators import changes, index, phrases, segment, stored, tables
 from ..sources.scratch import scratch
 from ..sources.tables import read
 from .base import registrar
@@ -89,3 +89,17 @@ def keyword_index_search(spark, sf):
     index.write_index(texts, "doc_id", path)
     found = [index.containing(texts, "doc_id", path, k).select(F.col("key").alias("doc_id"), F.lit(k).alias("keyword")) for k in ("that", "With the ", "REWH")]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("""WITH u AS (SELECT c_custkey AS k, coalesce(s_name, c_name) AS name, c_acctbal AS balance FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer))
+SELECT * FROM u UNION ALL SELECT p_partkey, p_name, NULL FROM part WHERE p_partkey NOT IN (SELECT k FROM u)""", with_roles=False)
+def stored_table_changes(spark, sf):
+    """A stored table after an upsert and an insert of new keys, each of which rewrote the folders that it touched."""
+    own = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    path = scratch(spark, "stored")
+    stored.create(own, ["k"], path, 16)
+    new = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    stored.change(spark, path, own.schema, ["k"], new, lambda a, b: changes.upsert(a, b, ["k"]), 16)
+    more = read(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.lit(None).cast("double").alias("balance"))
+    stored.change(spark, path, own.schema, ["k"], more, lambda a, b: changes.insert_or_ignore(a, b, ["k"]), 16)
+    return stored.read(spark, path, own.schema)
