@@ -8,7 +8,7 @@ from ..operators import segment
 from ..sources import sinks
 from ..sources.scratch import scratch
 from ..sources.tables import read
-from ..streaming import monitor
+from ..streaming import keyed, monitor
 from .base import registrar
 from .roles import alerts
 from .temporal import QUERIES as TEMPORAL
@@ -32,7 +32,7 @@ def _finish(spark, stream, mode, schema):
     def sink(batch, i):
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={i}")
 
-    monitor.run(stream, sink, scratch(spark, "stream-state"), once=True, mode=mode).awaitTermination()
+    keyed.started(spark, lambda: monitor.run(stream, sink, scratch(spark, "stream-state"), once=True, mode=mode)).awaitTermination()
     return spark.read.schema(schema).parquet(out).select(*[c.strip().split(" ")[0] for c in schema.split(",")])
 
 
@@ -69,6 +69,35 @@ def stream_combined_alerts(spark, sf):
     return out.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(F.round(F.col("gap") * 100).cast("long")) / 100, 2).alias("gap"))
 
 
+@query("SELECT event_type, user_id, min(ts) AS ts FROM events GROUP BY 1, 2", with_roles=False)
+def stream_newest_ids(spark, sf):
+    """Each kind of event as a feed of users, deduplicated by its newest 100,000 ids; the SQL says the same while a feed has no
+    more users than that."""
+    own = events_stream(spark, sf).select("event_type", "user_id", "ts")
+    fresh = keyed.newest_ids(own, "event_type", "user_id", "ts", 100_000)
+    return _finish(spark, fresh, "append", "event_type string, user_id long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+k AS (SELECT user_id, min(ts) AS ts FROM o GROUP BY user_id UNION ALL SELECT k.user_id, (SELECT min(o.ts) FROM o WHERE o.user_id = k.user_id AND o.ts >= k.ts + INTERVAL 6 HOUR) FROM k WHERE k.ts IS NOT NULL)
+SELECT user_id, ts FROM k WHERE ts IS NOT NULL""", with_roles=False)
+def stream_throttle_timers(spark, sf):
+    """Purchases at least six hours after the last one sent; timers clear the times that can hold nothing back."""
+    own = events_stream(spark, sf).where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    sent = keyed.throttled(own, "user_id", "ts", ["event_id"])
+    return _finish(spark, sent, "append", "user_id long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""SELECT v.event_id FROM events v WHERE v.event_type = 'view' AND v.user_id IS NOT NULL AND v.ts IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM events p WHERE p.event_type = 'purchase' AND p.user_id = v.user_id AND p.ts <= v.ts AND v.ts < p.ts + INTERVAL 12 HOUR)""", with_roles=False)
+def stream_changing_mutes(spark, sf):
+    """Views outside of their user's mute, which each purchase sets anew for twelve hours while the stream runs."""
+    own = events_stream(spark, sf)
+    mutes = own.where("event_type = 'purchase'").select("user_id", "ts", (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("until"))
+    heard = keyed.muted_by(own.where("event_type = 'view'").select("user_id", "ts", "event_id"), mutes, "user_id", "ts", "until", ["event_id"])
+    return _finish(spark, heard.select("event_id"), "append", "event_id long")
+
+
 @query("SELECT accession, form, gap FROM alerts WHERE ranking >= 3")
 def alerts_csv_roundtrip(spark, sf):
     """Alerts written as CSV and read back."""
