@@ -20,25 +20,34 @@ from .common import materialize
 
 # Patterns of the entity types, tried in this order at each place.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
+_WORD = r"\p{Lu}(?:\p{L}|['’-](?=\p{L}{2}))+"
+PARTICLES = "van von der den des de del della di da dos du la le zu zum zur ter ten bin al ван фон де".split()
+_PARTICLE = "(?:" + "|".join(f"[{p[0].upper()}{p[0]}]{p[1:]}" for p in PARTICLES) + ") "
+_NAME = rf"(?:(?:{_PARTICLE}){{1,3}}{_WORD}|{_WORD}(?: (?:{_PARTICLE}){{0,3}}{_WORD})?)"
+#: Academic titles after the form of address stay where they are.
+_ACADEMIC = r"(?:(?:Dr|Prof|Ing|Dipl|Mag|med|jur|phil)\.?(?:-\p{L}+\.?)? )"
+#: Offices and shows that follow a form of address without being names.
+NO_NAMES = "President|Vice|Speaker|Chairman|Chairwoman|Chair|Secretary|Justice|Minister|Ambassador|Mayor|Judge|Universe|World|America|Right|Präsident|Bundeskanzler|Minister|Président|Ministre|Presidente|Ministro|Президент|Министр"
 MALE = r"(?:Mr|Herr|Monsieur|Señor|Sr|Господин|господин)"
 FEMALE = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|госпожа)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
     "cloud_key": r"(?<![A-Z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Z])",
-    "secret": r"(?<=(?i:password|passwd|secret|token|api[_-]key|apikey)[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])[^\s\"']{6,}",
+    # after a colon without a quote prose may follow: a digit, mixed case, a sign within or a letter without case is wanted
+    "secret": r"(?<=[=:\"'\s])(?<=(?i:password|passwd|secret|token|api[_-]key|apikey)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?)(?=[^\s\"']*[\p{L}\p{N}])"
+              r"(?:(?<=[=\"'][ \t]{0,3})|(?=[^\s\"']*(?:[\p{N}\p{Lo}]|\p{Ll}[^\s\"']*\p{Lu}|[!@#$%^&*~+]\p{L})))[^\s\"']{6,}",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])",
     "card": r"(?<![\d.+-])(?:\d{4}[ -]?){3}\d{4}(?![\d-])|(?<![\d.+-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
-    "ip": rf"(?<![\d.])(?!127\.|0\.0\.0\.0)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip": rf"(?<![\d.])(?<!(?i:version|release|build|\bv)[ .:]{{0,2}})(?!127\.|0\.0\.0\.0)(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
-    "name": rf"(?<=(?<!\p{{L}}){MALE}\.? ){_NAME}|(?<=(?<!\p{{L}}){FEMALE}\.? ){_NAME}",
+    # a name is matched together with its title so that its gender is known
+    "name": rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_ACADEMIC}{{0,3}}+(?!(?:{NO_NAMES})(?!\p{{L}})){_NAME}",
 }
-#: One match of any type; a name is matched together with its title so that its gender is known.
-_TITLED = rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}"
-ANY = "|".join([p for k, p in PATTERNS.items() if k != "name"] + [_TITLED])
+#: One match of any type.
+ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds no entity; it is passed on without a search.
-GUARD = rf"@|\d[\d ().-]{{5}}|(?:AKIA|ASIA)[0-9A-Z]|(?i:password|passwd|secret|token|api[_-]?key)[ \t]*[=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+GUARD = rf"@|\d[\d ().-]{{5}}|(?:AKIA|ASIA)[0-9A-Z]|(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:]|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{L}}"
 #: Plain substrings, one of which every text that GUARD finds has; they cost far less than the pattern.
 HINTS = ("@", "=", ":", "AKIA", "ASIA", *"Mr Herr Monsieur Señor Sr Господин господин Ms Miss Frau Madame Mme Госпожа госпожа".split())
 # Given names by script and gender.
@@ -47,8 +56,15 @@ GIVEN = {
     ("latin", "f"): "Anna Bella Clara Diana Elena Fiona Greta Helena Irene Julia Karla Laura Maria Nina Olivia Paula Rosa Sara Teresa Vera",
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим",
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Зоя Ирина Лариса Мария Ольга",
+    ("greek", "m"): "Αλέξανδρος Γεώργιος Δημήτρης Ηλίας Ιωάννης Κώστας Λεωνίδας Νίκος Πέτρος Στέφανος",
+    ("greek", "f"): "Άννα Δήμητρα Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Νίκη Σοφία Χριστίνα",
+    ("armenian", "m"): "Արամ Գագիկ Դավիթ Հակոբ Նարեկ Տիգրան",
+    ("armenian", "f"): "Անահիտ Գայանե Լուսինե Մարիամ Նարե Սոնա",
 }
-SYLLABLES = {"latin": "ba ber den dor el fen gar hol in kas lan mer nor os par ran sel tor ul ven wal wen zan zel".split(), "cyrillic": "ба бер ва ден дор гал кол лан мар нов ор пет ров сел тин".split()}
+SYLLABLES = {"latin": "ba ber den dor el fen gar hol in kas lan mer nor os par ran sel tor ul ven wal wen zan zel".split(), "cyrillic": "ба бер ва ден дор гал кол лан мар нов ор пет ров сел тин".split(),
+             "greek": "βα γαρ δελ ζαν θεο καλ λαν μαρ νικ παπ ραλ σαν τορ φιλ χαρ".split(), "armenian": "բա դան գար լեն մար նոր սար տեր վան կար պետ ռոս".split()}
+#: How letters of a script other than Latin are known.
+SCRIPTS = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "armenian": r"\p{IsArmenian}"}
 
 
 def _kind(m: Column) -> Column:
@@ -56,7 +72,7 @@ def _kind(m: Column) -> Column:
     for kind, p in PATTERNS.items():
         if kind == "secret":
             continue
-        out = out.when(m.rlike("^(?:" + (_TITLED if kind == "name" else p) + ")$"), kind)
+        out = out.when(m.rlike(f"^(?:{p})$"), kind)
     return out.otherwise("secret")
 
 
@@ -142,16 +158,21 @@ def _drawn(open_: DataFrame, key: str, attempt: int, longer: bool) -> DataFrame:
               .when(norm.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), byte(2, 256), byte(3, 256)))
               .otherwise(F.concat_ws(".", byte(0, 112, 11), byte(1, 256), byte(2, 256), byte(3, 256))))
     surrogate = (F.when(kind == "ip", ip).when(F.col("_e").isNotNull(), F.when(kind == "card", card).otherwise(iban)).when(kind == "name", _name(key, norm, F.col("family"), no, longer))
-                 .when(kind == "family", _syllables(key, "family", norm, norm, no, no + 2)).otherwise(F.array_join("_d", "")))
+                 .when(kind == "family", F.concat(F.regexp_extract(norm, rf"^(?:{_PARTICLE}){{0,3}}", 0), _syllables(key, "family", norm, norm, no, no + 2))).otherwise(F.array_join("_d", "")))
     return out.select("kind", "norm", "kept", "family", surrogate.alias("surrogate"))
 
 
-_TITLE = rf"^(?:{MALE}|{FEMALE})\.? "
+_TITLE = rf"^(?:{MALE}|{FEMALE})\.? {_ACADEMIC}{{0,3}}+"
 
 
 def _family(norm: Column) -> Column:
-    """The last word of a name with a title."""
-    return F.regexp_extract(norm, r"([^ ]+)$", 1)
+    """The last word of a name with a title, with the particles before it."""
+    return F.regexp_extract(norm, rf"(?<![^ ])((?:{_PARTICLE}){{0,3}}[^ ]+)$", 1)
+
+
+def _given(norm: Column) -> Column:
+    """Whether a name with a title has a given name."""
+    return F.regexp_replace(norm, _TITLE, "") != _family(norm)
 
 
 def _syllables(key: str, what: str, seed: Column, like: Column, attempt: Column, last: Column) -> Column:
@@ -160,7 +181,7 @@ def _syllables(key: str, what: str, seed: Column, like: Column, attempt: Column,
     for s, parts in SYLLABLES.items():
         bits = F.array(*[F.lit(x) for x in parts])
         word = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(bits, (_stream(key, F.lit(what), seed, attempt, i) % len(parts) + 1).cast("int"))), ""))
-        out = F.when(like.rlike(r"\p{IsCyrillic}") if s == "cyrillic" else F.lit(True), word).otherwise(out)
+        out = F.when(like.rlike(SCRIPTS[s]), word).otherwise(out) if s in SCRIPTS else word
     return out
 
 
@@ -168,14 +189,16 @@ def _name(key: str, norm: Column, family: Column, attempt: Column, longer: bool)
     """Title as it was, then a given name of its gender and script where there was one, and the surrogate family name.
     ``longer``: the given names of one family have run out, so one of syllables is drawn."""
     title, rest = F.regexp_extract(norm, _TITLE, 0), F.regexp_replace(norm, _TITLE, "")
-    gender, script = F.when(title.rlike(f"^{FEMALE}"), "f").otherwise("m"), F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    gender, script = F.when(title.rlike(f"^{FEMALE}"), "f").otherwise("m"), F.lit("latin")
+    for s, letters in SCRIPTS.items():
+        script = F.when(rest.rlike(letters), s).otherwise(script)
     given = F.lit("")
     for (s, g), names in GIVEN.items():
         words = F.array(*[F.lit(x) for x in names.split()])
         given = F.when((script == s) & (gender == g), F.element_at(words, (_stream(key, F.lit("given"), F.concat(gender, rest), attempt, F.lit(0)) % len(names.split()) + 1).cast("int"))).otherwise(given)
     if longer:
         given = _syllables(key, "given", F.concat(gender, rest), rest, attempt, attempt + 3)
-    return F.concat(title, F.when(rest.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
+    return F.concat(title, F.when(_given(norm), F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
 def _refill(m: Column, core: Column) -> Column:
@@ -222,12 +245,20 @@ def surrogates(entities: DataFrame, key: str, most_rounds: int = 12) -> DataFram
 MARK = "\ufdd0"
 
 
+def _apart(t: Column, pattern: Column) -> Column:
+    """text, match, text, match, ... text"""
+    marked = F.split(F.regexp_replace(t, pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    pairs = F.flatten(F.zip_with(F.split(t, pattern, -1), F.concat(F.regexp_extract_all(t, pattern, F.lit(0)), F.array(F.lit(""))), lambda a, b: F.array(a, b)))
+    return F.when(F.contains(t, F.lit(MARK)), F.slice(pairs, 1, F.size(pairs) - 1)).otherwise(marked)
+
+
 def anonymize(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_entities", most_broadcast: int = 32 << 20) -> DataFrame:
     """``docs`` with surrogates in column ``text`` and, unless ``count`` is None, a last column of that name (int): how many
     entities were found, 0 where none were. An input column named ``count`` gives way to it; all other columns stay.
 
     Null texts stay null, empty ones empty. Repeated rows are each rewritten alike, whatever their doc_id; whole texts of
-    any length are searched. No rows give no rows. Each text is searched once for the table of entities; those that hold
+    any length are searched. No rows give no rows. A full name that a text gives with a title is also replaced where the same
+    text gives it without one, and counted; family names alone are left, as they may be words. Each text is searched once for the table of entities; those that hold
     some are taken apart once more. ``most_broadcast``: bytes of entities that may travel to every executor.
     """
     kept_columns = [c for c in docs.columns if c != count]
@@ -250,23 +281,29 @@ def anonymize(docs: DataFrame, key: str, text: str = "text", count: str | None =
     chosen = surrogates(matches.groupBy("kind", "norm").agg(F.max("kept").alias("kept")), key)
     # a longer e-mail address is no refill: its host would move
     whole = F.col("kind").isin("ip", "name") | ((F.col("kind") == "email") & (F.length("surrogate") > F.length("norm")))
-    table = matches.join(chosen, ["kind", "norm"]).select("_m", F.when(whole, F.col("surrogate")).otherwise(_refill(F.col("_m"), F.col("surrogate"))).alias("_s"))
+    table = matches.join(chosen, ["kind", "norm"]).select("_m", F.when(whole, F.col("surrogate")).otherwise(_refill(F.col("_m"), F.col("surrogate"))).alias("_s"),
+                                                               *[F.when((F.col("kind") == "name") & _given(F.col("norm")), F.regexp_replace(c, _TITLE, "")).alias(n) for c, n in (("norm", "_p"), ("surrogate", "_q"))])
     # one row a text that holds entities; the map is no larger than that text
-    rows = materialize(hits.distinct().join(table, "_m").groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_m", "_s"))).alias("_map"), F.sum(F.octet_length("_m") + F.octet_length("_s") + 48).alias("_size")))
+    held = hits.distinct().join(table, "_m")
+    rows = held.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_m", "_s"))).alias("_map"), F.sum(F.octet_length("_m") + F.octet_length("_s") + 48).alias("_size"))
+    # full names that a text gives with a title are also found without one in that text
+    plain = held.where("_p is not null").groupBy("_row", "_p").agg(F.min("_q").alias("_q")).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_q"))).alias("_plain"), F.sum(F.octet_length("_p") + F.octet_length("_q") + 48).alias("_more"))
+    rows = materialize(rows.join(plain, "_row", "left").withColumn("_size", F.col("_size") + F.coalesce("_more", F.lit(0))).drop("_more"))
     size = rows.agg(F.sum(F.col("_size") + 64)).first()[0] or 0
-    rows = rows.select("_row", "_map")
+    rows = rows.select("_row", "_map", "_plain")
     if 2 * size <= most_broadcast:  # no text is moved, and none is searched again but those with entities
         joined, others = own.join(F.broadcast(rows), F.xxhash64(t) == F.col("_row"), "left"), None
     else:
         joined = own.where(guarded).join(rows, F.xxhash64(t) == F.col("_row"), "left")
         others = own.where(~guarded).select(*names, F.lit(0).alias("_n"))
-    # text, entity, text, entity, ... text
-    parts = F.split(F.regexp_replace(t, ANY, f"{MARK}$0{MARK}"), MARK, -1)
-    apart = F.flatten(F.zip_with(F.split(t, ANY, -1), F.concat(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), F.array(F.lit(""))), lambda a, b: F.array(a, b)))
-    parts = F.when(F.col("_map").isNull(), None).when(F.contains(t, F.lit(MARK)), F.slice(apart, 1, F.size(apart) - 1)).otherwise(parts)
-    joined = joined.withColumn("_parts", parts)
-    rebuilt = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at("_map", x), x)).otherwise(x)), "")
-    number = F.size(F.filter("_parts", lambda x, i: (i % 2 == 1) & F.map_contains_key("_map", x)))
+    joined = joined.withColumn("_parts", F.when(F.col("_map").isNotNull(), _apart(t, F.lit(ANY))))
+    # longer names first, so that none is taken for a shorter one
+    bare = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.sort_array(F.map_keys("_plain"), False), "|"), F.lit(r")(?!\p{L}|['’-]\p{L}{2})"))
+    joined = joined.withColumn("_bare", bare).withColumn("_parts", F.when(F.col("_plain").isNull(), F.transform("_parts", lambda x: F.array(x))).otherwise(
+        F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.array(x)).otherwise(_apart(x, F.col("_bare"))))))
+    swap = lambda part, i: F.transform(part, lambda x, j: F.when(i % 2 == 1, F.coalesce(F.try_element_at("_map", x), x)).when(j % 2 == 1, F.try_element_at("_plain", x)).otherwise(x))
+    rebuilt = F.array_join(F.flatten(F.transform("_parts", swap)), "")
+    number = F.aggregate(F.transform("_parts", lambda x, i: F.when(i % 2 == 0, (F.size(x) - 1) / 2).otherwise(F.map_contains_key("_map", F.get(x, F.lit(0))).cast("double"))), F.lit(0.0), lambda a, b: a + b)
     out = joined.select(*[(F.when(F.col("_parts").isNull(), t).otherwise(rebuilt).alias(n) if c == text else F.col(n)) for c, n in zip(kept_columns, names)],
                         F.when(F.col("_parts").isNull(), 0).otherwise(number).cast("int").alias("_n"))
     out = out if others is None else others.unionByName(out)

@@ -254,6 +254,27 @@ def test_pii_types_coreference_and_clean_texts(spark):
     assert pii.anonymize(docs_of(spark, ["a"]).limit(0), "key").count() == 0
 
 
+def test_pii_names_with_particles_academic_titles_and_repeats(spark):
+    texts = ["Mr. Van Der Berg and Mr. Van Der Laan; Mrs. Anna van der Berg", "Ms. Anna Lee and Anna Lee, Anna Lee's, Anna Lee-Smith \ufdd0 Anna Lee", "Herr Dr. Müller, Herr Prof. Dr. Müller and Herr Müller",
+             "Mr. Παπαδόπουλος; Mrs. Μαρία Παπαδόπουλος", 'x "password": "hunter22", \'token\': \'letmein\', secret=letmein', "Mr. O'Neil's", "Mr. Smith's and Mr. Smith", "Anna Lee of another text"]
+    got = [(r.text, r.n_entities) for r in pii.anonymize(docs_of(spark, texts), "key").orderBy("doc_id").collect()]
+    for (text, _), gone in zip(got, ["Berg Laan Anna", "Lee's,", "Müller", "Παπαδόπουλος Μαρία", "hunter22 letmein", "Neil", "Smith"]):
+        assert not any(w in text for w in gone.split()), text
+    assert [n for _, n in got] == [3, 4, 3, 2, 3, 1, 2, 0] and got[7][0] == texts[7]
+    one, two, three = re.findall(r"(?:[Vv]an [Dd]er) (\w+)", got[0][0])
+    assert len({one, two, three}) == 3 and "Van Der" in got[0][0] and "van der" in got[0][0]
+    name = re.match(r"Ms\. (\w+ \w+)", got[1][0])[1]
+    assert got[1][0] == f"Ms. {name} and {name}, {name}'s, Anna Lee-Smith \ufdd0 {name}"
+    assert len(set(re.findall(r"Herr (?:(?:Prof|Dr)\. )*(\w+)", got[2][0]))) == 1 and "Herr Prof. Dr. " in got[2][0]
+    assert all("\u0370" <= c <= "\u03ff" for c in got[3][0].split("; ")[0][4:]) and got[3][0].split()[-1] == got[3][0].split(";")[0][4:]
+    assert re.fullmatch(r"(Mr\. \w+)'s and \1", got[6][0]) and got[5][0].endswith("'s")
+
+
+def test_pii_leaves_prose_alone(spark):
+    texts = ["token: authentication is required", "The secret: nobody knows", "Mr President", "Miss Universe 2020", "version 1.2.3.4 and v1.2.3.4", "Mr. President, Mr. Speaker", "secret: wonderful!"]
+    assert [(r.text, r.n_entities) for r in pii.anonymize(docs_of(spark, texts), "k").orderBy("doc_id").collect()] == [(x, 0) for x in texts]
+
+
 def test_pii_distinct(spark):
     texts = [f"+1 ({200 + i // 50}) 555-{1000 + i}" for i in range(400)]
     out = [r.text for r in pii.anonymize(docs_of(spark, texts), "k").collect()]
