@@ -36,7 +36,8 @@ def merged_paragraphs(x: Column, least_words: int = 15, between: str = r"\n\s*\n
 
 
 def sentences(x: Column, longer_than: int = 20) -> Column:
-    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) > longer_than)
+    # no bare F.trim: it takes two columns, so that transform would hand it the place as the signs to trim
+    return F.filter(F.transform(F.split(x, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
 def wording(x: Column) -> Column:
