@@ -1,6 +1,7 @@
 """Scores that stand exactly on a threshold, and sentences that begin or end with digits."""
 
 import datetime
+import random
 
 from deltascope import registry
 from deltascope.functions import text as T
@@ -24,6 +25,19 @@ def star(spark, path, lines):
     return str(path)
 
 
+def test_scores_exactly_two_deviations_away(spark, tmp_path):
+    # the lowest of these filings is two deviations away; sums of binary fractions miss that in many orders of the rows
+    filed = [(3, 0, 3), (5, 3, 7, 6, 4), (6, 2, 7, 7), (8, 7, 7, 1, 4, 3), (3, 7), (9, 6, 5, 8), (7, 8, 0, 7)]
+    rng = random.Random(3)
+    lines = [(99, 900 + k, 0.03, 0.0, "N") for k in range(4)]
+    for c in range(20):
+        keys = [c * 10 + 1000 + k for k in range(7)]
+        rest = rng.sample(filed[1:], 6)
+        lines += [(c, o, d / 100, 0.0, "N") for o, ds in zip(keys, [filed[0], *rest]) for d in ds]
+    got = registry.queries()["trend_anomalies"](spark, star(spark, tmp_path, lines)).collect()
+    assert sorted((r.accession, r.z) for r in got) == [(c * 10 + 1000, -2.0) for c in range(20)]
+
+
 def test_rank_exactly_at_two_thirds_of_a_threshold(spark, tmp_path):
     # 29 lines, 6 of them returned, taxes of 150 percent: a score of 30.15, which is 0.67 * 45
     lines = [(1, 1, 0.0, 0.08 if k < 18 else 0.06 if k == 18 else 0.0, "R" if k < 6 else "N") for k in range(29)]
