@@ -198,20 +198,36 @@ def item_sections(filings: DataFrame, keep: str = "every", least: int = 0, clip:
     heading, the ``longest`` text of a key (of equal ones the first), or the ``last``; texts of ``least`` characters or
     fewer do not count. A text without headings is one section 0 titled by its first line. ``clip`` cuts the texts.
     """
-    own = marked_lines(filings)
-    seen = _in_order()
-    own = own.withColumn("section", F.last(F.when(F.col("item").isNotNull(), F.col("no")), True).over(seen)).withColumn("within", F.last("part", True).over(seen))
-    number = F.expr("array_position(array('I', 'II', 'III', 'IV'), within)")
-    key = F.when(F.upper("form").startswith("10-Q") & F.col("within").isNotNull(), F.concat(F.lit("P"), number.cast("string"), F.lit("I"), F.col("item"))).otherwise(F.col("item"))
-    heads = own.where("item is not null").select(*_DOC, F.col("no").alias("section"), key.alias("key"), F.concat_ws(" \u2014 ", F.concat(F.lit("Item "), F.col("item")), F.nullif(F.col("title"), F.lit(""))).alias("label"), F.substring("title", 1, 200).alias("title"))
-    texts = _joined(own.where("section is null or no > section"), "section")
-    rows = heads.join(texts.where("section is not null"), [*_DOC, "section"], "left").withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") > least if least else F.lit(True))
-    whole = texts.join(heads.select(*_DOC).distinct(), list(_DOC), "left_anti").where("text <> ''")
-    whole = whole.select(*_DOC, F.lit(0).alias("section"), F.lit("0").alias("key"), F.lit("Full Document").alias("label"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 200).alias("title"), "text")
+    # each text is cut within its own row, since its lines are there in order: nothing but the result ever leaves the row.
+    # What a lambda reads more than once is a column of its own, so that Spark does not make it anew for each element.
+    head = lambda x, pattern, group: F.nullif(F.regexp_extract(x, pattern, group), F.lit(""))
+    mark = lambda x, no: F.struct(no.alias("no"), F.upper(head(x, ITEM_LINE, 1)).alias("item"), F.coalesce(head(x, ITEM_LINE, 2), F.lit("")).alias("title"), F.upper(head(x, PART_LINE, 1)).alias("part"))
+    own = filings.where("text is not null").select(*_DOC, F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \\t\\r\u00a0]+", " "))).alias("lines"), F.element_at(F.split("text", "\n"), 1).alias("first"))
+    own = own.withColumn("marks", F.array_compact(F.transform("lines", lambda x, no: F.when(x.rlike("(?i)^(?:item|part) "), mark(x, no)))))
+    own = own.withColumn("heads", F.filter("marks", lambda m: m["item"].isNotNull())).withColumn("parts", F.when(F.upper("form").startswith("10-Q"), F.filter("marks", lambda m: m["part"].isNotNull())).otherwise(F.slice("marks", 1, 0)))
+    tidy = lambda lines: F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), "^[ \n]+|[ \n]+$", "")
+
+    def section(h, i):
+        until = F.coalesce(F.try_element_at(F.col("heads"), i + 2)["no"], F.size("lines"))
+        within = F.try_element_at(F.col("parts"), F.nullif(F.size(F.filter("parts", lambda p: p["no"] < h["no"])), F.lit(0)))["part"]
+        number = F.array_position(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV")]), within)
+        key = F.coalesce(F.concat(F.lit("P"), number.cast("string"), F.lit("I"), h["item"]), h["item"])
+        label = F.concat_ws(" \u2014 ", F.concat(F.lit("Item "), h["item"]), F.nullif(h["title"], F.lit("")))
+        text = tidy(F.slice("lines", h["no"] + 2, until - h["no"] - 1))
+        return F.struct(h["no"].alias("section"), key.alias("key"), label.alias("label"), F.substring(h["title"], 1, 200).alias("title"), text.alias("text"))
+
+    own = own.withColumn("cut", F.transform("heads", section))
+    if least:
+        own = own.withColumn("cut", F.filter("cut", lambda x: F.length(x["text"]) > least))
     if keep != "every":
-        order = F.struct(F.length("text"), -F.col("section")) if keep == "longest" else F.col("section")
-        rows = rows.groupBy(*_DOC, "key").agg(F.max_by(F.struct("section", "label", "title", "text"), order).alias("b")).select(*_DOC, "b.section", "key", "b.label", "b.title", "b.text")
-    return rows.unionByName(whole).select(*_DOC, "section", "key", "label", "title", F.substring("text", 1, clip).alias("text") if clip else F.col("text"))
+        size = (lambda x: F.length(x["text"])) if keep == "longest" else (lambda x: F.lit(0))
+        turn = -1 if keep == "longest" else 1
+        own = own.withColumn("cut", F.sort_array(F.transform("cut", lambda x: F.struct(x["key"].alias("key"), size(x).alias("size"), (turn * x["section"]).alias("turn"), x.alias("x"))), asc=False))
+        # the best of a key comes first
+        own = own.withColumn("cut", F.transform(F.filter("cut", lambda x, i: ~x["key"].eqNullSafe(F.try_element_at(F.col("cut"), F.nullif(i, F.lit(0)))["key"])), lambda x: x["x"]))
+    whole = F.struct(F.lit(0).alias("section"), F.lit("0").alias("key"), F.lit("Full Document").alias("label"), F.substring("first", 1, 200).alias("title"), tidy(F.col("lines")).alias("text"))
+    rows = own.select(*_DOC, F.inline(F.when(F.size("heads") > 0, F.col("cut")).otherwise(F.filter(F.array(whole), lambda x: x["text"] != ""))))
+    return rows.select(*_DOC, "section", "key", "label", "title", F.substring("text", 1, clip).alias("text") if clip else F.col("text"))
 
 
 def named_sections(filings: DataFrame, least: int = 100) -> DataFrame:
