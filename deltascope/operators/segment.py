@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -260,6 +261,19 @@ def article_body(page: str | None, least_words: int = 100, least_chars: int = 10
     return text if len(text.split()) >= least_words else " ".join(html.unescape(re.sub(r"<[^>]+>", " ", page)).split())
 
 
+def page_texts(pages: DataFrame, key: str, function, lot: int = 100) -> DataFrame:
+    """(key, text) of ``pages`` (key, html): a worker turns ``lot`` pages at a time into Python strings and gives their texts on at
+    once, so that what it holds does not grow with the rows of a batch."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, lot):
+                part = b.slice(at, lot)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([function(x) for x in part.column(1).to_pylist()], pa.string())], [key, "text"])
+
+    return pages.select(key, "html").mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, text string")
+
+
 def vectorised(function, kind: str):
     """A pandas UDF that applies a function of one or more strings to each row."""
 

@@ -117,12 +117,10 @@ def alerts_json_feed_roundtrip(spark, sf):
 @query(None)
 def page_article_text(spark, sf):
     """Body of each article page by its element, whole page if short."""
-    body = segment.vectorised(lambda x: segment.article_body(x), "string")
-    return read(spark, sf, "pages").select("page_id", body("html").alias("text"))
+    return segment.page_texts(read(spark, sf, "pages"), "page_id", segment.article_body)
 
 
 @query(None)
 def page_block_text(spark, sf):
     """Pages as lines of blocks."""
-    text = segment.vectorised(lambda x: segment.html_to_text(x), "string")
-    return read(spark, sf, "pages").select("page_id", text("html").alias("text"))
+    return segment.page_texts(read(spark, sf, "pages"), "page_id", segment.html_to_text)

@@ -3,7 +3,7 @@
 import random
 from html.parser import HTMLParser
 
-from deltascope.operators import markup
+from deltascope.operators import markup, segment
 
 
 class Log(markup.Reader):
@@ -34,3 +34,9 @@ def test_same_calls_as_the_parser():
         assert own.seen == want.seen, page
         plain += markup.plain_pieces(page) is not None
     assert plain > 2500
+
+
+def test_page_texts_are_made_in_small_lots(spark):
+    pages = spark.createDataFrame([(i, None if i % 7 == 0 else f"<p>page {i}</p>") for i in range(450)], "page_id long, html string").coalesce(1)
+    out = segment.page_texts(pages, "page_id", segment.html_to_text, lot=50)
+    assert {r.page_id: r.text for r in out.collect()} == {i: "" if i % 7 == 0 else f"page {i}" for i in range(450)}
