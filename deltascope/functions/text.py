@@ -19,8 +19,9 @@ def tokens(x: Column, pattern: str = "[a-z]+") -> Column:
 
 def paragraphs(x: Column, least_words: int = 15) -> Column:
     """Lines of at least ``least_words`` words, white space collapsed."""
-    lines = F.transform(F.split(x, "\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
-    return F.filter(lines, lambda p: F.size(words(p)) >= least_words)
+    # lines too short to hold so many words are not looked at; of the others, the spaces are counted and no words made
+    lines = F.transform(F.filter(F.split(x, "\n"), lambda p: F.length(p) >= 2 * least_words - 1), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    return F.filter(lines, lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) >= least_words - 1)
 
 
 def merged_paragraphs(x: Column, least_words: int = 15, between: str = r"\n\s*\n") -> Column:

@@ -53,12 +53,16 @@ def jaccard_section_change(spark, sf):
     return align.section_change(versions(spark, sf)).select("doc_id", "paragraphs", "added", "modified", "removed", "change_ratio")
 
 
+def _both_paragraphs(spark, sf):
+    """(key, new, old): lower-case paragraphs of each document and of its prior version."""
+    low = lambda name: T.paragraphs(F.lower(name)).alias(name[:3])
+    return versions(spark, sf).select(F.col("doc_id").alias("key"), low("new_text"), low("old_text"))
+
+
 @query(None)
 def greedy_alignment(spark, sf):
     """Greedy TF-IDF alignment of each document's paragraphs with its prior version's."""
-    own = versions(spark, sf)
-    side = lambda name, mark: own.select(F.col("doc_id").alias("key"), F.lit(mark).alias("side"), F.posexplode(T.paragraphs(F.col(name)))).select("key", "side", F.col("pos").cast("long").alias("at"), F.regexp_extract_all(F.lower("col"), F.lit("[a-z]+"), F.lit(0)).alias("toks"))
-    out = matching.greedy_matching(side("new_text", "n").unionByName(side("old_text", "o")))
+    out = matching.greedy_versions(_both_paragraphs(spark, sf))
     return out.select(F.col("key").alias("doc_id"), "change", "new_at", "old_at", F.round("score", 6).alias("score"))
 
 
