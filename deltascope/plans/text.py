@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions import text as T
-from ..operators import align, matching
+from ..operators import align, matching, overlap
 from ..sources.tables import read
 from .base import registrar
 
@@ -252,9 +252,7 @@ p AS (SELECT a.doc_id, a.pos AS new_at, b.pos AS old_at, sum(a.w * b.w) AS dot F
 SELECT p.doc_id, p.new_at, p.old_at, round(dot / (x.nm * y.nm), 4) AS cosine FROM p JOIN nm x ON x.doc_id = p.doc_id AND x.side = 'n' AND x.pos = p.new_at JOIN nm y ON y.doc_id = p.doc_id AND y.side = 'o' AND y.pos = p.old_at WHERE dot / (x.nm * y.nm) >= 0.5""", with_roles=False)
 def tfidf_cosine_pairs(spark, sf):
     """Paragraph pairs of two versions with a TF-IDF cosine of at least one half."""
-    own = versions(spark, sf)
-    side = lambda name, mark: own.select(F.col("doc_id").alias("key"), F.lit(mark).alias("side"), F.posexplode(T.paragraphs(F.col(name)))).select("key", "side", F.col("pos").cast("long").alias("at"), T.tokens(F.col("col")).alias("toks"))
-    out = align.tfidf_pairs(side("new_text", "n").unionByName(side("old_text", "o")))
+    out = overlap.cosine_pairs(_both_paragraphs(spark, sf), 0.5)
     return out.select(F.col("key").alias("doc_id"), "new_at", "old_at", F.round("cosine", 4).alias("cosine"))
 
 

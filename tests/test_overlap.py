@@ -43,3 +43,21 @@ def test_no_word_is_a_row(spark):
     assert [(r.kind, r.a, r.b) for r in found.collect()] == [("n", 0, 0), ("o", 0, 0), ("p", 0, 0)]
     (score,) = [s for _, _, _, s in align.greedy_pairs(["a b c d"], ["a b c e"])]
     assert abs([r.s for r in found.collect()][-1] - score) < 1e-12
+
+
+def test_cosine_pairs_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    docs = [(k, [paragraph(rng) for _ in range(rng.randrange(0, 7))], [paragraph(rng) for _ in range(rng.randrange(0, 7))]) for k in range(30)]
+    out = overlap.cosine_pairs(spark.createDataFrame(docs, "key long, new array<string>, old array<string>"), 0.5)
+    assert "Exchange" not in out._jdf.queryExecution().toString()  # no word is a row
+    want = set()
+    for k, new, old in docs:
+        vectors = align._vectors([p.split() for p in [*new, *old]])
+        for i, a in enumerate(vectors[: len(new)]):
+            for j, b in enumerate(vectors[len(new) :]):
+                size = (sum(x * x for x in a.values()) * sum(x * x for x in b.values())) ** 0.5
+                s = sum(x * b.get(t, 0.0) for t, x in a.items()) / size if size else 0.0
+                if s >= 0.5 + 1e-9:
+                    want.add((k, i, j, round(s, 9)))
+    assert want <= {(r.key, r.new_at, r.old_at, round(r.cosine, 9)) for r in out.collect()}
+    assert len(want) + sum(r.cosine < 0.5 + 1e-9 for r in out.collect()) == out.count() and want
