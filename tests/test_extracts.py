@@ -55,3 +55,16 @@ def test_phrases(spark):
         ats = [len(" ".join(w[: a - 1])) + (a > 1) for a, _ in own[:3]]
         assert r.hits == len(own) and r.excerpts == [prose[max(0, a - 10) : a + 20] for a in ats]
     assert phrases.find_phrases(t, p.limit(0), "id").count() == 0
+
+
+def test_texts_meet_phrases_by_two_words_and_categories_at_once(spark):
+    t = spark.createDataFrame([(1, "The old, Old house of the old house"), (2, "old"), (3, None), (4, "house the old house")], "id long, text string")
+    p = spark.createDataFrame([("a", "old house", 3), ("a", "the old house", 5), ("b", "the old", 1)], "category string, phrase string, weight int")
+    found = phrases.find_phrases(t, p, "id")
+    assert "p1#" in found._jdf.queryExecution().optimizedPlan().toString()  # common first words alone make no rows
+    assert sorted((r.id, r.phrase, r.at) for r in found.collect()) == [(1, "old house", 3), (1, "old house", 7), (1, "the old", 1), (1, "the old", 6), (1, "the old house", 6), (4, "old house", 3), (4, "the old", 2), (4, "the old house", 2)]
+    out = phrases.category_hits(t, found, "id", 2, 4, 9)
+    assert "slice" not in out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]  # no word list is cut for an excerpt
+    assert sorted((r.id, r.category, r.hits, r.weight, r.excerpts) for r in out.collect()) == [
+        (1, "a", 3, 5, ["old old house", " of the old h"]), (1, "b", 2, 1, ["the old o", " of the old h"]),
+        (4, "a", 2, 5, ["use the old h", "the old house"]), (4, "b", 1, 1, ["use the old h"])]
