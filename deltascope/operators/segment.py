@@ -234,22 +234,28 @@ def item_sections(filings: DataFrame, keep: str = "every", least: int = 0, clip:
 def named_sections(filings: DataFrame, least: int = 100) -> DataFrame:
     """(doc, form, name, label, text) by the NAMED headings, anywhere in a line: from each to the next, if longer than
     ``least``; of equal names the last stays. A text without any is one section ``full``."""
-    lines = filings.where("text is not null").select("doc", "form", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    at = [F.struct(F.regexp_instr(F.lower("line"), F.lit(p)).alias("at"), F.lit(n).alias("name")) for n, p in NAMED.items()]
-    heads = F.when(F.contains(F.lower("line"), F.lit("item")), F.sort_array(F.filter(F.array(*at), lambda x: x["at"] > 0))).otherwise(F.array().cast("array<struct<at: int, name: string>>"))
-    start = F.struct(F.lit(1).alias("at"), F.lit(None).cast("string").alias("name"))
-    pieces = lines.withColumn("h", F.concat(F.array(start), heads)).select(*_DOC, "no", "line", "h", F.posexplode("h").alias("k", "x"))
-    until = F.coalesce(F.try_element_at("h", F.col("k") + 2)["at"], F.length("line") + 1)
-    pieces = pieces.select(*_DOC, F.struct("no", "k").alias("no"), F.col("x.name").alias("name"), F.substring("line", F.col("x.at"), until - F.col("x.at")).alias("line"), (F.col("k") == 0).alias("starts"))
-    seen = _in_order()
-    pieces = pieces.withColumn("section", F.last(F.when(F.col("name").isNotNull(), F.col("no")), True).over(seen)).withColumn("name", F.last("name", True).over(seen))
-    glue = F.transform(F.sort_array(F.collect_list(F.struct("no", F.struct(F.when(F.col("starts") & ~F.col("no").eqNullSafe(F.col("section")), F.concat(F.lit("\n"), F.col("line"))).otherwise(F.col("line")).alias("t"))))), lambda x: x["col2"]["t"])
-    texts = pieces.where("section is not null").groupBy(*_DOC, "section", "name").agg(F.array_join(glue, "").alias("text"))
-    texts = texts.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where(F.length("text") > least)
-    rows = texts.groupBy(*_DOC, "name").agg(F.max_by("text", "section").alias("text"))
-    full = filings.where("text is not null").join(rows.select(*_DOC).distinct(), list(_DOC), "left_anti").select("doc", "form", F.lit("full").alias("name"), "text")
+    # each text is cut within its own row, as in item_sections; the patterns run on lines that name an item alone
+    heads_of = lambda m: F.sort_array(F.filter(F.array(*[F.struct(m["no"].alias("no"), F.regexp_instr(m["line"], F.lit(p)).alias("at"), F.lit(n).alias("name")) for n, p in NAMED.items()]), lambda x: x["at"] > 0))
+    own = filings.where("text is not null").select(*_DOC, "text", F.split("text", "\n").alias("lines"))
+    marked = F.array_compact(F.transform("lines", lambda x, no: F.when(F.contains(F.lower(x), F.lit("item")), F.struct(no.alias("no"), F.lower(x).alias("line")))))
+    own = own.withColumn("heads", F.flatten(F.transform(marked, heads_of)))
+    none = F.array().cast("array<string>")
+
+    def section(h, i):
+        after = F.try_element_at(F.col("heads"), i + 2)
+        until = F.coalesce(after["no"], F.size("lines"))
+        line = F.element_at(F.col("lines"), h["no"] + 1)
+        between = F.slice("lines", h["no"] + 2, F.greatest(until - h["no"] - 1, F.lit(0)))
+        last = F.when(after.isNotNull(), F.array(F.substring(F.try_element_at(F.col("lines"), after["no"] + 1), F.lit(1), after["at"] - 1))).otherwise(none)
+        text = F.when(after["no"] == h["no"], F.substring(line, h["at"], after["at"] - h["at"])).otherwise(F.array_join(F.concat(F.array(F.substring(line, h["at"], F.length(line))), between, last), "\n"))
+        return F.struct(h["name"].alias("name"), F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+
+    own = own.withColumn("cut", F.transform("heads", section)).withColumn("cut", F.filter("cut", lambda x: F.length(x["text"]) > least))
+    own = own.withColumn("names", F.reverse(F.transform("cut", lambda x: x["name"])))
+    own = own.withColumn("cut", F.filter("cut", lambda x, i: F.array_position(F.col("names"), x["name"]) == F.size("names") - i))
+    whole = F.struct(F.lit("full").alias("name"), F.col("text"))
     label = F.when(F.col("name") == "full", "FULL FILING").otherwise(F.upper(F.replace("name", F.lit("_"), F.lit(" "))))
-    return rows.unionByName(full).select(*_DOC, "name", label.alias("label"), "text")
+    return own.select(*_DOC, F.inline(F.when(F.size("cut") > 0, F.col("cut")).otherwise(F.array(whole)))).select(*_DOC, "name", label.alias("label"), "text")
 
 
 def article_body(page: str | None, least_words: int = 100, least_chars: int = 10) -> str:

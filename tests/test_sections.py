@@ -38,3 +38,24 @@ def test_item_sections(spark):
         out = segment.item_sections(df, keep=keep, least=least)
         assert sorted((r.doc, r.section, r.key, r.text) for r in out.where("key <> '0'").collect()) == sorted(want)
         assert "Exchange" not in out._jdf.queryExecution().toString()  # no text is shuffled, no line is a row
+
+
+def test_named_sections_within_their_rows(spark):
+    rng = random.Random(4)
+    lines = ["Item 1A - Risk Factors", "see item 1a: risk factors and Item 8. Financial Statements here", "Item 7 Management's Discussion", "words of a text", "", "  more  words ", "an item of note", "Item 8 financial"]
+    docs = [(i, "8-K", "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 25)))) for i in range(150)] + [(200, "8-K", None)]
+    want = []
+    for doc, form, text in docs[:-1]:
+        heads, start = [], 0
+        for line in text.split("\n"):
+            heads += sorted((start + m.start(), name) for name, p in segment.NAMED.items() if (m := re.search(p, line.lower())))
+            start += len(line) + 1
+        own = {}
+        for (a, name), (b, _) in zip(heads, [*heads[1:], (len(text), "")]):
+            x = text[a:b].strip(" \t\n\r\f\v")
+            if len(x) > 30:
+                own[name] = x
+        want += [(doc, n, n.upper().replace("_", " "), x) for n, x in own.items()] or [(doc, "full", "FULL FILING", text)]
+    out = segment.named_sections(spark.createDataFrame(docs, "doc long, form string, text string"), least=30)
+    assert sorted((r.doc, r.name, r.label, r.text) for r in out.collect()) == sorted(want)
+    assert "Exchange" not in out._jdf.queryExecution().toString()  # no text is shuffled, no line is a row
