@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 #: Products held at a time; rows given on at a time.
 CELLS, LOT = 1 << 20, 10_000
-_WORD = re.compile("[a-z]+")
+_WORD, _MASKED, _NUMBER = re.compile("[a-z]+"), re.compile("[a-z#]+"), re.compile("[0-9]+")
 
 
 def incidence(bags: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +66,31 @@ def cosines(new: list[list[str]], old: list[list[str]], least: float, copies: li
         yield a + i, b, dots[a, b]
 
 
+def wording(paragraph: str) -> list[str]:
+    """The word set of a lower-case paragraph with numbers masked, so that new figures alone are no change."""
+    return list(dict.fromkeys(_MASKED.findall(_NUMBER.sub("#", paragraph))))
+
+
+def best_overlaps(new: list[list[str]], old: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Highest Jaccard of each word set with any of the other side: of ``new`` and of ``old``; 0 if there is none, 1 for two empty sets.
+    Sets that are alike are compared once."""
+    sides = [list(dict.fromkeys(map(frozenset, x))) for x in (new, old)]
+    a, b = ([list(x) for x in side] for side in sides)
+    size = np.array([len(x) for x in (*a, *b)], np.int64)
+    best_new, best_old = np.zeros(len(a)), np.zeros(len(b))
+    if a and b:
+        for i, both in products(*incidence([*a, *b]), len(a), len(b)):
+            union = size[i : i + len(both), None] + size[None, len(a) :] - both
+            share = np.where(union == 0, 1.0, both / np.maximum(union, 1))
+            best_new[i : i + len(both)] = share.max(axis=1)
+            np.maximum(best_old, share.max(axis=0), out=best_old)
+    out = []
+    for own, side, best in ((new, sides[0], best_new), (old, sides[1], best_old)):
+        place = {x: k for k, x in enumerate(side)}
+        out.append(best[np.array([place[frozenset(x)] for x in own], np.int64)])
+    return out[0], out[1]
+
+
 def _rows(own: DataFrame, schema: str, of_row) -> DataFrame:
     """``of_row`` (new, old) gives lists of columns for each row of ``own`` (key, new, old: lower-case paragraphs); null is no paragraph.
     The rows made go on in lots."""

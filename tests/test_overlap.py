@@ -61,3 +61,18 @@ def test_cosine_pairs_equal_a_plain_loop(spark):
                     want.add((k, i, j, round(s, 9)))
     assert want <= {(r.key, r.new_at, r.old_at, round(r.cosine, 9)) for r in out.collect()}
     assert len(want) + sum(r.cosine < 0.5 + 1e-9 for r in out.collect()) == out.count() and want
+
+
+def test_best_overlaps_equal_all_pairs(spark):
+    rng = random.Random(3)
+    share = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0
+    for _ in range(200):
+        new, old = [[overlap.wording(paragraph(rng)) for _ in range(rng.randrange(0, 6))] for _ in range(2)]
+        s, r = overlap.best_overlaps(new, old)
+        assert s.tolist() == [max((share(a, b) for b in old), default=0.0) for a in new]
+        assert r.tolist() == [max((share(a, b) for a in new), default=0.0) for b in old]
+    assert overlap.wording("a 12 b 3x 4.5 a") == ["a", "#", "b", "#x"]
+    # 600 by 600 different sets
+    text = "\n".join(" ".join(f"w{chr(97 + k % 26)}{chr(97 + (k + i * i) % 26)}{chr(97 + i % 26)}" for k in range(40)) for i in range(600))
+    out = align.section_change(spark.createDataFrame([(text, text.replace("wa", "va")), (None, "a"), ("", "")], "old_text string, new_text string")).collect()
+    assert out[0].paragraphs == 600 and (out[1].paragraphs, out[1].removed) == (0, None) and out[2].change_ratio == 0.0
